@@ -1,0 +1,6 @@
+"""Every registered query; importing the modules fills the registry."""
+
+from . import lists  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from ..session import pin
 from .dates import freshness_score, hour_of, local_datetime, minutes_interval, weekend
 from .text import choose, keyword_hit, lookup, normalize_name
 
@@ -157,15 +159,24 @@ def score_events(events: DataFrame) -> DataFrame:
     Needs: category, date_start, date_end, time_start, time_end, status and the joined dimension columns v_name, v_capacity,
     v_importance, v_seeded, v_station_km, v_airport_km, c_name, c_priority, c_tourism, in_area.  Narrow: no shuffle.
     """
+    x = _demand_expressions()
+    attended = pin(events, **x["first"])
+    scored = pin(pin(attended, components=x["components"]), opportunity_score=x["score"])
+    return scored.withColumns(x["last"]).drop("_venue_factor")
+
+
+@functools.cache
+def _demand_expressions() -> dict:
+    """The expressions of score_events; they name columns only, so they are built once."""
     c = F.col
     has_venue, has_city = c("v_name").isNotNull(), c("c_name").isNotNull()
     when = (c("date_start"), c("time_start"), c("time_end"))
     span = (c("category"), c("date_start"), c("date_end"), c("time_start"), c("time_end"))
-    attended = events.withColumn("attendance_estimate", attendance_estimate(c("category"), c("v_capacity")))
+    first = {"attendance_estimate": attendance_estimate(c("category"), c("v_capacity")), "_venue_factor": venue_scale(has_venue, c("v_capacity"), c("v_importance"))}
     tourism = F.coalesce(c("c_tourism"), F.lit(0.2))
     factors = {
         "event_scale": F.when(F.coalesce(c("attendance_estimate"), F.lit(0)) == 0, F.lit(0.15)).otherwise(capacity_factor(c("attendance_estimate"))),
-        "venue_scale": venue_scale(has_venue, c("v_capacity"), c("v_importance")),
+        "venue_scale": c("_venue_factor"),
         "timing": timing_factor(*when),
         "location": location_factor(has_city, c("c_priority"), c("in_area")),
         "transport": transport_factor(c("v_station_km"), c("v_airport_km")),
@@ -173,8 +184,7 @@ def score_events(events: DataFrame) -> DataFrame:
         "tourism": tourism,
         "duration": duration_factor(*span),
     }
-    scored = attended.withColumn("_venue_factor", factors["venue_scale"]).withColumn("components", F.struct(*[
-        F.bround(f * F.lit(float(V.SCORE_WEIGHTS[k])), 1).alias(k) for k, f in factors.items()]))
+    components = F.struct(*[F.bround(f * F.lit(float(V.SCORE_WEIGHTS[k])), 1).alias(k) for k, f in factors.items()])
     total = c("components.event_scale")
     for k in COMPONENTS[1:]:
         total = total + c(f"components.{k}")
@@ -193,17 +203,14 @@ def score_events(events: DataFrame) -> DataFrame:
         F.when(tourism >= 0.7, F.lit("High-tourism city — hotel/airport transfers")),
         duration_reason(*span),
     ))
-    return (
-        scored.withColumn("opportunity_score", score)
-        .withColumns({
-            "demand_level": demand_level(c("opportunity_score")),
-            "marketing_priority": marketing_priority(c("opportunity_score")),
-            "reasons": reasons,
-            "attendance_confidence": F.when(c("attendance_estimate").isNotNull(), F.when(c("v_seeded"), F.lit("MEDIUM")).otherwise(F.lit("LOW"))),
-            "windows": demand_windows(c("category"), c("date_start"), c("time_start"), c("time_end")),
-        })
-        .drop("_venue_factor")
-    )
+    last = {
+        "demand_level": demand_level(c("opportunity_score")),
+        "marketing_priority": marketing_priority(c("opportunity_score")),
+        "reasons": reasons,
+        "attendance_confidence": F.when(c("attendance_estimate").isNotNull(), F.when(c("v_seeded"), F.lit("MEDIUM")).otherwise(F.lit("LOW"))),
+        "windows": demand_windows(c("category"), c("date_start"), c("time_start"), c("time_end")),
+    }
+    return {"first": first, "components": components, "score": score, "last": last}
 
 
 # ---- quality -------------------------------------------------------------------------------------------------------
@@ -223,6 +230,16 @@ def score_quality(events: DataFrame) -> DataFrame:
     Needs: source_confidence, time_start, venue_id, venue_name_raw, city_id, official_url, ticket_url, postcode, latitude,
     category, subcategory, source_count, freshness_score, school_confidence.
     """
+    total, reasons = _quality_expressions()
+    return (
+        pin(events, event_quality_score=F.greatest(F.lit(0), F.least(F.lit(100), total)))
+        .withColumn("quality_level", ladder(F.col("event_quality_score"), V.QUALITY_LEVELS, F.lit("LOW")))
+        .withColumn("quality_reasons", reasons)
+    )
+
+
+@functools.cache
+def _quality_expressions() -> tuple[Column, Column]:
     c = F.col
     conf = F.coalesce(F.nullif(c("source_confidence"), F.lit("")), F.lit("UNVERIFIED"))
     base = lookup(conf, V.CONFIDENCE_POINTS, F.lit(V.CONFIDENCE_POINTS["UNVERIFIED"]))
@@ -258,15 +275,11 @@ def score_quality(events: DataFrame) -> DataFrame:
         pts = V.QUALITY_POINTS[key]
         total = total + F.when(cond, F.lit(pts)).otherwise(F.lit(0))
         reasons.append(F.when(cond, F.concat(label, F.lit(f" ({pts:+d})"))))
-    return (
-        events.withColumn("event_quality_score", F.greatest(F.lit(0), F.least(F.lit(100), total)))
-        .withColumn("quality_level", ladder(c("event_quality_score"), V.QUALITY_LEVELS, F.lit("LOW")))
-        .withColumn("quality_reasons", F.array_compact(F.array(*reasons)))
-    )
+    return total, F.array_compact(F.array(*reasons))
 
 
 def with_freshness(events: DataFrame, now: Column) -> DataFrame:
-    return events.withColumn("freshness_score", freshness_score(F.coalesce(F.col("last_verified_at"), F.col("last_seen_at")), now))
+    return pin(events, freshness_score=freshness_score(F.coalesce(F.col("last_verified_at"), F.col("last_seen_at")), now))
 
 
 # ---- status --------------------------------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Sequence
 
@@ -18,7 +19,8 @@ def _col(c: Column | str) -> Column:
 
 
 def strings(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    """Constant string array (one literal, folded by the optimizer)."""
+    return F.from_json(F.lit(json.dumps(list(values))), "array<string>")
 
 
 def choose(pairs: Sequence[tuple[Column, Column]], default: Column | None = None) -> Column:
@@ -31,7 +33,10 @@ def choose(pairs: Sequence[tuple[Column, Column]], default: Column | None = None
 
 
 def lookup(c: Column, table: dict, default: Column | None = None) -> Column:
-    return choose([(c == F.lit(k), F.lit(v)) for k, v in table.items()], default)
+    """Value of the constant table for the key, else the default."""
+    kind = {str: "string", int: "int", float: "double"}[type(next(iter(table.values())))]
+    hit = F.try_element_at(F.from_json(F.lit(json.dumps(table)), f"map<string,{kind}>"), c)
+    return hit if default is None else F.coalesce(hit, default)
 
 
 # ---- accents -----------------------------------------------------------------------------------------------------
@@ -226,10 +231,9 @@ RULE_TYPE = "array<struct<category:string,subcategory:string,keywords:array<stri
 
 
 def _rule_table(rules) -> Column:
-    return F.array(*[
-        F.struct(F.lit(cat).alias("category"), F.lit(sub).alias("subcategory"), strings([k.lower() for k in kws]).alias("keywords"))
-        for cat, sub, kws in rules
-    ])
+    """The rules as one constant, folded by the optimizer."""
+    doc = [{"category": cat, "subcategory": sub, "keywords": [k.lower() for k in kws]} for cat, sub, kws in rules]
+    return F.from_json(F.lit(json.dumps(doc)), RULE_TYPE)
 
 
 def _first_rule(text: Column, rules) -> Column:

@@ -77,72 +77,77 @@ def booking_legs(bookings: DataFrame) -> DataFrame:
     return legs.select("booking_id", "pickup_datetime", "l.*").where("lat IS NOT NULL AND lon IS NOT NULL")
 
 
-CELL_DEGREES = 0.01  # about the match radius in latitude
-SLOT_MINUTES = 60
+class Grid:
+    """Match parameters and the join grid they imply: cells about as large as the search box and slots as long as the search window, so an
+    event touches at most two per axis, eight keys in all (more only where meridians converge)."""
 
+    def __init__(self, radius_km: float = V.RADIUS_KM, pre: int = V.PRE_MINUTES, post: int = V.AFTER_MINUTES, duration: int = V.EVENT_MINUTES):
+        self.radius_km, self.pre, self.post, self.duration = radius_km, pre, post, duration
+        self.lat_step = 2.2 * radius_km / V.KM_PER_DEGREE
+        self.lon_step = 1.6 * self.lat_step
+        self.slot_minutes = pre + duration + post
 
-def _slot(ts: Column) -> Column:
-    return F.floor(F.timestamp_diff("MINUTE", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), ts) / SLOT_MINUTES).cast("long")
+    def slot(self, ts: Column) -> Column:
+        return F.floor(F.timestamp_diff("MINUTE", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), ts) / self.slot_minutes).cast("long")
 
+    def y(self, lat: Column) -> Column:
+        return F.floor(lat / self.lat_step).cast("int")
 
-def _cell(x: Column) -> Column:
-    return F.floor(x / CELL_DEGREES).cast("int")
+    def x(self, lon: Column) -> Column:
+        return F.floor(lon / self.lon_step).cast("int")
 
 
-def event_cells(events: DataFrame, radius_km: float = V.RADIUS_KM, pre: int = V.PRE_MINUTES, post: int = V.AFTER_MINUTES,
-                duration: int = V.EVENT_MINUTES) -> DataFrame:
-    """Events exploded over the (hour, latitude cell, longitude cell) keys their search window touches: a constant number per event,
-    since window and box are fixed."""
+CELL = ["slot", "y", "x"]
+
+
+def event_cells(events: DataFrame, grid: Grid) -> DataFrame:
+    """Events exploded over the grid keys their search window touches."""
     c = F.col
     start = local_datetime(c("date_start"), c("time_start"))
     ev = events.where("latitude IS NOT NULL AND longitude IS NOT NULL AND time_start IS NOT NULL").select(
         "event_id", c("latitude").alias("e_lat"), c("longitude").alias("e_lon"), start.alias("e_start"))
-    dlat, dlon = box_half_widths(c("e_lat"), radius_km)
+    dlat, dlon = box_half_widths(c("e_lat"), grid.radius_km)
     ev = ev.withColumns({
-        "e_from": c("e_start") - minutes_interval(F.lit(pre)),
-        "e_to": c("e_start") + minutes_interval(F.lit(duration + post)),
+        "e_from": c("e_start") - minutes_interval(F.lit(grid.pre)),
+        "e_to": c("e_start") + minutes_interval(F.lit(grid.duration + grid.post)),
         "dlat": dlat, "dlon": dlon,
     })
-    for name, lo, hi in (("slot", _slot(c("e_from")), _slot(c("e_to"))),
-                         ("y", _cell(c("e_lat") - c("dlat")), _cell(c("e_lat") + c("dlat"))),
-                         ("x", _cell(c("e_lon") - c("dlon")), _cell(c("e_lon") + c("dlon")))):
-        ev = ev.withColumn(name, F.explode(F.sequence(lo, hi)))
+    axes = (("slot", grid.slot, c("e_from"), c("e_to")), ("y", grid.y, c("e_lat") - c("dlat"), c("e_lat") + c("dlat")), ("x", grid.x, c("e_lon") - c("dlon"), c("e_lon") + c("dlon")))
+    for name, key, lo, hi in axes:
+        ev = ev.withColumn(name, F.explode(F.sequence(key(lo), key(hi))))
     return ev
 
 
-def correlate(events: DataFrame, bookings: DataFrame, radius_km: float = V.RADIUS_KM, pre: int = V.PRE_MINUTES, post: int = V.AFTER_MINUTES,
-              duration: int = V.EVENT_MINUTES, since=None, until=None, rows_per_split: int = 1_000_000) -> DataFrame:
-    """Event x booking-leg matches by an equi-join on time slot and grid cell, then the exact window, box, distance and leg rules.
-
-    A leg lies in exactly one cell, so no pair can meet twice.  Hot cells (a city centre at a busy hour) are cut by split_join.
-    """
-    if since is not None:
-        events = events.where(F.col("date_start") >= as_date(since))
-    if until is not None:
-        events = events.where(F.col("date_start") <= as_date(until))
-    near = split_join(leg_cells(bookings), event_cells(events, radius_km, pre, post, duration), ["slot", "y", "x"], rows_per_split=rows_per_split)
-    return exact_matches(near, radius_km, pre, post, duration)
-
-
-def leg_cells(bookings: DataFrame) -> DataFrame:
-    return booking_legs(bookings).withColumns({"slot": _slot(F.col("pickup_datetime")), "y": _cell(F.col("lat")), "x": _cell(F.col("lon"))})
+def leg_cells(bookings: DataFrame, grid: Grid) -> DataFrame:
+    c = F.col
+    return booking_legs(bookings).withColumns({"slot": grid.slot(c("pickup_datetime")), "y": grid.y(c("lat")), "x": grid.x(c("lon"))})
 
 
-def exact_matches(near: DataFrame, radius_km: float = V.RADIUS_KM, pre: int = V.PRE_MINUTES, post: int = V.AFTER_MINUTES,
-                  duration: int = V.EVENT_MINUTES) -> DataFrame:
-    """The exact rules over pairs that met in a cell."""
+def exact_matches(near: DataFrame, grid: Grid) -> DataFrame:
+    """The exact window, box, distance and leg rules over pairs that met in a cell."""
     c = F.col
     near = near.where((c("pickup_datetime") >= c("e_from")) & (c("pickup_datetime") <= c("e_to"))
                       & (F.abs(c("lat") - c("e_lat")) <= c("dlat")) & (F.abs(c("lon") - c("e_lon")) <= c("dlon")))
-    near = near.withColumn("dist", haversine_km(c("lat"), c("lon"), c("e_lat"), c("e_lon"))).where(c("dist") <= radius_km)
+    near = near.withColumn("dist", haversine_km(c("lat"), c("lon"), c("e_lat"), c("e_lon"))).where(c("dist") <= grid.radius_km)
     micros = F.timestamp_diff("MICROSECOND", c("e_start"), c("pickup_datetime"))
     near = near.withColumn("time_delta_min", F.floor(micros / F.lit(60_000_000)).cast("int"))
     drop = c("leg") == "DROPOFF"
     near = near.where((drop & (c("time_delta_min") <= V.DROPOFF_LATEST_MINUTES)) | (~drop & (c("time_delta_min") >= 0)))
-    delta = F.when(drop, c("time_delta_min")).otherwise(c("time_delta_min") - duration)
-    window = F.when(drop, F.lit(pre)).otherwise(F.lit(post + duration))
+    delta = F.when(drop, c("time_delta_min")).otherwise(c("time_delta_min") - grid.duration)
+    window = F.when(drop, F.lit(grid.pre)).otherwise(F.lit(grid.post + grid.duration))
     return near.select("event_id", "booking_id", "leg", F.bround("dist", 3).alias("distance_km"), "time_delta_min",
-                       match_confidence(c("dist"), delta, window, radius_km).alias("match_confidence"))
+                       match_confidence(c("dist"), delta, window, grid.radius_km).alias("match_confidence"))
+
+
+def correlate(events: DataFrame, bookings: DataFrame, grid: Grid | None = None, since=None, until=None, rows_per_split: int = 1_000_000) -> DataFrame:
+    """Event x booking-leg matches by an equi-join on time slot and grid cell.  A leg lies in exactly one cell, so no pair meets twice; hot
+    cells (a city centre at a busy hour) are cut by split_join."""
+    grid = grid or Grid()
+    if since is not None:
+        events = events.where(F.col("date_start") >= as_date(since))
+    if until is not None:
+        events = events.where(F.col("date_start") <= as_date(until))
+    return exact_matches(split_join(leg_cells(bookings, grid), event_cells(events, grid), CELL, rows_per_split=rows_per_split), grid)
 
 
 def list_matches(matches: DataFrame, event_id=None, number: int = 1, size: int = 50) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from .. import fixed_values as V
 from ..functions.dates import hour_of
 from ..functions.scoring import demand_level, opportunity_components, opportunity_total
 from ..functions.text import slugify
+from ..session import pin
 from .filters import as_date, gate_facts, gate_failure
 
 
@@ -36,6 +39,23 @@ def opportunity_rows(events: DataFrame) -> DataFrame:
     Needs score_events columns plus quality_level, event_quality_score, freshness_score and in_area.
     """
     c = F.col
+    live = events.where((c("opportunity_score") >= V.OPPORTUNITY_MIN_SCORE) & ~c("status").isin(V.DEAD_STATUSES))
+    rows = live.select("event_id", "opportunity_score", "event_quality_score", "freshness_score", "quality_level", "in_area",
+                       F.explode(_opportunity_options()).alias("o")).where("o IS NOT NULL")
+    comps = opportunity_components(c("opportunity_score"), c("event_quality_score"), c("freshness_score"), c("in_area"), c("o.type_factor"))
+    return (
+        pin(rows, score_components=comps)
+        .withColumn("score", opportunity_total(c("score_components")))
+        .select("event_id", "o.opportunity_type", "score", demand_level(c("score")).alias("demand_level"), "o.window_start", "o.window_end",
+                F.lit("Modelled demand window").alias("window_label"), "o.reasons", "o.recommended_action", "score_components",
+                "o.legacy_factor", F.coalesce("quality_level", F.lit("LOW")).alias("confidence"))
+    )
+
+
+@functools.cache
+def _opportunity_options() -> Column:
+    """array<struct>: one entry per opportunity type, null where its condition fails."""
+    c = F.col
     w = c("windows")
     tourism = F.coalesce(c("c_tourism"), F.lit(0.2))
     station, airport = c("v_station_km"), c("v_airport_km")
@@ -82,27 +102,28 @@ def opportunity_rows(events: DataFrame) -> DataFrame:
             fill(advice, place=place).alias("recommended_action")))
         for kind, cond, factor, window, reasons, advice in table
     ]
-    live = events.where((c("opportunity_score") >= V.OPPORTUNITY_MIN_SCORE) & ~c("status").isin(V.DEAD_STATUSES))
-    rows = live.select("event_id", "opportunity_score", "event_quality_score", "freshness_score", "quality_level", "in_area",
-                       F.explode(F.array_compact(F.array(*options))).alias("o"))
-    comps = opportunity_components(c("opportunity_score"), c("event_quality_score"), c("freshness_score"), c("in_area"), c("o.type_factor"))
-    return (
-        rows.withColumn("score_components", comps)
-        .withColumn("score", opportunity_total(c("score_components")))
-        .select("event_id", "o.opportunity_type", "score", demand_level(c("score")).alias("demand_level"), "o.window_start", "o.window_end",
-                F.lit("Modelled demand window").alias("window_label"), "o.reasons", "o.recommended_action", "score_components",
-                "o.legacy_factor", F.coalesce("quality_level", F.lit("LOW")).alias("confidence"))
-    )
+    return F.array(*options)
 
 
 def action_rows(events: DataFrame, as_of) -> DataFrame:
     """Up to eight actions for each event whose gate is open, in template order."""
     c, day = F.col, as_date(as_of)
-    d = c("date_start")
     open_events = (
-        events.withColumn("_closed", gate_failure(day)).where(c("_closed").isNull())
+        pin(events, _closed=gate_failure(day)).where(c("_closed").isNull())
         .withColumn("reason", F.array_join(gate_facts(day), "; "))
     )
+    open_events = pin(open_events, _kept=F.slice(F.array_compact(_action_options()), 1, V.MAX_ACTIONS_PER_EVENT))
+    return open_events.select(
+        "event_id", "date_start", "opportunity_score", F.coalesce("marketing_priority", F.lit("P3")).alias("priority"), "reason",
+        F.posexplode("_kept").alias("ordinal", "a"),
+    ).select("event_id", "a.*", "priority", "reason", "ordinal", "date_start", "opportunity_score")
+
+
+@functools.cache
+def _action_options() -> Column:
+    """array<struct>: one entry per action type, null where its condition fails."""
+    c = F.col
+    d = c("date_start")
     venue = F.coalesce(c("v_name"), c("venue_name_raw"), F.lit("the venue"))
     city = F.coalesce(c("c_name"), c("city_name_raw"), F.lit(""))
     city_or_venue = F.coalesce(F.nullif(city, F.lit("")), venue)
@@ -156,11 +177,7 @@ def action_rows(events: DataFrame, as_of) -> DataFrame:
             fill(who, **slots).alias("suggested_audience")))
         for kind, cond, title, keyword, channel, text, time, date, who in table
     ]
-    kept = F.slice(F.array_compact(F.array(*options)), 1, V.MAX_ACTIONS_PER_EVENT)
-    return open_events.select(
-        "event_id", "date_start", "opportunity_score", F.coalesce("marketing_priority", F.lit("P3")).alias("priority"), "reason",
-        F.posexplode(kept).alias("ordinal", "a"),
-    ).select("event_id", "a.*", "priority", "reason", "ordinal", "date_start", "opportunity_score")
+    return F.array(*options)
 
 
 def cap_new_actions(new_actions: DataFrame, limit: int = V.MAX_ACTIONS_PER_RUN) -> DataFrame:

@@ -12,6 +12,7 @@ from .. import fixed_values as V
 from ..functions.dates import overlaps_day, within_days
 from ..functions.scoring import in_service_area
 from ..functions.text import choose, non_event_title
+from ..session import pin
 
 RANGE_DAYS = {"7d": 7, "30d": 30}
 
@@ -190,7 +191,7 @@ def validation_problems(as_of: Column, patterns: Sequence[str] = tuple(V.NON_EVE
 
 def split_valid(staged: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
     """(valid, rejected with problems)."""
-    checked = staged.withColumn("problems", validation_problems(as_date(as_of)))
+    checked = pin(staged, problems=validation_problems(as_date(as_of)))
     return checked.where(F.size("problems") == 0).drop("problems"), checked.where(F.size("problems") > 0)
 
 
@@ -226,7 +227,7 @@ def gate_facts(as_of: Column) -> Column:
 
 
 def mark_service_area(events: DataFrame, area: Sequence[str]) -> DataFrame:
-    return events.withColumn("in_area", in_service_area(F.col("c_name"), F.col("city_name_raw"), area))
+    return pin(events, in_area=in_service_area(F.col("c_name"), F.col("city_name_raw"), area))
 
 
 # ---- opportunity and action feeds -----------------------------------------------------------------------------------------

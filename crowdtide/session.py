@@ -16,6 +16,7 @@ def get_spark(app: str = "crowdtide", master: str = "local[*]", **conf: str) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for k, v in conf.items():
         b = b.config(k, v)
@@ -69,3 +70,12 @@ def split_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inn
     if on is not None:
         out = out.where(on)
     return out.drop("_part")
+
+
+def pin(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add computed columns once and for all: later filters and expressions refer to them by name instead of repeating their text.
+
+    A one-element generator does this inside the same stage.  Predicates on other columns still pass below it to the scan.
+    """
+    taken = [c for c in df.columns if c not in columns]
+    return df.select(*taken, F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))

@@ -1,6 +1,6 @@
 """Every registered query; importing the modules fills the registry."""
 
-from . import lists, scalars  # noqa: F401
+from . import figures, lists, scalars  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -13,6 +13,7 @@ from ..operators import filters as fl
 from ..operators.bookings import booking_legs
 from ..operators.entities import status_change
 from ..operators.views import flatten
+from ..session import pin
 from .oracle_tables import AS_OF as D
 from .oracle_tables import NOW, band_sql, level_sql, name_sql, title_sql
 from .registry import check
@@ -185,7 +186,7 @@ DATE_FORMS = """case pmod(o_orderkey, 7) when 0 then date_format(o_orderdate, 'd
 
 @check("dt01_uk_dates", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 < 5 THEN o_orderdate::DATE::VARCHAR END AS d FROM orders")
 def dt01(t):
-    return iso(t.table("orders").select("o_orderkey", dt.parse_uk_date(F.expr(DATE_FORMS)).alias("d")))
+    return iso(pin(t.table("orders").select("o_orderkey", "o_orderdate"), raw=F.expr(DATE_FORMS)).select("o_orderkey", dt.parse_uk_date("raw").alias("d")))
 
 
 TIME_FORMS = """case pmod(event_id, 6) when 0 then date_format(ts, 'HH:mm') when 1 then concat(date_format(ts, 'h'), '.', date_format(ts, 'mm'), lower(date_format(ts, 'a'))) when 2 then 'TBC'
@@ -194,7 +195,7 @@ TIME_FORMS = """case pmod(event_id, 6) when 0 then date_format(ts, 'HH:mm') when
 
 @check("dt02_times", "SELECT event_id, CASE event_id % 6 WHEN 2 THEN NULL WHEN 4 THEN strftime(ts, '%H:00') ELSE strftime(ts, '%H:%M') END AS t FROM events")
 def dt02(t):
-    return t.table("events").select("event_id", dt.parse_time(F.expr(TIME_FORMS)).alias("t"))
+    return pin(t.table("events").select("event_id", "ts"), raw=F.expr(TIME_FORMS)).select("event_id", dt.parse_time("raw").alias("t"))
 
 
 SUMMER = """o_orderdate + to_hours((o_orderkey % 24)::INT) >= date_trunc('month', make_date(year(o_orderdate), 3, 1)) + to_days(30 - isodow(make_date(year(o_orderdate), 3, 31))::INT % 7) + INTERVAL 1 HOUR
@@ -221,15 +222,15 @@ def dt04(t):
 def dt05(t):
     raw = F.expr(f"""case pmod(o_orderkey, 5) when 0 then date_format(o_orderdate, 'yyyy-MM-dd') when 1 then date_format({UTC}, "yyyy-MM-dd'T'HH:mm") when 2 then date_format({UTC}, 'yyyy-MM-dd HH:mm:ss')
         when 3 then date_format({UTC}, "yyyy-MM-dd'T'HH:mm:ss'Z'") else date_format(timestampadd(HOUR, 2, {UTC}), "yyyy-MM-dd'T'HH:mm:ss'+02:00'") end""")
-    d, hm = dt.parse_schema_datetime(raw)
-    return iso(t.table("orders").select("o_orderkey", d.alias("d"), hm.alias("t")))
+    d, hm = dt.parse_schema_datetime("raw")
+    return iso(pin(t.table("orders").select("o_orderkey", "o_orderdate"), raw=raw).select("o_orderkey", d.alias("d"), hm.alias("t")))
 
 
 @check("dt06_booking_timestamps", "SELECT event_id, CASE WHEN event_id % 5 < 3 THEN strftime(ts, '%Y-%m-%d %H:%M:00') WHEN event_id % 5 = 3 THEN strftime(ts, '%Y-%m-%d 00:00:00') END AS at FROM events")
 def dt06(t):
     raw = F.expr("""case pmod(event_id, 5) when 0 then date_format(ts, 'yyyy-MM-dd HH:mm') when 1 then date_format(ts, 'dd/MM/yyyy HH:mm') when 2 then date_format(ts, "yyyy-MM-dd'T'HH:mm:00")
         when 3 then date_format(ts, 'd MMM yyyy') else 'NULL' end""")
-    return iso(t.table("events").select("event_id", dt.parse_booking_timestamp(raw).alias("at")))
+    return iso(pin(t.table("events").select("event_id", "ts"), raw=raw).select("event_id", dt.parse_booking_timestamp("raw").alias("at")))
 
 
 @check("dt07_different_session", """SELECT event_id, coalesce(time_start <> time_end AND abs((left(time_start, 2)::INT * 60 + right(time_start, 2)::INT) - (left(time_end, 2)::INT * 60 + right(time_end, 2)::INT)) >= 120, false) AS apart FROM d_event""")

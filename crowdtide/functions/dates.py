@@ -9,39 +9,25 @@ from .. import fixed_values as V
 from .text import _col
 
 
-def _ymd(y: Column, m: Column, d: Column) -> Column:
-    """Date from text parts; null for an impossible date."""
-    y = F.when(F.length(y) <= 2, F.concat(F.lit("20"), F.lpad(y, 2, "0"))).otherwise(F.lpad(y, 4, "0"))
-    return F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
-
-
-def _month_number(word: Column) -> Column:
-    at = F.array_position(F.array(*[F.lit(m) for m in V.MONTHS]), F.lower(F.left(word, F.lit(3))))
-    return F.when(at > 0, at.cast("string"))
-
-
-_NUMERIC = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{2}|\d{3,4})$"
-_ISO = r"(?:^|\D)(\d{4})-(\d{1,2})-(\d{1,2})(?:\D|$)"
-_SLASHED = r"(?:^|\D)(\d{1,2})/(\d{1,2})/(\d{4})(?:\D|$)"
-_DAY_MONTH = r"(?i)(?:^|\D)(\d{1,2})(?:st|nd|rd|th)?(?:\s+of)?[\s-]+([a-z]{3,9})\.?,?[\s-]+(\d{4})(?:\D|$)"
-_MONTH_DAY = r"(?i)(?:^|[^a-z])([a-z]{3,9})\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})(?:\D|$)"
+# (pattern, rewrite, date format): each form is rewritten to year-month-day text; a form that does not match yields no date
+_DATE_FORMS = [
+    (r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$", "$3-$2-$1", "yyyy-M-d"),
+    (r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{2})$", "20$3-$2-$1", "yyyy-M-d"),
+    (r"(?s)^(?:.*?\D)??(\d{4})-(\d{1,2})-(\d{1,2})(?:\D.*)?$", "$1-$2-$3", "yyyy-M-d"),
+    (r"(?s)^(?:.*?\D)??(\d{1,2})/(\d{1,2})/(\d{4})(?:\D.*)?$", "$3-$2-$1", "yyyy-M-d"),
+    (r"(?is)^(?:.*?\D)??(\d{1,2})(?:st|nd|rd|th)?(?:\s+of)?[\s-]+([a-z]{3})[a-z]{0,6}\.?,?[\s-]+(\d{4})(?:\D.*)?$", "$3-$2-$1", "yyyy-MMM-d"),
+    (r"(?is)^(?:.*?[^a-z])??([a-z]{3})[a-z]{0,6}\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})(?:\D.*)?$", "$3-$1-$2", "yyyy-MMM-d"),
+]
 
 
 def parse_uk_date(c: Column | str) -> Column:
-    """Day-first date from numeric, ISO or 'd Month yyyy' text found anywhere in the value."""
+    """Day-first date from numeric, ISO or 'd Month yyyy' text found anywhere in the value; null for an impossible date."""
     s = F.trim(_col(c))
-
-    def g(p: str, i: int) -> Column:
-        return F.regexp_extract(s, p, i)
-
-    numeric = _ymd(g(_NUMERIC, 3), g(_NUMERIC, 2), g(_NUMERIC, 1))
-    free = F.coalesce(
-        F.when(s.rlike(_ISO), _ymd(g(_ISO, 1), g(_ISO, 2), g(_ISO, 3))),
-        F.when(s.rlike(_SLASHED), _ymd(g(_SLASHED, 3), g(_SLASHED, 2), g(_SLASHED, 1))),
-        F.when(s.rlike(_DAY_MONTH), _ymd(g(_DAY_MONTH, 3), _month_number(g(_DAY_MONTH, 2)), g(_DAY_MONTH, 1))),
-        F.when(s.rlike(_MONTH_DAY), _ymd(g(_MONTH_DAY, 3), _month_number(g(_MONTH_DAY, 1)), g(_MONTH_DAY, 2))),
-    )
-    return F.when(s.rlike(_NUMERIC), numeric).otherwise(free)
+    found = []
+    for pattern, rewrite, form in _DATE_FORMS:
+        text = F.regexp_replace(s, pattern, rewrite)
+        found.append(F.try_to_date(F.initcap(text) if "MMM" in form else text, form))
+    return F.coalesce(*found)
 
 
 _CLOCK = r"^(\d{1,2})[.:](\d{2})\s*(am|pm)?$"
@@ -123,8 +109,7 @@ def parse_schema_datetime(c: Column | str) -> tuple[Column, Column]:
     naive = F.try_to_timestamp(F.concat_ws(" ", day, clock), F.lit("yyyy-MM-dd HH:mm")).cast("timestamp_ntz")
     shifted = utc_to_local(naive - minutes_interval(_offset_minutes(tz)))
     local = F.when(tz == "", naive).otherwise(shifted)
-    date = (F.when(F.length(v) <= 10, parse_uk_date(v))
-            .when(is_stamp, F.to_date(local)).otherwise(parse_uk_date(F.substring(v, 1, 10))))
+    date = F.when(is_stamp, F.to_date(local)).otherwise(parse_uk_date(F.substring(v, 1, 10)))
     time = (F.when(F.length(v) <= 10, F.lit(None).cast("string"))
             .when(is_stamp, hhmm(local)).otherwise(parse_time(F.substring(v, 12, 5))))
     return date, time

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from .. import fixed_values as V
 from ..functions.dates import parse_schema_datetime
 from ..functions.text import external_id, merge_hint, normalize_status
+from ..session import pin
 from .staging import staged
 
 
@@ -118,13 +119,13 @@ def normalize_items(items: DataFrame, source_key: str, confidence: str = "OFFICI
         if name not in items.columns:
             items = items.withColumn(name, F.lit(None).cast(kind))
     c = F.col
-    df = items.withColumn("v", F.try_parse_json("item"))
+    df = pin(items, v=F.try_parse_json("item"))
     v = c("v")
-    date, time = parse_schema_datetime(vtext(v, "$.startDate", "$.start_date", "$.date"))
-    end_date, end_time = parse_schema_datetime(vtext(v, "$.endDate", "$.end_date"))
-    df = df.withColumns({"d": date, "t": time, "de": end_date, "te": end_time})
+    df = pin(df, begins=vtext(v, "$.startDate", "$.start_date", "$.date"), ends=vtext(v, "$.endDate", "$.end_date"))
+    (date, time), (end_date, end_time) = parse_schema_datetime("begins"), parse_schema_datetime("ends")
+    df = pin(df, d=date, t=time, de=end_date, te=end_time)
     placeholder = F.year("de") < 1980
-    df = df.withColumn("te", F.when(placeholder, None).otherwise(c("te"))).withColumn("de", F.when(placeholder, None).otherwise(c("de")))
+    df = df.withColumns({"te": F.when(placeholder, None).otherwise(c("te")), "de": F.when(placeholder, None).otherwise(c("de"))})
     df = df.withColumn("te", F.when((c("de") == c("d")) & c("te").eqNullSafe(c("t")), None).otherwise(c("te")))
 
     plugin_venue = _plain(v, "$.venue.venue")  # calendar plugin: venue.venue, venue.city, venue.zip

@@ -9,7 +9,7 @@ from .. import fixed_values as V
 from ..functions.dates import hour_of, local_datetime, minutes_interval, parse_booking_timestamp, weekend
 from ..functions.geo import box_half_widths, haversine_km, match_confidence
 from ..functions.text import normalize_postcode
-from ..session import split_join
+from ..session import pin, split_join
 from .filters import as_date
 
 STAMPS = ["booking_created_at", "pickup_datetime", "dropoff_datetime"]
@@ -33,13 +33,13 @@ def to_canonical(raw: DataFrame, column_map: dict[str, str] | None = None) -> tu
     def stamp(name: str) -> Column:
         return c(name).cast("timestamp_ntz") if types[name].startswith("timestamp") else parse_booking_timestamp(c(name).cast("string"))
 
-    out = m.select(
-        F.nullif(F.substring(c("booking_id").cast("string"), 1, 80), F.lit("")).alias("booking_id"),
-        *[stamp(x).alias(x) for x in STAMPS],
-        *[normalize_postcode(x).alias(x) for x in ("pickup_postcode", "dropoff_postcode")],
+    rest = m.columns
+    out = pin(m, booking_id=F.nullif(F.substring(c("booking_id").cast("string"), 1, 80), F.lit("")), **{x: stamp(x) for x in STAMPS})
+    out = out.select(
+        "booking_id", *STAMPS, *[normalize_postcode(x).alias(x) for x in ("pickup_postcode", "dropoff_postcode")],
         *[c(x).try_cast("double").alias(x) for x in DOUBLES],
         F.nullif(F.substring("status", 1, 20), F.lit("")).alias("status"), F.nullif(F.substring("vehicle_type", 1, 30), F.lit("")).alias("vehicle_type"),
-        *[c(x) for x in ("read_order",) if x in m.columns],
+        *[c(x) for x in ("read_order",) if x in rest],
     )
     good = c("booking_id").isNotNull() & c("pickup_datetime").isNotNull()
     return out.where(good), out.where(~good)

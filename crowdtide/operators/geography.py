@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions.geo import squared_degrees
-from ..functions.similarity import ratio, token_set_ratio
+from ..functions.similarity import ratio, ratio_of, token_set_of, token_set_ratio
 from ..functions.text import normalize_name, normalize_postcode
-from .similar import gram_pairs, word_pairs, word_set_text
+from ..session import cut_lineage
+from .similar import tile_pairs, word_pairs, word_set_text
 
 
 def alias_index(registry: DataFrame, id_col: str, seeded: Column | None = None) -> DataFrame:
@@ -74,7 +75,8 @@ def _fuzzy_pairs(names: DataFrame, index: DataFrame, id_col: str, floor: float,
     text = word_set_text(F.col("key")) if by_words else F.col("key")
     left = names.select(F.col("key").alias("l_id"), text.alias("l_text"))
     right = index.select(F.col("key").alias("r_id"), text.alias("r_text"))
-    pairs = gram_pairs(left, right, t)
+    left, right = cut_lineage(left), cut_lineage(right)
+    pairs = tile_pairs(left, right, t, [], score=token_set_of if by_words else ratio_of)
     if by_words:
         pairs = pairs.union(word_pairs(left, right, t)).distinct()
     scored = pairs.select(F.col("l_id").alias("key"), F.col("r_id").alias("index_key"), scorer("l_id", "r_id").alias("score")).where(F.col("score") >= floor)

@@ -43,15 +43,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def split_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner",
-               on: Column | None = None, rows_per_split: int = 1_000_000) -> DataFrame:
+               on: Column | None = None, rows_per_split: int = 1_000_000, hot_from: DataFrame | None = None) -> DataFrame:
     """Equi-join that cuts any key of ``many`` with more than ``rows_per_split`` rows into several sub-keys.
 
     Rows of ``many`` under a hot key go to one of n sub-keys by row hash; the matching rows of ``few`` are copied to all
     n.  The hot-key table has at most rows(many) / rows_per_split rows, which bounds the broadcast.  ``how`` may
-    be inner, left or left_semi/left_anti with ``many`` on the left.
+    be inner, left or left_semi/left_anti with ``many`` on the left.  ``hot_from`` is a cheaper frame with the same keys to count
+    (an earlier checkpoint of ``many``), so that a long plan is not run twice.
     """
     hot = (
-        many.groupBy(*keys).count()
+        (many if hot_from is None else hot_from).groupBy(*keys).count()
         .where(F.col("count") > rows_per_split)
         .select(*keys, F.ceil(F.col("count") / rows_per_split).cast("int").alias("_splits"))
     )

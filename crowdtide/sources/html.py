@@ -140,7 +140,7 @@ def normalize_items(items: DataFrame, source_key: str, confidence: str = "OFFICI
         F.when(plugin_venue.isNotNull(), vtext(v, "$.venue.zip")))), c("page_postcode"))
     availability = F.lower(F.coalesce(vtext(v, "$.offers.availability", "$.offers[0].availability"), F.lit("")))
     df = df.withColumns({
-        "loc_name": loc_name, "locality": F.trim(F.lit(", "), locality), "postal": F.nullif(F.trim(F.lit(", "), postal), F.lit("")),
+        "loc_name": loc_name, "locality": F.trim(locality, F.lit(", ")), "postal": F.nullif(F.trim(postal, F.lit(", ")), F.lit("")),
         "sold": F.contains(F.replace(availability, F.lit(" ")), F.lit("soldout")),
         "kind": F.coalesce(_plain(v, "$['@type']"), F.try_variant_get(v, "$['@type'][0]", "string")),
         "link": F.coalesce(vtext(v, "$.url"), c("page_url")),

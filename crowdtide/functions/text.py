@@ -236,10 +236,12 @@ def _rule_table(rules) -> Column:
     return F.from_json(F.lit(json.dumps(doc)), RULE_TYPE)
 
 
-def _first_rule(text: Column, rules) -> Column:
+def _first_rule(text: Column, rules, confidence: float) -> Column:
+    """struct(category, subcategory, confidence) of the first rule with a keyword in the text; null without one."""
     padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
     hits = F.filter(_rule_table(rules), lambda r: F.exists(r["keywords"], lambda k: F.contains(padded, k)))
-    return F.get(hits, F.lit(0))
+    named = F.transform(hits, lambda r: F.struct(r["category"].alias("category"), r["subcategory"].alias("subcategory"), F.lit(confidence).alias("confidence")))
+    return F.get(named, F.lit(0))
 
 
 def classify(title: Column, hint: Column | None = None, description: Column | None = None, rules=None) -> Column:
@@ -251,11 +253,7 @@ def classify(title: Column, hint: Column | None = None, description: Column | No
     if description is not None:
         levels.append((F.nullif(F.substring(description, 1, V.DESCRIPTION_CHARS), F.lit("")), V.TEXT_CONFIDENCE))
     levels.append((weak, V.WEAK_CONFIDENCE))
-    found = []
-    for text, conf in levels:
-        rule = _first_rule(text, rules)
-        found.append(F.when(rule.isNotNull(), F.struct(
-            rule["category"].alias("category"), rule["subcategory"].alias("subcategory"), F.lit(conf).alias("confidence"))))
+    found = [_first_rule(text, rules, conf) for text, conf in levels]
     fallback = F.struct(F.lit(V.DEFAULT_CATEGORY[0]).alias("category"), F.lit(V.DEFAULT_CATEGORY[1]).alias("subcategory"),
                         F.lit(V.DEFAULT_CONFIDENCE).alias("confidence"))
     return F.coalesce(*found, fallback)

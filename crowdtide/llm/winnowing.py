@@ -84,7 +84,7 @@ def _fingerprints(keyed: DataFrame, window: int, lengths: list[int], short_only:
     ``short_only``: benchmark side, where an n-gram counts only as a whole item.
     """
     keys = [c for c in keyed.columns if c != "text"]
-    fields = keyed.select(*keys).schema.add("n", "int").add("print", "long").add("at", "int")
+    fields = keyed.select(*keys).schema.add("n", "integer").add("print", "long").add("at", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -117,7 +117,7 @@ def _fingerprints(keyed: DataFrame, window: int, lengths: list[int], short_only:
 def _windows(keyed: DataFrame, window: int, places: bool) -> DataFrame:
     """(key columns, n, at, words): full windows as text; with ``places`` (array of struct n, at) only those around the hits."""
     keys = [c for c in keyed.columns if c not in ("text", "places")]
-    fields = keyed.select(*keys).schema.add("n", "int").add("at", "int").add("words", "binary")
+    fields = keyed.select(*keys).schema.add("n", "integer").add("at", "integer").add("words", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -161,7 +161,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     id_key, text = F.col(id_column).alias("_id"), whole(text_column)
     keyed = docs.select(id_key, F.xxhash64(text).alias("_h"), text.alias("text"))
     items = benchmark.select("item_id", whole("text").alias("text"))
-    windows = stored(_windows(items, window, False).distinct(), "benchmark-windows")
+    windows = stored(_windows(items, window, False).drop("at").distinct(), "benchmark-windows")
     lengths = [r.n for r in windows.where(F.col("n") < window).select("n").distinct().collect()]  # at most window - 1 numbers
 
     prints = _fingerprints(items, window, lengths, True).select("n", "print").distinct()

@@ -22,35 +22,73 @@ from pyspark.sql import functions as F
 from .common import free_name, stored, whole
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
+TAIL = ".,;:!?*#%$&|"
 
 
 # ---- tokens and pieces ----------------------------------------------------------------------------------------------
 
 class WordEncoder:
-    """Packed ids of texts; words between blanks and line ends are encoded once each while the cache is below its bound.
+    """Packed ids of texts; words between blanks and line ends are encoded once each while the caches are below their bound.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words in order.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its words in order.  It also parts a run of letters from what follows, so that
+    a word is looked up as its letters (ASCII ones in lower case) and its rest.  Runs of letters go through the tokenizer many at a time: the last id of each marks a word's end.
     """
 
     def __init__(self, tokenizer_file: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
         self.end = np.array([end_id], "<u4").tobytes()
-        self.cache: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def _one(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _encode_letters(self, runs: list[str]) -> None:
+        groups = [runs[k: k + 512] for k in range(0, len(runs), 512)]
+        for group, coded in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+            if len(cuts) != len(group):  # a letter that the tokenizer takes apart
+                self.parts.update((w, self._one(w)) for w in group)
+                continue
+            packed, last = ids.tobytes(), 0
+            for w, cut in zip(group, cuts, strict=True):
+                self.parts[w] = packed[last:cut]
+                last = cut
+
+    def _add(self, words: set[str]) -> None:
+        split, letters = [], set()
+        for w in words:
+            head = w.rstrip(TAIL)
+            if head.isalpha():
+                tail = w[len(head):]
+                if head.isascii():
+                    head = head.lower()
+                letters.add(head)
+                if tail not in self.parts:
+                    self.parts[tail] = self._one(tail)
+                split.append((w, head, tail))
+            else:
+                self.words[w] = self._one(w) if w else b""
+        self._encode_letters(list(letters.difference(self.parts)))
+        for w, head, tail in split:
+            self.words[w] = self.parts[head] + self.parts[tail]
 
     def packed(self, texts: list[str]) -> list[bytes]:
         words = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.cache})
-        if len(self.cache) + len(new) > CACHED_WORDS:
-            self.cache = {}
-            new = list({w for ws in words for w in ws})
-        for k in range(0, len(new), 20_000):
-            for w, e in zip(new[k: k + 20_000], self.tokenizer.encode_batch_fast(new[k: k + 20_000], add_special_tokens=False), strict=False):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.cache.__getitem__
+        if len(self.words) > CACHED_WORDS:
+            self.words = {}
+        if len(self.parts) > CACHED_WORDS:
+            self.parts = {"": b""}
+        self._add(set().union(*words).difference(self.words))
+        get = self.words.__getitem__
         return [b"".join(map(get, ws)) + self.end for ws in words]
 
 
@@ -64,8 +102,8 @@ def pieces(docs: DataFrame, tokenizer_file: str, end_id: int, size: int, keep: t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(tokenizer_file, end_id)
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
+            for first in range(0, batch.num_rows, 128):
+                part = batch.slice(first, 128)
                 rows, out = [], []
                 for k, ids in enumerate(encoder.packed(part.column("text").to_pylist())):
                     n = len(ids) // 4

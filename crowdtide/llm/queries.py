@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import main_text, packing
+from . import divergence, main_text, packing, winnowing
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +34,65 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+OP6_SQL = rf"""
+with d as (select row_number() over () as row, doc_id, lang, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words,
+             list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
+grams as (select row, i, array_to_string(words[i:i + 7], ' ') as g from (select row, words, unnest(range(1, len(words) - 6)) as i from w where len(words) >= 8)),
+repeats as (select row, i from grams qualify count(*) over (partition by row, g) > 1),
+covered as (select row, sum(least(8, coalesce(next - i, 8))) as n from (select row, i, lead(i) over (partition by row order by i) as next from repeats) group by row),
+hist as (select row, doc_id, lang, len(words) as n_words, length(array_to_string(words, '')) as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols,
+                len(lines) - len(list_distinct(lines)) as n_dup_lines, length(text) as n_chars,
+                [{", ".join(f"len(regexp_extract_all(text, '{p.replace(chr(92) + 'x22', '"').replace(chr(39), chr(39) * 2)}'))" for p in divergence.CLASSES)}] as classes,
+                list_transform(words, x -> lower(x)) as lowered from w),
+counts as (select h.row, x.k, count(*) as n from (select row, unnest(lowered) as word from hist) h join (select unnest([{", ".join(f"'{x}'" for x in divergence.WORDS)}]) as word,
+                  unnest(range(1, {len(divergence.WORDS) + 1})) as k) x using (word) group by all),
+mass as (select row, 'chars' as kind, k, n from (select row, unnest(range(1, len(classes) + 1)) as k, unnest(classes) as n from hist)
+         union all select row, 'chars', 0, n_chars - list_sum(classes) from hist
+         union all select row, 'common', k, n from counts
+         union all select row, 'common', 0, n_words - coalesce((select sum(n) from counts c where c.row = hist.row), 0) from hist),
+langs as (select lang from hist where lang is not null group by lang having sum(n_words) >= {divergence.MIN_REFERENCE_WORDS}),
+used as (select hist.row, langs.lang as ref from hist left join langs using (lang)),
+refs as (select hist.lang as ref, kind, k, sum(n) as n from mass join hist using (row) where hist.lang in (select lang from langs) group by all
+         union all select null, kind, k, sum(n) from mass group by all),
+own as (select row, kind, sum(n) as total from mass group by all),
+ref_total as (select ref, kind, sum(n) as total from refs group by all),
+pairs as (select u.row, r.kind, coalesce(m.n, 0) / nullif(o.total, 0) as p, r.n / nullif(t.total, 0) as q
+          from used u join refs r on u.ref is not distinct from r.ref join ref_total t on t.ref is not distinct from r.ref and t.kind = r.kind
+          join own o on o.row = u.row and o.kind = r.kind left join mass m on m.row = u.row and m.kind = r.kind and m.k = r.k),
+apart as (select row, kind, sqrt(greatest(0, sum((case when p > 0 then p * log2(2 * p / (p + q)) else 0 end + case when q > 0 then q * log2(2 * q / (p + q)) else 0 end)) / 2)) as dist
+          from pairs where p is not null group by all),
+wide as (select h.*, coalesce(c.n, 0) as n_repeat_words, (select dist from apart a where a.row = h.row and kind = 'chars') as cd, (select dist from apart a where a.row = h.row and kind = 'common') as wd
+         from hist h left join covered c using (row)),
+judged as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+                  coalesce((n_chars >= {divergence.MIN_CHARS} and cd > {divergence.MAX_CHAR_DISTANCE}) or (n_words >= {divergence.MIN_WORDS} and cd > {divergence.MAX_BOTH[0]} and wd > {divergence.MAX_BOTH[1]}), false) as odd from wide)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words,
+       base_failed, not base_failed and not odd as kept from judged
+"""
+
+
+@query("op6_quality_rules", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.measure(table(spark, sf_dir, "documents")).select("doc_id", *divergence.COUNTS, "base_failed", "kept")
+
+
+OP7_SQL = r"""
+with d as (select row_number() over () as row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ -/:-`{-]+') as words from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ -/:-`{-]+') as words from benchmark),
+windows as (select distinct item_id, n, array_to_string(words[i:i + n - 1], ' ') as g from (select item_id, words, least(10, len(words)) as n, unnest(range(1, len(words) - least(10, len(words)) + 2)) as i from b where len(words) > 0)),
+sizes as (select distinct n from windows),
+grams as (select row, n, i, array_to_string(words[i:i + n - 1], ' ') as g from (select row, words, n, unnest(range(1, len(words) - n + 2)) as i from d cross join sizes where len(words) >= n)),
+hits as (select row, n, i, item_id from grams join windows using (n, g)),
+words as (select row, count(distinct w) as n_hit from (select row, unnest(range(i, i + n)) as w from (select distinct row, n, i from hits)) group by row),
+items as (select row, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct row, item_id::varchar as item from hits) group by row)
+select doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (row) left join items using (row)
+"""
+
+
+@query("op7_benchmark_decontamination", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = winnowing.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

@@ -39,14 +39,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = rf"""
 with d as (select row_number() over () as row, doc_id, lang, coalesce(text, '') as text from documents),
 w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words,
-             list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
 grams as (select row, i, array_to_string(words[i:i + 7], ' ') as g from (select row, words, unnest(range(1, len(words) - 6)) as i from w where len(words) >= 8)),
 repeats as (select row, i from grams qualify count(*) over (partition by row, g) > 1),
 covered as (select row, sum(least(8, coalesce(next - i, 8))) as n from (select row, i, lead(i) over (partition by row order by i) as next from repeats) group by row),
 hist as (select row, doc_id, lang, len(words) as n_words, length(array_to_string(words, '')) as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols,
                 len(lines) - len(list_distinct(lines)) as n_dup_lines, length(text) as n_chars,
                 [{", ".join(f"len(regexp_extract_all(text, '{p.replace(chr(92) + 'x22', '"').replace(chr(39), chr(39) * 2)}'))" for p in divergence.CLASSES)}] as classes,
-                list_transform(words, x -> lower(x)) as lowered from w),
+                list_transform(words, lambda x: lower(x)) as lowered from w),
 counts as (select h.row, x.k, count(*) as n from (select row, unnest(lowered) as word from hist) h join (select unnest([{", ".join(f"'{x}'" for x in divergence.WORDS)}]) as word,
                   unnest(range(1, {len(divergence.WORDS) + 1})) as k) x using (word) group by all),
 mass as (select row, 'chars' as kind, k, n from (select row, unnest(range(1, len(classes) + 1)) as k, unnest(classes) as n from hist)
@@ -79,8 +79,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = r"""
-with d as (select row_number() over () as row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ -/:-`{-]+') as words from documents),
-b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ -/:-`{-]+') as words from benchmark),
+with d as (select row_number() over () as row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from benchmark),
 windows as (select distinct item_id, n, array_to_string(words[i:i + n - 1], ' ') as g from (select item_id, words, least(10, len(words)) as n, unnest(range(1, len(words) - least(10, len(words)) + 2)) as i from b where len(words) > 0)),
 sizes as (select distinct n from windows),
 grams as (select row, n, i, array_to_string(words[i:i + n - 1], ' ') as g from (select row, words, n, unnest(range(1, len(words) - n + 2)) as i from d cross join sizes where len(words) >= n)),

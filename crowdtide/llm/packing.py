@@ -10,6 +10,7 @@ Only the histogram reaches the driver: at most ``size / width`` counts, whatever
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, stored, whole
+from .common import arrow_rows, free_name, stored, whole
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 TAIL = ".,;:!?*#%$&|"
 
 
@@ -100,6 +101,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, end_id: int, size: int, keep: t
         fields = fields.add(name, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here makes cycles, and the lists of words are long
         encoder = WordEncoder(tokenizer_file, end_id)
         for batch in batches:
             for first in range(0, batch.num_rows, 128):
@@ -264,4 +266,6 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 2, size: int = 4096
     rows are interchangeable.  No row gives no sequence.  Other columns are not read.
     """
     named = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    return assign(stored(pieces(named, tokenizer_file, end_id, size), "pieces"), size, width)
+    with arrow_rows(docs.sparkSession, 1000):
+        cut = stored(pieces(named, tokenizer_file, end_id, size), "pieces")
+    return assign(cut, size, width)

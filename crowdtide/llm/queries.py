@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, chosen_path, divergence, main_text, packing, pii, rule_ensemble, suffix_dedup, winnowing
-from .common import table
+from . import backoff_lm, chosen_path, divergence, fuzzy_lines, main_text, packing, pii, rule_ensemble, suffix_dedup, winnowing
+from .common import table, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +125,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_ngram_jaccard_join")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.link(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+@query("op4_line_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = fuzzy_lines.deduplicate(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(whole("text"), 256).alias("kept_sha256"))

@@ -42,7 +42,7 @@ class Texts:
         powers = Powers()
         fold, is_word = ascii_lower(), _space_table()
         tokens, sizes = [], []
-        for _, _, data, offsets in slices(table, "text", 1 << 19):
+        for _, _, data, offsets in slices(table, "text"):
             starts, ends = word_spans(data, offsets, is_word)
             hashes = word_hashes(data, starts, ends, fold, powers) if len(starts) else np.zeros(0, np.uint64)
             counts = np.diff(np.searchsorted(starts, offsets))

@@ -127,6 +127,10 @@ class Domain:
         })
         return ev.drop("o_orderpriority", "o_custkey", k)
 
+    def event_touching(self, days_ahead: int) -> DataFrame:
+        """Events that begin by as_of + days_ahead and are not over before as_of, whenever they began."""
+        return self.event_between(None, days_ahead).where(F.coalesce("date_end", "date_start") >= F.lit(AS_OF))
+
     @cached_property
     def event(self) -> DataFrame:
         return self.event_between()

@@ -43,7 +43,7 @@ OPEN = f"SELECT count(*) AS open_actions FROM d_action WHERE action_status IN ('
 
 @check("agg02_daily_summary", f"SELECT * FROM ({COUNTERS}), ({CHANGES.format(since=D + ' - 1')}), ({SOURCES}), ({OPEN})")
 def agg02(t):
-    ev = t.scored_between(5, 30)
+    ev = t.scored(t.event_touching(30))
     return reports.summary(ev, t.event_change, t.source, t.action(ev), AS_OF)
 
 
@@ -250,7 +250,7 @@ def agg27(t):
     UNION ALL SELECT * FROM (SELECT 'area' AS part, event_id, opportunity_score FROM d_scored WHERE date_start BETWEEN {D} AND {D} + 7 AND status IN {ACTIVE} AND in_area AND c_name IS NOT NULL AND quality_level <> 'LOW' ORDER BY opportunity_score DESC, date_start, event_id LIMIT 5)
     UNION ALL SELECT * FROM (SELECT 'today' AS part, event_id, opportunity_score FROM d_scored WHERE date_start = {D} AND status IN {ACTIVE} ORDER BY opportunity_score DESC, event_id LIMIT 20)""")
 def agg28(t):
-    ev = t.scored_between(5, 30)
+    ev = t.scored(t.event_touching(30))
     r = reports.daily_report(ev, t.event_change, t.source, t.action(ev), AS_OF)
     parts = [r[k].select(F.lit(n).alias("part"), "event_id", "opportunity_score") for n, k in (("top", "top_opportunities"), ("area", "service_area_top"), ("today", "today"))]
     return parts[0].union(parts[1]).union(parts[2])
@@ -267,7 +267,7 @@ def agg28(t):
     UNION ALL SELECT 'categories', CASE category WHEN 'education' THEN 1 WHEN 'sports' THEN 2 ELSE 3 END, category, count(*)::VARCHAR FROM d_event WHERE date_start BETWEEN {D} AND {D} + 7 AND status IN {ACTIVE} AND category IN ('education', 'sports', 'music') GROUP BY category
     UNION ALL SELECT 'system', 1, 'sources_healthy', sources_healthy::VARCHAR FROM s UNION ALL SELECT 'system', 2, 'sources_total', sources_total::VARCHAR FROM s UNION ALL SELECT 'system', 3, 'sources_blocked', sources_blocked::VARCHAR FROM s""")
 def agg29(t):
-    ev = t.scored_between(5, 30)
+    ev = t.scored(t.event_touching(30))
     return reports.digest(reports.daily_report(ev, t.event_change, t.source, t.action(ev), AS_OF))
 
 

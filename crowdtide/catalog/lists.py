@@ -47,7 +47,7 @@ def _overlap(day: str) -> str:
 def flt02(t):
     day = fl.as_date(AS_OF)
     presets = F.array_compact(F.array(*[F.when(fl.in_range(p, day), F.lit(p)) for p in ("today", "tomorrow", "7d", "30d")]))
-    return t.event_between(5, 30).select(F.explode(presets).alias("preset"), "event_id")
+    return t.event_touching(30).select(F.explode(presets).alias("preset"), "event_id")
 
 
 @check("flt03_default_horizon", f"SELECT category, count(*) AS n FROM d_event WHERE date_start >= {D} GROUP BY 1")
@@ -335,7 +335,7 @@ def prj10(t):
 
 # ---- exports -------------------------------------------------------------------------------------------------------------------------
 @check("snk01_csv_export", """SELECT event_id::VARCHAR AS event_id, coalesce(v_name, venue_name_raw) AS venue_name, v_capacity::VARCHAR AS venue_capacity, opportunity_score::VARCHAR AS opportunity_score FROM d_scored
-    ORDER BY date_start, d_scored.event_id LIMIT 20000""")
+    ORDER BY date_start, d_scored.event_id""")
 def snk01(t):
     from ..session import shared_folder
 
@@ -345,7 +345,7 @@ def snk01(t):
 
 
 @check("snk02_json_export", f"""SELECT event_id, opportunity_type, score FROM (SELECT o.event_id, o.opportunity_type, o.score FROM d_opp o JOIN d_event e USING (event_id) WHERE e.date_start BETWEEN {D} AND {D} + 30
-    ORDER BY o.score DESC, o.event_id, o.opportunity_type LIMIT 20000)""")
+    ORDER BY o.score DESC, o.event_id, o.opportunity_type)""")
 def snk02(t):
     from ..session import shared_folder
 
@@ -356,25 +356,25 @@ def snk02(t):
 
 
 @check("snk03_events_export", f"""SELECT event_id, date_start::VARCHAR AS date_start, title, city FROM (SELECT event_id, date_start, title, coalesce(c_name, city_name_raw) AS city FROM d_scored
-    WHERE date_start >= {D} AND category = 'music' ORDER BY date_start, event_id LIMIT 20000)""")
+    WHERE date_start >= {D} AND category = 'music' ORDER BY date_start, event_id)""")
 def snk03(t):
     return iso(sinks.events_export(t.scored_between(0), AS_OF, date_from=AS_OF, category="music").select("event_id", "date_start", "title", "city"))
 
 
 @check("snk04_opportunities_export", f"""SELECT o.event_id, o.opportunity_type, o.score, o.demand_level, o.window_start, o.window_end, o.confidence FROM d_opp o JOIN d_event e USING (event_id)
-    WHERE o.score >= 50 AND e.date_start BETWEEN {D} AND {D} + 30 ORDER BY o.score DESC, o.event_id, o.opportunity_type LIMIT 20000""")
+    WHERE o.score >= 50 AND e.date_start BETWEEN {D} AND {D} + 30 ORDER BY o.score DESC, o.event_id, o.opportunity_type""")
 def snk04(t):
     ev = t.scored_between(0, 30)
     return sinks.opportunities_export(t.opportunity(ev), ev, AS_OF, min_score=50).select(
         "event_id", "opportunity_type", "score", "demand_level", "window.window_start", "window.window_end", "confidence")
 
 
-@check("snk05_actions_export", """SELECT action_id, action_type, priority, action_status AS status FROM d_action WHERE action_status = 'NEW' AND action_type = 'SEO' ORDER BY priority DESC, action_id DESC LIMIT 20000""")
+@check("snk05_actions_export", """SELECT action_id, action_type, priority, action_status AS status FROM d_action WHERE action_status = 'NEW' AND action_type = 'SEO' ORDER BY priority DESC, action_id DESC""")
 def snk05(t):
     return sinks.actions_export(t.action(t.scored_between(0, 30)), "new", "seo").select("action_id", "action_type", "priority", "status")
 
 
-@check("snk06_runs_export", """SELECT run_id, trigger, status, strftime(started_at, '%Y-%m-%d %H:%M:%S') AS started_at, duration_seconds, sources_attempted, events_raw, events_valid FROM d_prun ORDER BY run_id DESC LIMIT 90""")
+@check("snk06_runs_export", """SELECT run_id, trigger, status, strftime(started_at, '%Y-%m-%d %H:%M:%S') AS started_at, duration_seconds, sources_attempted, events_raw, events_valid FROM d_prun ORDER BY run_id DESC""")
 def snk06(t):
     return iso(sinks.runs_export(t.pipeline_run).drop("completed_at"))
 
@@ -387,8 +387,8 @@ def snk07(t):
     folder = f"{shared_folder(t.spark)}/bundle"
     ev = t.scored_between(0, 30)
     names = sinks.snapshot_bundle({
-        "summary": reports.event_counters(ev, AS_OF), "events_7d": views.event_summary(fl.list_events(ev, AS_OF, range_="7d", size=500)),
-        "events_30d": views.event_summary(fl.list_events(ev, AS_OF, range_="30d", size=500)), "changes": fl.recent_changes(t.event_change, log_now()),
+        "summary": reports.event_counters(ev, AS_OF), "events_7d": views.event_summary(fl.list_events(ev, AS_OF, range_="7d", size=None)),
+        "events_30d": views.event_summary(fl.list_events(ev, AS_OF, range_="30d", size=None)), "changes": fl.recent_changes(t.event_change, log_now()),
         "sources": t.source}, folder)
     parts = [t.spark.read.text(f"{folder}/{n}").agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in names]
     out = parts[0]
@@ -402,7 +402,7 @@ def snk08(t):
     from ..session import shared_folder
 
     folder = f"{shared_folder(t.spark)}/sheets"
-    ev = t.scored_between(5, 30)
+    ev = t.scored(t.event_touching(30))
     names = sinks.sheets_bundle(reports.daily_report(ev, t.event_change, t.source, t.action(ev), AS_OF), folder)
     parts = [t.spark.read.option("header", True).csv(f"{folder}/{n}").agg(F.count("*").alias("n")).select(F.lit(n).alias("sheet"), "n") for n in names]
     return parts[0].union(parts[1]).union(parts[2])

@@ -277,13 +277,13 @@ def action_turn(t):
 @check("ups07_action_upsert", f"""SELECT event_id, action_type, CASE WHEN event_id % 2 = 0 AND status IN ('NEW', 'DISMISSED_AUTO') THEN 'NEW' WHEN event_id % 2 = 1 AND (status = 'NEW' OR (event_id % 7 < 2 AND status = 'PLANNED')) THEN
       CASE WHEN event_id % 7 < 2 THEN 'DISMISSED' ELSE 'DISMISSED_AUTO' END ELSE status END AS status, CASE WHEN event_id % 2 = 0 AND status IN ('NEW', 'DISMISSED_AUTO') THEN 'updated'
       WHEN event_id % 2 = 1 AND (status = 'NEW' OR (event_id % 7 < 2 AND status = 'PLANNED')) THEN 'dismissed' ELSE 'kept' END AS merge_action FROM ({STORED_ACTION})
-    UNION ALL SELECT * FROM (SELECT event_id, action_type, 'NEW', 'created' FROM d_action WHERE event_id % 2 = 0 AND action_type = 'LANDING_PAGE' ORDER BY event_id, ordinal LIMIT 400)""")
+    UNION ALL SELECT * FROM (SELECT event_id, action_type, 'NEW', 'created' FROM d_action WHERE event_id % 2 = 0 AND action_type = 'LANDING_PAGE')""")
 def ups07(t):
     return action_turn(t)[3].select("event_id", "action_type", "status", "merge_action")
 
 
 @check("agg24_gate_metrics", f"""SELECT (SELECT count(*) FROM d_event WHERE date_start BETWEEN {D} AND {D} + 30) AS events_scored, (SELECT count(DISTINCT event_id) FROM d_action WHERE event_id % 2 = 0) AS events_passing_gate,
-    least(400, (SELECT count(*) FROM d_action WHERE event_id % 2 = 0 AND action_type = 'LANDING_PAGE')) AS actions_created, (SELECT count(*) FROM d_action WHERE event_id % 2 = 0 AND action_type = 'LANDING_PAGE') - least(400, (SELECT count(*) FROM d_action WHERE event_id % 2 = 0 AND action_type = 'LANDING_PAGE')) AS actions_capped,
+    (SELECT count(*) FROM d_action WHERE event_id % 2 = 0 AND action_type = 'LANDING_PAGE') AS actions_created, 0 AS actions_capped,
     (SELECT count(*) FROM ({STORED_ACTION}) WHERE event_id % 2 = 1 AND (status = 'NEW' OR (event_id % 7 < 2 AND status = 'PLANNED'))) AS actions_auto_dismissed""")
 def agg24(t):
     stored, proposed, processed, nxt = action_turn(t)

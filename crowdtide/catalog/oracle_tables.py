@@ -144,7 +144,7 @@ TABLES = {
         FROM d_gate g JOIN (VALUES (1, 'SEO', '', 'lead', 'Optimise for “taxi to @V”'), (2, 'GOOGLE_ADS', '', 'before', 'Search campaign: “taxi near @V”'), (3, 'LANDING_PAGE', '', 'lead', '@L'),
           (4, 'GBP_POST', '', 'before', 'Google Business Profile update for @T'), (5, 'SOCIAL_POST', '', 'day', 'Social post: @T'), (6, 'META_ADS', 'hot', 'before', 'Meta Ads: @T'),
           (7, 'WHATSAPP_CTA', 'hot', 'before', 'WhatsApp booking CTA'), (8, 'EMAIL', 'large', 'lead', 'Email campaign: @T'), (9, 'PARTNERSHIP', 'large', 'far', 'Partnership outreach: @V'))
-          t(n, kind, need, lead, title) ON g.gate_failure IS NULL AND (t.need <> 'large' OR (g.v_capacity >= 15000 AND g.opportunity_score >= 70))) WHERE ordinal < 8""",
+          t(n, kind, need, lead, title) ON g.gate_failure IS NULL AND (t.need <> 'large' OR (g.v_capacity >= 15000 AND g.opportunity_score >= 70)))""",
     "d_link": "SELECT l_orderkey AS event_id, l_suppkey AS source_id, l_orderkey || '-' || l_linenumber AS external_id FROM lineitem",
     "d_run": """SELECT event_id AS run_id, user_id AS source_id, ts AS started_at, ts + to_seconds((event_id % 90)::INT) AS completed_at,
         CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'click' THEN 'HEALTHY' WHEN 'view' THEN 'DEGRADED' WHEN 'signup' THEN 'EMPTY' ELSE 'HEALTHY' END AS status,

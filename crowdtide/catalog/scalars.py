@@ -38,7 +38,7 @@ def str03(t):
     return t.table("documents").select("doc_id", F.md5(text.normalize_title("text")).alias("h"))
 
 
-@check("str04_clean_title", r"SELECT doc_id, substring(trim(regexp_replace(text, '[\s\x{a0}\x{2000}-\x{200a}\x{202f}\x{3000}]+', ' ', 'g')), 1, 300) AS title FROM documents")
+@check("str04_clean_title", r"SELECT doc_id, trim(regexp_replace(text, '[\s\x{a0}\x{2000}-\x{200a}\x{202f}\x{3000}]+', ' ', 'g')) AS title FROM documents")
 def str04(t):
     return t.table("documents").select("doc_id", text.clean_title("text").alias("title"))
 
@@ -52,7 +52,7 @@ def str05(t):
     return t.table("customer").select("c_custkey", text.normalize_postcode(F.expr(RAW_PC)).alias("postcode"))
 
 
-@check("str06_normalize_url", """SELECT page_id, substring(CASE WHEN u LIKE 'http://%' OR u LIKE 'https://%' THEN u ELSE 'https://' || u END, 1, 600) AS u FROM (
+@check("str06_normalize_url", """SELECT page_id, CASE WHEN u LIKE 'http://%' OR u LIKE 'https://%' THEN u ELSE 'https://' || u END AS u FROM (
     SELECT page_id, trim(CASE WHEN page_id % 2 = 0 THEN regexp_replace(url, '^https?://', ' ') ELSE url END) AS u FROM pages)""")
 def str06(t):
     raw = F.when(c("page_id") % 2 == 0, F.regexp_replace("url", "^https?://", " ")).otherwise(c("url"))
@@ -125,7 +125,7 @@ def _rules_sql(x: str) -> str:
     return f"(SELECT CASE {' '.join(whens)} END FROM (SELECT ' ' || lower({x}) || ' ' AS t) q)"
 
 
-@check("str16_classify", f"""SELECT doc_id, coalesce({_rules_sql('strong')} || '/1.0', {_rules_sql('title')} || '/0.9', {_rules_sql('substring(text, 1, 500)')} || '/0.6',
+@check("str16_classify", f"""SELECT doc_id, coalesce({_rules_sql('strong')} || '/1.0', {_rules_sql('title')} || '/0.9', {_rules_sql('text')} || '/0.6',
       {_rules_sql('weak')} || '/0.5', 'other/general/0.3') AS cls FROM (
       SELECT doc_id, text, string_split(text, chr(10))[1] AS title, CASE WHEN doc_id % 5 = 0 THEN 'horse racing' END AS strong, CASE WHEN doc_id % 3 = 0 THEN 'comedy' END AS weak FROM documents)""")
 def str16(t):

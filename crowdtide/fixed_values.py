@@ -8,8 +8,6 @@ values into Column expressions, so changing a rule means changing data here or p
 TITLE_STOP_WORDS = ["the", "a", "an", "at", "of", "and", "&", "live", "in", "presents", "official"]
 UNKNOWN_TIME_WORDS = ["tbc", "tba", "tbd", "unknown", ""]
 PLACEHOLDER_VENUES = ["tbd", "tba", "tbc", "venue tbc", "to be confirmed"]
-TITLE_MAX_CHARS = 300
-URL_MAX_CHARS = 600
 STATUS_WORDS = {
     "onsale": "SCHEDULED", "scheduled": "SCHEDULED", "eventscheduled": "SCHEDULED", "live": "SCHEDULED",
     "offsale": "SCHEDULED", "cancelled": "CANCELLED", "canceled": "CANCELLED", "eventcancelled": "CANCELLED",
@@ -74,7 +72,6 @@ CATEGORY_RULES = [
 DEFAULT_CATEGORY = ("other", "general")
 WEAK_HINT_PREFIX = "fallback:"
 HINT_CONFIDENCE, TITLE_CONFIDENCE, TEXT_CONFIDENCE, WEAK_CONFIDENCE, DEFAULT_CONFIDENCE = 1.0, 0.9, 0.6, 0.5, 0.3
-DESCRIPTION_CHARS = 500
 CATEGORY_FACTORS = {
     "music": 1.0, "sports": 0.95, "festival": 0.85, "nightlife": 0.8, "theatre": 0.7, "comedy": 0.65, "education": 0.6,
     "conference": 0.55, "family": 0.5, "arts": 0.4, "community": 0.35, "other": 0.3,
@@ -119,7 +116,6 @@ OPPORTUNITY_FACTORS = {"HOME_TO_VENUE": 0.9, "VENUE_TO_HOME": 1.0, "STATION_TO_V
 UNKNOWN_FRESHNESS = 50
 HOTEL_MIN_TOURISM, AIRPORT_MAX_KM, LATE_START_HOUR = 0.5, 20, 18
 GATE_MIN_SCORE, GATE_MIN_LEVEL, GATE_MIN_DAYS, GATE_MAX_DAYS = 65, "MEDIUM", 0, 30
-MAX_ACTIONS_PER_RUN, MAX_ACTIONS_PER_EVENT = 400, 8
 PARTNERSHIP_MIN_CAPACITY, PARTNERSHIP_MIN_SCORE = 15000, 70
 
 # --- fixed values: duplicate confidence -------------------------------------------------------------------------
@@ -145,10 +141,13 @@ HEALTH_RUNS, HEALTH_RECENT, HEALTH_SILENT_DAYS, HEALTH_AVERAGE_DAYS = 20, 3, 3,
 REGRESSION_MIN_EVENTS, REGRESSION_RATIO = 10, 0.5
 STALE_RUN_HOURS, FRESH_RUN_HOURS = 3, 26
 RETENTION_DAYS = {"raw_event": 30, "event_snapshot": 180, "run_log": 60, "run": 365}
-EXPORT_MAX_ROWS = 20000
 
 # --- fixed values: landed page shapes ---------------------------------------------------------------------------
 LD_JSON_SCRIPT = r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
+FEED_START = r"^\s*(?:<\?[^>]*>|<!--(?s:.*?)-->|<![^>]*>|\s)*(?:<rss\b|<feed\b|<rdf:RDF\b)"
+FEED_LINK = r"(?i)<link\b(?=[^>]*\btype\s*=\s*[\x22'](?:application/(?:rss|atom)\+xml|text/calendar))[^>]*\bhref\s*="
+CALENDAR_LINK = r"(?i)\bhref\s*=\s*[\x22'][^\x22']+\.ics\b"
+FREE_DATE = r"(\d{1,2}(?:st|nd|rd|th)?\s+\w+\s+\d{4}|\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4})"
 LINK_HREF = r"href=[\"']([^\"'#?]+)"
 EVENT_TYPES = ["Event", "MusicEvent", "SportsEvent", "Festival", "TheaterEvent", "EducationEvent", "BusinessEvent", "ComedyEvent",
                "ExhibitionEvent", "DanceEvent", "ScreeningEvent", "SocialEvent", "ChildrensEvent", "LiteraryEvent", "FoodEvent",

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -40,29 +42,49 @@ def lookup(c: Column, table: dict, default: Column | None = None) -> Column:
 
 
 # ---- accents -----------------------------------------------------------------------------------------------------
-def _latin_tables() -> tuple[str, str, list[tuple[str, str]]]:
-    """Compatibility decomposition of the Latin blocks, derived from the Unicode data, as translate() arguments."""
-    source, target, wide = [], [], []
-    for cp in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
+def _tables() -> tuple[str, str, dict[str, str]]:
+    """Compatibility decomposition of the basic plane without marks, derived from the Unicode data: translate() arguments for letters that stay one, a map
+    for those that become several.  Hangul syllables are left whole."""
+    source, target, wide, dropped = [], [], {}, []
+    for cp in range(0x80, 0x10000):
         ch = chr(cp)
-        plain = "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
-        if plain == ch:
+        if unicodedata.combining(ch):
+            dropped.append(ch)
+            continue
+        if 0xAC00 <= cp < 0xD7A4 or unicodedata.is_normalized("NFKD", ch):
             continue
+        plain = "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
         if len(plain) == 1:
             source.append(ch)
             target.append(plain)
         else:
-            wide.append((ch, plain))
-    dropped = [chr(cp) for cp in range(0x300, 0x370) if unicodedata.combining(chr(cp))]  # no target: translate() deletes them
-    return "".join(source + dropped), "".join(target), wide
+            wide[ch] = plain
+    return "".join(source + dropped), "".join(target), wide  # no target: translate() deletes
+
 
+_FROM, _TO, _WIDE = _tables()
+
+
+def _ranges(letters: Sequence[str], gap: int = 16) -> str:
+    """A character class of few ranges that holds the letters, and some between them."""
+    out: list[list[int]] = []
+    for cp in sorted(map(ord, letters)):
+        if out and cp - out[-1][1] <= gap:
+            out[-1][1] = cp
+        else:
+            out.append([cp, cp])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
 
-_FROM, _TO, _WIDE = _latin_tables()
+
+_WIDE_LETTER = _ranges(list(_WIDE))
 
 
 def strip_accents(c: Column | str) -> Column:
-    """Accent removal for Latin text inside codegen; see strip_accents_any for every script."""
-    return F.translate(_col(c), _FROM, _TO)
+    """Letters without accents, compatibility letters (ligatures, fractions, roman and circled numbers) as plain ones; only texts that hold one that becomes several are taken apart."""
+    x = _col(c)
+    known = F.from_json(F.lit(json.dumps(_WIDE)), "map<string,string>")
+    apart = F.array_join(F.transform(F.split(x, ""), lambda ch: F.coalesce(F.try_element_at(known, ch), ch)), "")
+    return F.translate(F.when(x.rlike(_WIDE_LETTER), apart).otherwise(x), _FROM, _TO)
 
 
 @F.pandas_udf(T.StringType())
@@ -72,14 +94,6 @@ def strip_accents_any(s: pd.Series) -> pd.Series:
     return decomposed.map(lambda x: None if x is None else "".join(ch for ch in x if not unicodedata.combining(ch)))
 
 
-def expand_ligatures(c: Column | str) -> Column:
-    """One-to-many compatibility letters (ligatures, fractions) as their letters."""
-    out = _col(c)
-    for ch, plain in _WIDE:
-        out = F.replace(out, F.lit(ch), F.lit(plain))
-    return out
-
-
 # ---- names and titles --------------------------------------------------------------------------------------------
 def normalize_name(c: Column | str) -> Column:
     x = F.lower(strip_accents(c))
@@ -96,7 +110,7 @@ def normalize_title(c: Column | str) -> Column:
 
 
 def clean_title(c: Column | str) -> Column:
-    return F.substring(F.trim(F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"(?U)\s+", " ")), 1, V.TITLE_MAX_CHARS)
+    return F.trim(F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"(?U)\s+", " "))
 
 
 def normalize_postcode(c: Column | str) -> Column:
@@ -123,7 +137,7 @@ _URL_SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
 def normalize_url(c: Column | str) -> Column:
     u = F.trim(_col(c))
     u = F.when(u.rlike("^https?://"), u).otherwise(F.concat(F.lit("https://"), u))
-    return F.when(F.length(F.trim(_col(c))) > 0, F.substring(u, 1, V.URL_MAX_CHARS))
+    return F.when(F.length(F.trim(_col(c))) > 0, u)
 
 
 def url_depth(c: Column | str) -> Column:
@@ -210,7 +224,7 @@ def keyword_hit(text: Column, keywords: Sequence[str]) -> Column:
 
 
 def non_event_title(title: Column, patterns: Sequence[str] = tuple(V.NON_EVENT_TITLE_PATTERNS)) -> Column:
-    return F.exists(strings(patterns), lambda p: F.contains(F.lower(F.coalesce(title, F.lit(""))), p))
+    return once(F.lower(F.coalesce(title, F.lit(""))), lambda t: reduce(or_, [F.contains(t, F.lit(p)) for p in patterns]))
 
 
 def split_hint(hint: Column) -> tuple[Column, Column]:
@@ -227,21 +241,18 @@ def merge_hint(schema_type: Column, page_hint: Column) -> Column:
     return F.nullif(F.trim(F.concat_ws(" ", strong, F.nullif(F.trim(page_hint), F.lit("")))), F.lit(""))
 
 
-RULE_TYPE = "array<struct<category:string,subcategory:string,keywords:array<string>>>"
-
-
-def _rule_table(rules) -> Column:
-    """The rules as one constant, folded by the optimizer."""
-    doc = [{"category": cat, "subcategory": sub, "keywords": [k.lower() for k in kws]} for cat, sub, kws in rules]
-    return F.from_json(F.lit(json.dumps(doc)), RULE_TYPE)
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _first_rule(text: Column, rules, confidence: float) -> Column:
     """struct(category, subcategory, confidence) of the first rule with a keyword in the text; null without one."""
-    padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    hits = F.filter(_rule_table(rules), lambda r: F.exists(r["keywords"], lambda k: F.contains(padded, k)))
-    named = F.transform(hits, lambda r: F.struct(r["category"].alias("category"), r["subcategory"].alias("subcategory"), F.lit(confidence).alias("confidence")))
-    return F.get(named, F.lit(0))
+    def chosen(padded: Column) -> Column:
+        return choose([(reduce(or_, [F.contains(padded, F.lit(k.lower())) for k in keywords]),
+                        F.struct(F.lit(cat).alias("category"), F.lit(sub).alias("subcategory"), F.lit(confidence).alias("confidence"))) for cat, sub, keywords in rules])
+
+    return once(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), chosen)
 
 
 def classify(title: Column, hint: Column | None = None, description: Column | None = None, rules=None) -> Column:
@@ -251,7 +262,7 @@ def classify(title: Column, hint: Column | None = None, description: Column | No
     strong, weak = split_hint(hint)
     levels = [(strong, V.HINT_CONFIDENCE), (F.coalesce(title, F.lit("")), V.TITLE_CONFIDENCE)]
     if description is not None:
-        levels.append((F.nullif(F.substring(description, 1, V.DESCRIPTION_CHARS), F.lit("")), V.TEXT_CONFIDENCE))
+        levels.append((F.nullif(description, F.lit("")), V.TEXT_CONFIDENCE))
     levels.append((weak, V.WEAK_CONFIDENCE))
     found = [_first_rule(text, rules, conf) for text, conf in levels]
     fallback = F.struct(F.lit(V.DEFAULT_CATEGORY[0]).alias("category"), F.lit(V.DEFAULT_CATEGORY[1]).alias("subcategory"),

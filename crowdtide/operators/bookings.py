@@ -34,11 +34,11 @@ def to_canonical(raw: DataFrame, column_map: dict[str, str] | None = None) -> tu
         return c(name).cast("timestamp_ntz") if types[name].startswith("timestamp") else parse_booking_timestamp(c(name).cast("string"))
 
     rest = m.columns
-    out = pin(m, booking_id=F.nullif(F.substring(c("booking_id").cast("string"), 1, 80), F.lit("")), **{x: stamp(x) for x in STAMPS})
+    out = pin(m, booking_id=F.nullif(c("booking_id").cast("string"), F.lit("")), **{x: stamp(x) for x in STAMPS})
     out = out.select(
         "booking_id", *STAMPS, *[normalize_postcode(x).alias(x) for x in ("pickup_postcode", "dropoff_postcode")],
         *[c(x).try_cast("double").alias(x) for x in DOUBLES],
-        F.nullif(F.substring("status", 1, 20), F.lit("")).alias("status"), F.nullif(F.substring("vehicle_type", 1, 30), F.lit("")).alias("vehicle_type"),
+        F.nullif(c("status").cast("string"), F.lit("")).alias("status"), F.nullif(c("vehicle_type").cast("string"), F.lit("")).alias("vehicle_type"),
         *[c(x) for x in ("read_order",) if x in rest],
     )
     good = c("booking_id").isNotNull() & c("pickup_datetime").isNotNull()
@@ -151,7 +151,8 @@ def correlate(events: DataFrame, bookings: DataFrame, grid: Grid | None = None,
 
 
 def list_matches(matches: DataFrame, event_id=None, number: int = 1, size: int = 50) -> DataFrame:
-    size = min(max(size, 1), 200)
+    if size < 1:
+        raise ValueError("a page holds one row at least")
     out = matches if event_id is None else matches.where(F.col("event_id") == event_id)
     return out.orderBy(F.desc("match_confidence"), "event_id", "booking_id", "leg").offset((number - 1) * size).limit(size)
 

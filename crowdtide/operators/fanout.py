@@ -106,13 +106,13 @@ def _opportunity_options() -> Column:
 
 
 def action_rows(events: DataFrame, as_of) -> DataFrame:
-    """Up to eight actions for each event whose gate is open, in template order."""
+    """Every action of each event whose gate is open, in template order."""
     c, day = F.col, as_date(as_of)
     open_events = (
         pin(events, _closed=gate_failure(day)).where(c("_closed").isNull())
         .withColumn("reason", F.array_join(gate_facts(day), "; "))
     )
-    open_events = pin(open_events, _kept=F.slice(F.array_compact(_action_options()), 1, V.MAX_ACTIONS_PER_EVENT))
+    open_events = pin(open_events, _kept=F.array_compact(_action_options()))
     return open_events.select(
         "event_id", "date_start", "opportunity_score", F.coalesce("marketing_priority", F.lit("P3")).alias("priority"), "reason",
         F.posexplode("_kept").alias("ordinal", "a"),
@@ -180,6 +180,6 @@ def _action_options() -> Column:
     return F.array(*options)
 
 
-def cap_new_actions(new_actions: DataFrame, limit: int = V.MAX_ACTIONS_PER_RUN) -> DataFrame:
+def cap_new_actions(new_actions: DataFrame, limit: int) -> DataFrame:
     """The run-wide cap on new rows, in event then template order: a top-k plan, not a global window."""
     return new_actions.orderBy("event_id", "ordinal").limit(limit)

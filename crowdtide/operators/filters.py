@@ -111,12 +111,13 @@ ACTION_SORTS = {
 }
 
 
-def page(df: DataFrame, order: Sequence[Column], tie: Sequence[str], number: int = 1, size: int = 50) -> DataFrame:
-    """One page of a totally ordered list: a top-k plan, no full sort."""
-    return df.orderBy(*order, *[F.asc(t) for t in tie]).offset((number - 1) * size).limit(size)
+def page(df: DataFrame, order: Sequence[Column], tie: Sequence[str], number: int = 1, size: int | None = 50) -> DataFrame:
+    """One page of a totally ordered list: a top-k plan, no full sort; without a size the whole list."""
+    whole = df.orderBy(*order, *[F.asc(t) for t in tie])
+    return whole if size is None else whole.offset((number - 1) * size).limit(size)
 
 
-def list_events(events: DataFrame, as_of, sort: str = "score", number: int = 1, size: int = 50, **filters) -> DataFrame:
+def list_events(events: DataFrame, as_of, sort: str = "score", number: int = 1, size: int | None = 50, **filters) -> DataFrame:
     dates = {k: filters.get(k) for k in ("range_", "date_from", "date_to")}
     chosen = default_horizon(filter_events(events, as_of, **filters), as_of, **dates)
     return page(chosen, EVENT_SORTS.get(sort, EVENT_SORTS["score"])(), ["event_id"], number, size)

@@ -187,7 +187,7 @@ def new_venues(resolved: DataFrame, venues: DataFrame) -> DataFrame:
             .where(~c("normalized_name").isin(["", *V.PLACEHOLDER_VENUES])))
     known = venues.select(normalize_name("name").alias("normalized_name")).distinct()
     order = F.struct("ordinal", "external_id") if "ordinal" in resolved.columns else F.struct("external_id")
-    first = F.struct(F.substring("venue_name", 1, 200).alias("name"), "city_id", "postcode", "latitude", "longitude", c("venue_capacity").alias("capacity"))
+    first = F.struct(c("venue_name").alias("name"), "city_id", "postcode", "latitude", "longitude", c("venue_capacity").alias("capacity"))
     return (cand.join(known, "normalized_name", "left_anti").groupBy("normalized_name").agg(F.min_by(first, order).alias("f"))
             .select(F.abs(F.xxhash64("normalized_name")).alias("venue_id"), "normalized_name", "f.*",
                     F.when(c("f.capacity").isNotNull(), F.lit("source_provided")).alias("capacity_source"),

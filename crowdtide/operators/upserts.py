@@ -30,16 +30,19 @@ def upsert_children(stored: DataFrame, regenerated: DataFrame, processed: DataFr
     return kept.unionByName(regenerated, allowMissingColumns=True), obsolete
 
 
-def upsert_actions(stored: DataFrame, proposed: DataFrame, events: DataFrame, now: Column, limit: int = V.MAX_ACTIONS_PER_RUN) -> DataFrame:
+def upsert_actions(stored: DataFrame, proposed: DataFrame, events: DataFrame, now: Column, limit: int | None = None) -> DataFrame:
     """Next action table with ``merge_action``: created, updated, kept, dismissed.
 
     stored: event_id, action_type, status, created_at, payload columns.  proposed: fanout.action_rows.  events: processed events with
-    status.  User-managed statuses are never overwritten; a closed gate dismisses untouched rows; new rows are capped per run.
+    status.  User-managed statuses are never overwritten; a closed gate dismisses untouched rows.
+    ``limit`` keeps the first new rows of a run only; none by default.
     """
     c = F.col
     key = ["event_id", "action_type"]
     payload = ["title", "description", "suggested_keyword", "suggested_audience", "suggested_channel", "recommended_time", "recommended_date", "reason", "priority"]
-    fresh = proposed.join(stored.select(*key), key, "left_anti").orderBy("event_id", "ordinal").limit(limit)
+    fresh = proposed.join(stored.select(*key), key, "left_anti")
+    if limit is not None:
+        fresh = fresh.orderBy("event_id", "ordinal").limit(limit)
     created = fresh.select(*key, *payload, F.lit("NEW").alias("status"), now.alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("scheduled_for"), F.lit("created").alias("merge_action"))
     new = proposed.select(*key, F.struct(*payload).alias("n"))
     open_events = proposed.select("event_id").distinct().withColumn("_open", F.lit(True))

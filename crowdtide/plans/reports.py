@@ -150,7 +150,7 @@ def source_health(sources: DataFrame, runs: DataFrame, links: DataFrame, events:
         "source_id", "key", "type", "priority", "enabled", status.alias("health"), c("status").alias("raw_status"), "requires_key",
         F.when(c("requires_key").isNotNull(), "key").otherwise("none").alias("auth"), "last_success_at", "last_failure_at", "last_events_collected",
         "events_7_day_average", F.coalesce("failure_count", F.lit(0)).alias("failure_count"), F.coalesce("future_events", F.lit(0)).alias("future_events"),
-        F.coalesce("runs_sampled", F.lit(0)).alias("runs_sampled"), "failure_rate", "avg_response_ms", F.substring("last_error", 1, 300).alias("last_error"))
+        F.coalesce("runs_sampled", F.lit(0)).alias("runs_sampled"), "failure_rate", "avg_response_ms", "last_error")
 
 
 # ---- coverage --------------------------------------------------------------------------------------------------------------------------

@@ -16,6 +16,7 @@ def get_spark(app: str = "crowdtide", master: str = "local[*]", **conf: str) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for k, v in conf.items():
@@ -24,14 +25,17 @@ def get_spark(app: str = "crowdtide", master: str = "local[*]", **conf: str) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach; a private one only when the session names none (tests)."""
+    """The folder every executor can reach: spark.checkpoint.dir.  A local session that names none (tests) gets a private one; a cluster has to name it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    return tempfile.mkdtemp(prefix="crowdtide-")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="crowdtide-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

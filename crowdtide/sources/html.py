@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html as html_entities
-import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,45 +20,53 @@ def ld_json_blocks(page: Column) -> Column:
     return F.regexp_extract_all(page, F.lit(V.LD_JSON_SCRIPT), F.lit(1))
 
 
-def _is_event(node: dict) -> bool:
-    kinds = node.get("@type", "")
-    kinds = kinds if isinstance(kinds, list) else [kinds]
-    return any(str(k).split("/")[-1] in V.EVENT_TYPES or str(k).endswith("Event") for k in kinds)
+NESTING = 8  # levels of nested nodes that are searched; markup in use has two or three
 
 
-def events_in_block(block: str | None) -> list[str]:
-    """Event objects of one JSON-LD block at any depth, as JSON text; a malformed block has none."""
-    try:
-        todo = [json.loads((block or "").strip(), strict=False)]
-    except ValueError:
-        return []
-    found = []
-    while todo:
-        node = todo.pop()
-        if isinstance(node, list):
-            todo.extend(reversed(node))
-        elif isinstance(node, dict):
-            if _is_event(node):
-                found.append(json.dumps(node))
-            for key in V.NESTED_EVENT_KEYS:
-                inner = node.get(key)
-                for child in inner if isinstance(inner, list) else [inner]:
-                    todo.append(child.get("item", child) if isinstance(child, dict) else child)
-    return found
+def _as_list(v: Column) -> Column:
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _walk(blocks: pd.Series) -> pd.Series:
-    return blocks.map(events_in_block)
+def _event_type(v: Column) -> Column:
+    """Whether one of a node's types is an event type."""
+    kinds = F.coalesce(F.try_variant_get(v, "$['@type']", "array<string>"), F.array(F.try_variant_get(v, "$['@type']", "string")))
+    return F.exists(kinds, lambda k: F.coalesce(F.element_at(F.split(k, "/"), -1).isin(sorted(V.EVENT_TYPES)) | k.endswith("Event"), F.lit(False)))
+
+
+def _escaped(block: Column) -> Column:
+    """JSON text with the raw control characters inside its strings escaped, which page authors leave in."""
+    def inside(token: Column) -> Column:
+        for raw, escape in (("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
+            token = F.replace(token, F.lit(raw), F.lit(escape))
+        return F.translate(token, "".join(map(chr, range(32))), " " * 32)
+
+    tokens = F.regexp_extract_all(block, F.lit(r'"(?:[^"\\]++|\\.)*+"|[^"]++'), F.lit(0))
+    return F.array_join(F.transform(tokens, lambda t: F.when(t.startswith('"'), inside(t)).otherwise(t)), "")
+
+
+def _nested(nodes: Column) -> Column:
+    """The nodes one level below: values under the nesting keys, list items unwrapped."""
+    def below(v: Column) -> Column:
+        inner = F.array_compact(F.array(*[F.try_variant_get(v, f"$['{k}']", "variant") for k in V.NESTED_EVENT_KEYS]))
+        return F.transform(F.flatten(F.transform(inner, _as_list)), lambda x: F.coalesce(F.try_variant_get(x, "$.item", "variant"), x))
+
+    return F.flatten(F.transform(F.flatten(F.transform(nodes, _as_list)), below))
 
 
 def jsonld_events(pages: DataFrame, html: str = "html") -> DataFrame:
-    """One row per event object, column ``item`` (JSON text), next to the page columns.  Only blocks that mention an event type
-    leave the JVM."""
+    """One row per event object, column ``item`` (JSON text), next to the page columns; a malformed block has none.
+
+    A block is parsed once; its nodes are an array that is widened level by level in the same row.
+    """
     keep = [c for c in pages.columns if c != html]
     blocks = pages.select(*keep, F.posexplode(ld_json_blocks(F.col(html))).alias("block_no", "block"))
     blocks = blocks.where(F.contains("block", F.lit("Event")) | F.contains("block", F.lit("Festival")))
-    return blocks.select(*keep, "block_no", F.posexplode(_walk("block")).alias("item_no", "item"))
+    parsed = F.coalesce(F.try_parse_json("block"), F.try_parse_json(_escaped(F.col("block"))))
+    nodes = pin(blocks, level0=F.when(parsed.isNotNull(), F.flatten(F.transform(_as_list(parsed), _as_list)))).drop("block")
+    for k in range(NESTING):
+        nodes = pin(nodes, **{f"level{k + 1}": _nested(F.col(f"level{k}"))})
+    every = F.filter(F.concat(*[F.flatten(F.transform(f"level{k}", _as_list)) for k in range(NESTING + 1)]), _event_type)
+    return nodes.select(*keep, "block_no", F.posexplode(every).alias("item_no", "v")).select(*keep, "block_no", "item_no", F.to_json("v").alias("item"))
 
 
 def detail_links(page: Column, base_url: Column, pattern: str) -> Column:
@@ -77,18 +84,22 @@ def html_unescape(s: pd.Series) -> pd.Series:
 
 
 def page_profile(pages: DataFrame, html: str = "html") -> DataFrame:
-    """kind (ICS, RSS, JSONLD, HAS_FEED_LINK, HTML_ONLY) and item count per landed page."""
-    h = F.col(html)
-    ics = F.startswith(h, F.lit("BEGIN:VCALENDAR"))
-    rss = F.startswith(F.ltrim(h), F.lit("<?xml")) | F.contains(F.substring(h, 1, 500), F.lit("<rss"))
-    ld = F.aggregate(ld_json_blocks(h), F.lit(0), lambda n, b: n + F.when(F.regexp_like(b, F.lit('"startDate"')) & F.regexp_like(b, F.lit('"@type"\\s*:\\s*\\[?\\s*"[^"]*Event')),
-                     F.regexp_count(b, F.lit('"@type"\\s*:\\s*\\[?\\s*"[^"]*Event'))).otherwise(0))
-    feeds = F.regexp_count(h, F.lit(r"""(?i)<link[^>]+type=["'](?:application/(?:rss|atom)\+xml|text/calendar)["'][^>]+href=["'][^"']+"""))
-    ics_links = F.regexp_count(h, F.lit(r"""(?i)href=["'][^"']+\.ics[^"']*"""))
-    kind = F.when(ics, "ICS").when(rss, "RSS").when(ld > 0, "JSONLD").when((feeds > 0) | (ics_links > 0), "HAS_FEED_LINK").otherwise("HTML_ONLY")
+    """kind (ICS, RSS, JSONLD, HAS_FEED_LINK, HTML_ONLY) and item count per landed page, next to its other columns.
+
+    JSON-LD counts the nested nodes that have both an event type and a start date.
+    """
+    keep = [c for c in pages.columns if c != html]
+    items = jsonld_events(pages.select(F.xxhash64(html).alias("_h"), F.col(html).alias("_page")).dropDuplicates(["_h"]), "_page")
+    dated = items.where(F.try_variant_get(F.try_parse_json("item"), "$.startDate", "string").isNotNull()).groupBy("_h").agg(F.count("*").alias("_ld"))
+    df = pages.withColumn("_h", F.xxhash64(html)).join(dated, "_h", "left")
+    h, ld = F.col(html), F.coalesce("_ld", F.lit(0))
+    ics = F.startswith(F.ltrim(h), F.lit("BEGIN:VCALENDAR"))
+    rss = h.rlike(V.FEED_START)
+    linked = h.rlike(V.FEED_LINK) | h.rlike(V.CALENDAR_LINK)
+    kind = F.when(ics, "ICS").when(rss, "RSS").when(ld > 0, "JSONLD").when(linked, "HAS_FEED_LINK").otherwise("HTML_ONLY")
     n = F.when(ics, F.regexp_count(h, F.lit("BEGIN:VEVENT"))).when(rss, F.regexp_count(h, F.lit("<item|<entry"))).when(ld > 0, ld).otherwise(0)
     links = F.size(F.array_distinct(F.regexp_extract_all(h, F.lit(V.LINK_HREF), F.lit(1))))
-    return pages.withColumns({"kind": kind, "n_items": n.cast("int"), "n_links": links})
+    return df.select(*keep, html, kind.alias("kind"), n.cast("int").alias("n_items"), links.alias("n_links"))
 
 
 # ---- schema.org item -> staged record ---------------------------------------------------------------------------------------------
@@ -154,7 +165,7 @@ def normalize_items(items: DataFrame, source_key: str, confidence: str = "OFFICI
     return staged(
         df, source_key=F.lit(source_key), source_confidence=F.lit(confidence),
         external_id=external_id(F.coalesce("page_venue", "loc_name"), c("title"), c("d"), c("t")),
-        title=F.substring("title", 1, V.TITLE_MAX_CHARS), date_start=c("d"), date_end=c("de"), time_start=c("t"), time_end=c("te"),
+        title=c("title"), date_start=c("d"), date_end=c("de"), time_start=c("t"), time_end=c("te"),
         category_hint=merge_hint(F.coalesce("kind", F.lit("")), c("page_hint")), event_subtype=c("kind"),
         venue_name=F.nullif(F.trim("shown_venue"), F.lit("")), city_name=F.nullif("shown_city", F.lit("")), postcode=c("postal"),
         official_url=c("link"), ticket_url=vtext(v, "$.offers.url", "$.offers[0].url"), source_url=F.coalesce("page_url", "link"),

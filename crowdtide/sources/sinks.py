@@ -23,27 +23,32 @@ def export(df: DataFrame, path: str, fmt: str = "csv") -> None:
         flatten(df).write.mode("overwrite").option("header", True).csv(path)
 
 
-def events_export(events: DataFrame, as_of, limit: int = V.EXPORT_MAX_ROWS, **filters) -> DataFrame:
-    return event_summary(filter_events(events, as_of, **filters)).orderBy("date_start", "event_id").limit(limit)
+def first_rows(df: DataFrame, limit: int | None) -> DataFrame:
+    """All rows, unless the caller asks for the first ones."""
+    return df if limit is None else df.limit(limit)
 
 
-def opportunities_export(opportunities: DataFrame, events: DataFrame, as_of, min_score: int = 0, days: int = 30, limit: int = V.EXPORT_MAX_ROWS) -> DataFrame:
+def events_export(events: DataFrame, as_of, limit: int | None = None, **filters) -> DataFrame:
+    return first_rows(event_summary(filter_events(events, as_of, **filters)).orderBy("date_start", "event_id"), limit)
+
+
+def opportunities_export(opportunities: DataFrame, events: DataFrame, as_of, min_score: int = 0, days: int = 30, limit: int | None = None) -> DataFrame:
     near = events.where(within_days(F.col("date_start"), as_date(as_of), days)).select("event_id")
-    return (opportunity_view(opportunities.where(F.col("score") >= min_score).join(near, "event_id", "left_semi"))
-            .orderBy(F.desc("score"), "event_id", "opportunity_type").limit(limit))
+    wanted = opportunity_view(opportunities.where(F.col("score") >= min_score).join(near, "event_id", "left_semi"))
+    return first_rows(wanted.orderBy(F.desc("score"), "event_id", "opportunity_type"), limit)
 
 
-def actions_export(actions: DataFrame, status: str | None = None, action_type: str | None = None, limit: int = V.EXPORT_MAX_ROWS) -> DataFrame:
+def actions_export(actions: DataFrame, status: str | None = None, action_type: str | None = None, limit: int | None = None) -> DataFrame:
     out = actions
     if status:
         out = out.where(F.col("status") == status.upper())
     if action_type:
         out = out.where(F.col("action_type") == action_type.upper())
-    return out.orderBy(F.desc("priority"), F.desc("action_id")).limit(limit)
+    return first_rows(out.orderBy(F.desc("priority"), F.desc("action_id")), limit)
 
 
-def runs_export(runs: DataFrame, limit: int = 90) -> DataFrame:
-    return runs.select(*[c for c in RUN_COLUMNS if c in runs.columns]).orderBy(F.desc("run_id")).limit(limit)
+def runs_export(runs: DataFrame, limit: int | None = None) -> DataFrame:
+    return first_rows(runs.select(*[c for c in RUN_COLUMNS if c in runs.columns]).orderBy(F.desc("run_id")), limit)
 
 
 def snapshot_bundle(frames: dict[str, DataFrame], folder: str) -> list[str]:

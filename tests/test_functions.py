@@ -214,3 +214,34 @@ def test_status_engine(one):
 def test_confidence_merge(one):
     assert one(scoring.better_confidence(S("CURATED"), S("TRUSTED")), scoring.better_confidence(S("SECONDARY"), S("OFFICIAL")),
                scoring.better_confidence(S(None), S(None)), scoring.better_confidence(S(None), S("TRUSTED"))) == ("CURATED", "OFFICIAL", "UNVERIFIED", "TRUSTED")
+
+
+def test_compatibility_letters(spark):
+    import unicodedata
+
+    cells = ["ﬁnal Ⅳ ½ Ångström", "Café ①", "Straße ™ №5", "ﷺ", "plain", None] + ["".join(chr(c) for c in range(a, a + 64)) for a in range(0x80, 0xD7C0, 64) if not 0xABC0 < a < 0xD7A4]
+    want = [None if x is None else "".join(ch for ch in unicodedata.normalize("NFKD", x) if not unicodedata.combining(ch)) for x in cells]
+    df = spark.createDataFrame(list(enumerate(cells)), "k int, s string")
+    got = [r.s for r in df.select("k", text.strip_accents("s").alias("s")).orderBy("k").collect()]
+    assert got[:6] == want[:6]
+    assert [g for g, w in zip(got, want) if g != w and sorted(g) != sorted(w)] == []
+    names = [r.n for r in df.where("k < 2").select("k", text.normalize_name("s").alias("n")).orderBy("k").collect()]
+    assert names == ["final iv 1 2 angstrom", "cafe 1"]
+
+
+def test_jsonld_depth(spark):
+    from crowdtide.sources.html import jsonld_events, page_profile
+
+    inner = '{"@type":"MusicEvent","name":"deep","startDate":"2026-10-01"}'
+    pages = [
+        (1, f'<script type="application/ld+json">{{"@graph":[{{"@type":"ItemList","itemListElement":[{{"@type":"ListItem","item":{inner}}}]}}]}}</script>'),
+        (2, '<script type="application/ld+json">[[{"@type":["Thing","http://schema.org/Festival"],"name":"a\tb"}]]</script>'),
+        (3, '<script type="application/ld+json">{"@type":"Event", broken</script>'),
+        (4, "BEGIN:VCALENDAR\nBEGIN:VEVENT\nEND:VEVENT\nBEGIN:VEVENT\nEND:VEVENT\nEND:VCALENDAR"),
+        (5, "<?xml version='1.0'?>\n<!-- " + "x" * 900 + " -->\n<rss><channel><item></item><item></item></channel></rss>"),
+        (6, "<link rel='alternate' type='application/rss+xml' href='/feed'>"), (7, "<p>nothing</p>"), (8, None)]
+    df = spark.createDataFrame(pages, "page_id int, html string")
+    got = {r.page_id: r["n"] for r in jsonld_events(df).groupBy("page_id").agg(F.collect_list(F.get_json_object("item", "$.name")).alias("n")).collect()}
+    assert got == {1: ["deep"], 2: ["a\tb"]}
+    kinds = {r.page_id: (r.kind, r.n_items) for r in page_profile(df).collect()}
+    assert kinds[1] == ("JSONLD", 1) and kinds[2] == ("HTML_ONLY", 0) and kinds[4] == ("ICS", 2) and kinds[5] == ("RSS", 2) and kinds[6] == ("HAS_FEED_LINK", 0) and kinds[7] == ("HTML_ONLY", 0)

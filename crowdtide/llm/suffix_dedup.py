@@ -291,7 +291,7 @@ def _cut(joined: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(run, fields)
 
 
-def deduplicate(docs: DataFrame, length: int = 200, bucket_rows: int = 5_000, batch_rows: int = 10_000) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = 200, bucket_rows: int = 50_000, batch_rows: int = 10_000) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept: the remaining bytes) for every row of ``docs`` (doc_id, text).
 
     Every byte covered by a string of ``length`` bytes that starts anywhere else too goes, in all its occurrences; strings are judged on the input.  Null

@@ -25,7 +25,7 @@ from .common import Powers, free_name, mix, slices, stored, whole
 from .components import components
 from .winnowing import Words
 
-TILE = 256
+TILE = 512
 HOT = 2000
 
 
@@ -93,6 +93,17 @@ def _members(reps: DataFrame) -> DataFrame:
     return stored(second, "buckets")
 
 
+def _packed(shingles: np.ndarray) -> bytes:
+    """Five high bytes of each hash: two different shingles of a pair of sets agree in them with probability 2**-40."""
+    return np.unique(shingles >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).ravel()
+
+
 # ---- tiles ----------------------------------------------------------------------------------------------------------------
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
@@ -111,26 +122,31 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
-def _least_common(a: frozenset, b: frozenset) -> int:
-    return min(a & b)
+def _lesser(group: list[dict]) -> list[int]:
+    """For each row a bit mask of its buckets below this one; two rows whose masks meet are compared in a lesser bucket."""
+    key, bits = group[0]["key"], {}
+    masks = []
+    for g in group:
+        mask = 0
+        for b in g["buckets"]:
+            if b < key:
+                mask |= bits.setdefault(b, 1 << len(bits))
+        masks.append(mask)
+    return masks
 
 
 def _flag(rows: DataFrame) -> DataFrame:
-    """The tile rows that have a pair of their own: one whose least common bucket is this one.  A large tile keeps all its rows."""
+    """The tile rows that have a pair of their own: one that no lesser bucket holds."""
     fields = "key long, i int, j int, block int, rep binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for group in _groups(batches):
-            if len(group) <= 64:
-                ids = [frozenset(g["buckets"]) for g in group]
-                own = set()
-                for x in range(len(group)):
-                    for y in range(x + 1, len(group)):
-                        if (group[x]["i"] == group[x]["j"] or group[x]["block"] != group[y]["block"]) and _least_common(ids[x], ids[y]) == group[x]["key"]:
-                            own |= {x, y}
-                group = [group[k] for k in sorted(own)]
-            out += [(g["key"], g["i"], g["j"], g["block"], g["rep"]) for g in group]
+            within, masks = group[0]["i"] == group[0]["j"], _lesser(group)
+            blocks = [g["block"] for g in group]
+            for x, g in enumerate(group):
+                if any(not masks[x] & masks[y] for y in range(len(group)) if (x != y if within else blocks[x] != blocks[y])):
+                    out.append((g["key"], g["i"], g["j"], g["block"], g["rep"]))
             if len(out) > 8192:
                 yield _table(out)
                 out = []
@@ -168,16 +184,17 @@ def _compare(rows: DataFrame, threshold: float) -> DataFrame:
     fields = "rep binary, links long, root binary"
 
     def links_of(group: list[dict]) -> list[tuple]:
-        key, within = group[0]["key"], group[0]["i"] == group[0]["j"]
+        within = group[0]["i"] == group[0]["j"]
         sides = [group, group] if within else [[g for g in group if g["block"] == g["i"]], [g for g in group if g["block"] != g["i"]]]
         if not sides[0] or not sides[1] or len(group) < 2:
             return []
-        left, right = ([np.frombuffer(g["set"], np.uint64) for g in side] for side in sides)
+        left, right = ([_unpacked(g["set"]) for g in side] for side in sides)
         match = similar(left, right, threshold)
         if within:
             match &= np.triu(np.ones_like(match), 1)
-        ids = [[frozenset(g["buckets"]) for g in side] for side in sides]
-        pairs = [(x, y) for x, y in zip(*(k.tolist() for k in np.nonzero(match)), strict=True) if _least_common(ids[0][x], ids[1][y]) == key]
+        masks = dict(zip((g["rep"] for g in group), _lesser(group), strict=True))
+        own = [[masks[g["rep"]] for g in side] for side in sides]
+        pairs = [(x, y) for x, y in zip(*(k.tolist() for k in np.nonzero(match)), strict=True) if not own[0][x] & own[1][y]]
         links: dict[bytes, int] = {}
         root: dict[bytes, bytes] = {}
 
@@ -225,7 +242,7 @@ def _with_sets(near: DataFrame, n: int) -> DataFrame:
                 columns: dict[str, list] = {k: [] for k in kinds}
                 for s, row in zip(shingle_sets(Words(data, offsets, powers), n), rows, strict=True):
                     for w in row["wanted"]:
-                        for k, v in (*w.items(), ("rep", row["rep"]), ("copies", row["copies"]), ("buckets", row["buckets"]), ("set", s.tobytes())):
+                        for k, v in (*w.items(), ("rep", row["rep"]), ("copies", row["copies"]), ("buckets", row["buckets"]), ("set", _packed(s))):
                             columns[k].append(v)
                     if len(columns["set"]) > 256:
                         yield pa.RecordBatch.from_arrays([pa.array(columns[k], t) for k, t in kinds.items()], names=list(kinds))

@@ -337,9 +337,9 @@ def prj10(t):
 @check("snk01_csv_export", """SELECT event_id::VARCHAR AS event_id, coalesce(v_name, venue_name_raw) AS venue_name, v_capacity::VARCHAR AS venue_capacity, opportunity_score::VARCHAR AS opportunity_score FROM d_scored
     ORDER BY date_start, d_scored.event_id""")
 def snk01(t):
-    from ..session import shared_folder
+    from ..session import scratch
 
-    path = f"{shared_folder(t.spark)}/export_csv"
+    path = scratch(t.spark, "export_csv")
     sinks.export(sinks.events_export(t.scored_event, AS_OF).select("event_id", "venue", "opportunity_score"), path, "csv")
     return t.spark.read.option("header", True).csv(path).select("event_id", "venue_name", "venue_capacity", "opportunity_score")
 
@@ -347,9 +347,9 @@ def snk01(t):
 @check("snk02_json_export", f"""SELECT event_id, opportunity_type, score FROM (SELECT o.event_id, o.opportunity_type, o.score FROM d_opp o JOIN d_event e USING (event_id) WHERE e.date_start BETWEEN {D} AND {D} + 30
     ORDER BY o.score DESC, o.event_id, o.opportunity_type)""")
 def snk02(t):
-    from ..session import shared_folder
+    from ..session import scratch
 
-    path = f"{shared_folder(t.spark)}/export_json"
+    path = scratch(t.spark, "export_json")
     ev = t.scored_between(0, 30)
     sinks.export(sinks.opportunities_export(t.opportunity(ev), ev, AS_OF), path, "json")
     return t.spark.read.schema("event_id bigint, opportunity_type string, score int").json(path)
@@ -382,9 +382,9 @@ def snk06(t):
 @check("snk07_snapshot_bundle")
 def snk07(t):
     """Writes the named result sets, returns the row count read back per name."""
-    from ..session import shared_folder
+    from ..session import scratch
 
-    folder = f"{shared_folder(t.spark)}/bundle"
+    folder = scratch(t.spark, "bundle")
     ev = t.scored_between(0, 30)
     names = sinks.snapshot_bundle({
         "summary": reports.event_counters(ev, AS_OF), "events_7d": views.event_summary(fl.list_events(ev, AS_OF, range_="7d", size=None)),
@@ -399,9 +399,9 @@ def snk07(t):
 
 @check("snk08_report_sheets")
 def snk08(t):
-    from ..session import shared_folder
+    from ..session import scratch
 
-    folder = f"{shared_folder(t.spark)}/sheets"
+    folder = scratch(t.spark, "sheets")
     ev = t.scored(t.event_touching(30))
     names = sinks.sheets_bundle(reports.daily_report(ev, t.event_change, t.source, t.action(ev), AS_OF), folder)
     parts = [t.spark.read.option("header", True).csv(f"{folder}/{n}").agg(F.count("*").alias("n")).select(F.lit(n).alias("sheet"), "n") for n in names]

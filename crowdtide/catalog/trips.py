@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import bookings as bk
-from ..session import shared_folder
+from ..session import scratch
 from ..sources import files
 from .registry import check
 from .shape import iso
@@ -26,7 +26,7 @@ def raw(t):
 
 @check("src02_booking_csv", GOOD_SQL)
 def src02(t):
-    path = f"{shared_folder(t.spark)}/bookings_in.csv"
+    path = scratch(t.spark, "bookings_in") + ".csv"
     raw(t).write.mode("overwrite").option("header", True).csv(path)
     return iso(bk.to_canonical(files.read_bookings(t.spark, path))[0].select(*SHOWN))
 
@@ -42,7 +42,7 @@ def src03(t):
 
 @check("src05_suffix_dispatch", f"SELECT '.csv' AS kind, count(*) AS n FROM ({RAW_SQL}) UNION ALL SELECT '.json', count(*) FROM ({RAW_SQL})")
 def src05(t):
-    base = f"{shared_folder(t.spark)}/dispatch"
+    base = scratch(t.spark, "dispatch")
     raw(t).write.mode("overwrite").option("header", True).csv(f"{base}.csv")
     # one document per file is the contract of the JSON reader; a bounded number of files per folder
     docs = raw(t).withColumn("b", F.pmod(F.hash("pickup_datetime", "booking_id"), F.lit(64))).groupBy("b").agg(F.to_json(F.collect_list(F.struct("booking_id", "pickup_datetime", "fare"))).alias("value"))

@@ -20,13 +20,19 @@ _DATE_FORMS = [
 ]
 
 
-def parse_uk_date(c: Column | str) -> Column:
-    """Day-first date from numeric, ISO or 'd Month yyyy' text found anywhere in the value; null for an impossible date."""
+def parse_uk_date(c: Column | str, as_of: Column | None = None) -> Column:
+    """Day-first date from numeric, ISO or 'd Month yyyy' text found anywhere in the value; null for an impossible date.
+
+    With ``as_of`` a text without a year ('21 September') takes its year.
+    """
     s = F.trim(_col(c))
     found = []
     for pattern, rewrite, form in _DATE_FORMS:
         text = F.regexp_replace(s, pattern, rewrite)
         found.append(F.try_to_date(F.initcap(text) if "MMM" in form else text, form))
+    if as_of is not None:
+        text = F.concat_ws(" ", F.regexp_replace(s, r"(?s)^.*?(?<!\d)(\d{1,2})(?:st|nd|rd|th)?\s+([A-Za-z]{3})[a-z]*(?![A-Za-z]).*$", "$1 $2"), F.year(as_of).cast("string"))
+        found.append(F.try_to_date(F.initcap(text), "d MMM yyyy"))
     return F.coalesce(*found)
 
 

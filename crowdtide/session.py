@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,11 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new name in the shared folder, so that two runs never meet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of any executor."""
     sc = df.sparkSession.sparkContext
@@ -51,7 +57,7 @@ def split_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inn
     """Equi-join that cuts any key of ``many`` with more than ``rows_per_split`` rows into several sub-keys.
 
     Rows of ``many`` under a hot key go to one of n sub-keys by row hash; the matching rows of ``few`` are copied to all
-    n.  The hot-key table has at most rows(many) / rows_per_split rows, which bounds the broadcast.  ``how`` may
+    n.  Null keys meet nothing and stay out of the split; whether the hot-key table is broadcast is left to the planner.  ``how`` may
     be inner, left or left_semi/left_anti with ``many`` on the left.  ``hot_from`` is a cheaper frame with the same keys to count
     (an earlier checkpoint of ``many``), so that a long plan is not run twice.
     """
@@ -61,13 +67,13 @@ def split_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inn
         .select(*keys, F.ceil(F.col("count") / rows_per_split).cast("int").alias("_splits"))
     )
     many = (
-        many.join(F.broadcast(hot), keys, "left")
+        many.join(hot, keys, "left")
         .withColumn("_part", F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(
             F.pmod(F.xxhash64(*[F.col(c) for c in many.columns]), F.col("_splits")).cast("int")))
         .drop("_splits")
     )
     few = (
-        few.join(F.broadcast(hot), keys, "left")
+        few.join(hot, keys, "left")
         .withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_splits"), F.lit(1)) - 1)))
         .drop("_splits")
     )

@@ -105,31 +105,3 @@ def seed_dimensions(cities: DataFrame, venues: DataFrame) -> dict[str, DataFrame
         "station_distance_km", "airport_distance_km", F.lit(True).alias("is_seeded"), venue_importance(c("capacity"), c("venue_type")).alias("importance_score")).dropDuplicates(["normalized_name"])
     venue = venue.join(city.select("city_id", F.lit(True).alias("_known")), "city_id", "left").withColumn("city_id", F.when(c("_known"), c("city_id"))).drop("_known")
     return {"region": region, "city": city, "venue": venue}
-
-
-# ---- versioned tables ----------------------------------------------------------------------------------------------------------------
-class Tables:
-    """Table versions under one shared folder.  A version counts once its marker row is written, so a lost job leaves no half state."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def latest(self) -> int:
-        try:
-            marks = self.spark.read.schema("version int").parquet(f"{self.root}/complete")
-            return marks.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return 0
-            raise
-
-    def read(self, name: str, version: int | None = None) -> DataFrame:
-        v = self.latest() if version is None else version
-        return self.spark.read.parquet(f"{self.root}/v{v}/{name}")
-
-    def write(self, frames: dict[str, DataFrame], version: int, partition_by: dict[str, list[str]] | None = None) -> None:
-        for name, df in frames.items():
-            w = df.write.mode("overwrite")
-            cols = (partition_by or {}).get(name)
-            (w.partitionBy(*cols) if cols else w).parquet(f"{self.root}/v{version}/{name}")
-        self.spark.range(1).select(F.lit(version).cast("int").alias("version")).coalesce(1).write.mode("append").parquet(f"{self.root}/complete")

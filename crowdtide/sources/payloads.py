@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from ..functions.dates import parse_time, parse_uk_date, split_local
+from ..functions.dates import parse_schema_datetime, parse_time, parse_uk_date, split_local
 from ..functions.text import external_id, normalize_name, normalize_status
 from .staging import staged
 
@@ -93,9 +93,8 @@ def ticketing(payloads: DataFrame, source_key: str = "ticketmaster") -> DataFram
     c = F.col
     page = F.from_json("value", f"struct<_embedded:struct<events:array<{TICKETING}>>>")
     e = payloads.select(F.explode(page["_embedded"]["events"]).alias("e")).select("e.*")
-    utc = F.try_to_timestamp(F.regexp_extract("dates.start.dateTime", r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})Z", 1), F.lit("yyyy-MM-dd'T'HH:mm:ss")).cast("timestamp_ntz")
     place, kind = F.get("_embedded.venues", F.lit(0)), F.get("classifications", F.lit(0))
-    rows = e.withColumns({"d": F.coalesce(parse_uk_date("dates.start.localDate"), split_local(utc)[0]), "p": place, "k": kind}).where("d IS NOT NULL")
+    rows = e.withColumns({"d": F.coalesce(parse_uk_date("dates.start.localDate"), parse_schema_datetime("dates.start.dateTime")[0]), "p": place, "k": kind}).where("d IS NOT NULL")
     hint = F.nullif(F.concat_ws(" ", _text(c("k.segment.name")), _text(c("k.genre.name"))), F.lit(""))
     return staged(
         rows, source_key=F.lit(source_key), source_confidence=F.lit("TRUSTED"), external_id=c("id"), title=F.coalesce("name", F.lit("")), category_hint=hint, date_start=c("d"),

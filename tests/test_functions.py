@@ -245,3 +245,15 @@ def test_jsonld_depth(spark):
     assert got == {1: ["deep"], 2: ["a\tb"]}
     kinds = {r.page_id: (r.kind, r.n_items) for r in page_profile(df).collect()}
     assert kinds[1] == ("JSONLD", 1) and kinds[2] == ("HTML_ONLY", 0) and kinds[4] == ("ICS", 2) and kinds[5] == ("RSS", 2) and kinds[6] == ("HAS_FEED_LINK", 0) and kinds[7] == ("HTML_ONLY", 0)
+
+
+def test_dates_without_year_and_offsets(spark, one):
+    from crowdtide.functions.dates import parse_uk_date
+    from crowdtide.sources.payloads import ticketing
+
+    day = F.lit("2026-09-18").cast("date")
+    got = one(*[parse_uk_date(F.lit(x), day).cast("string") for x in ("21 September", "Sat 3rd Oct", "21/09/2025", "soon")], parse_uk_date(F.lit("21 September")).cast("string"))
+    assert got == ("2026-09-21", "2026-10-03", "2025-09-21", None, None)
+    page = '{"_embedded":{"events":[{"id":"a","name":"n","dates":{"start":{"dateTime":"%s"}}}]}}'
+    rows = ticketing(spark.createDataFrame([(page % "2026-07-01T23:30:00+01:00",), (page % "2026-07-01T23:30:00Z",)], "value string")).select("date_start").collect()
+    assert sorted(str(r.date_start) for r in rows) == ["2026-07-01", "2026-07-02"]

@@ -62,20 +62,6 @@ def _extend(history: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mix(history * np.uint64(0x9E3779B97F4A7C15) + token)
 
 
-class Known:
-    """What a block knows of its n-grams: sorted hashes and their training counts, one pair per order."""
-
-    def __init__(self) -> None:
-        self.grams: dict[int, np.ndarray] = {}
-        self.counts: dict[int, np.ndarray] = {}
-
-    def count(self, n: int, grams: np.ndarray) -> np.ndarray:
-        if not len(self.grams.get(n, ())):
-            return np.zeros(len(grams), np.int64)
-        at = np.minimum(np.searchsorted(self.grams[n], grams), len(self.grams[n]) - 1)
-        return np.where(self.grams[n][at] == grams, self.counts[n][at], 0)
-
-
 class Model:
     """Parameters that are the same everywhere; four numbers come from the whole corpus."""
 
@@ -85,44 +71,33 @@ class Model:
         self.rare_mass = 1.0 - (known_total + PRIOR * known_distinct) / self.scale  # all words but the frequent ones
         self.rare_total = total - known_total
 
-    def symbols(self, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Tokens as arcs see them: rare words are one symbol."""
-        return np.where(counts >= self.min_count, tokens, RARE)
-
-    def grams(self, texts: Texts, known: Known, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(n-gram hash ending at each token, whether its history is a state, count of the history); the start of a text is a token of its own."""
-        symbols = self.symbols(texts.tokens, known.count(1, texts.tokens))
-        inside = np.arange(len(symbols)) - texts.first[texts.row]
-        history = np.zeros(len(symbols), np.uint64)
-        state = np.ones(len(symbols), bool)
-        seen = np.zeros(len(symbols), np.int64)
-        for back in range(n - 1, 0, -1):  # the history from its first word to its last
-            reach = inside - back
-            shifted = np.roll(symbols, back)
-            shifted[reach < 0] = np.uint64(0)
-            shifted[reach == -1] = START
-            state &= reach >= -1
-            history = shifted if back == n - 1 else _extend(history, shifted)
-        if n == 2:
-            single = np.where(history == START, self.documents, np.where(history == RARE, self.rare_total, known.count(1, history)))
-            seen = single
-        elif n > 2:
-            seen = known.count(n - 1, history)
-        if n > 1:
-            state &= seen >= self.min_count
-        return (_extend(history, symbols) if n > 1 else texts.tokens), state, seen
-
-    def log_probabilities(self, texts: Texts, known: Known) -> np.ndarray:
-        """log10 P of every token: the traversal adds the arc, or the failure arcs and the arc, from the state that the tokens before have led to."""
-        own = known.count(1, texts.tokens)
-        unigram = (own + PRIOR) / self.scale
-        rare = own < self.min_count
+    def grams(self, texts: Texts, counts: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(n-gram hash ending at each token, whether its history is a state, count of the history).
+
+        ``counts[k]`` holds the training count of the k-gram that ends at each token (counts[0] is not used).  The history of an n-gram is the (n - 1)-gram that ends one token before; the
+        start of a text is a token of its own.
+        """
+        inside = np.arange(len(texts.tokens)) - texts.first[texts.row]
+        if n == 1:
+            return texts.tokens, np.ones(len(inside), bool), np.zeros(len(inside), np.int64)
+        symbols = np.where(counts[1] >= self.min_count, texts.tokens, RARE)  # as arcs see them: rare words are one
+        history, seen = np.roll(symbols, 1), np.roll(np.where(symbols == RARE, self.rare_total, counts[1]), 1)
+        history[inside == 0], seen[inside == 0] = START, self.documents
+        state = seen >= self.min_count
+        for k in range(2, n):
+            history, seen = np.roll(_extend(history, symbols), 1), np.roll(counts[k], 1)
+            state = (inside >= k - 1) & (seen >= self.min_count)
+        return _extend(history, symbols), state, seen
+
+    def log_probabilities(self, texts: Texts, counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """log10 P of every token, and by smoothed unigrams alone: the traversal adds the arc, or the failure arcs and the arc, from the state that the tokens before have led to."""
+        unigram = (counts[1] + PRIOR) / self.scale
+        rare = counts[1] < self.min_count
         p = np.where(rare, self.rare_mass, unigram)
         for n in range(2, self.order + 1):
-            grams, state, seen = self.grams(texts, known, n)
-            arcs = known.count(n, grams)
-            p = np.where(state, (arcs + self.strength * p) / (seen + self.strength), p)
-        return np.log10(np.where(rare, p * (unigram / self.rare_mass), p)), own, np.log10(unigram)
+            _, state, seen = self.grams(texts, counts, n)
+            p = np.where(state, (counts[n] + self.strength * p) / (seen + self.strength), p)
+        return np.log10(np.where(rare, p * (unigram / self.rare_mass), p)), np.log10(unigram)
 
 
 def _questions(texts: Texts, train: np.ndarray, grams: np.ndarray, asked: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -181,29 +156,32 @@ def _answer(group: pa.Table, min_count: int) -> pa.Table:
     return pa.table({"block": pa.array(block, pa.int64()), "n": pa.array(ns, pa.int32()), "part": pa.array(parts, pa.int32()), "counts": pa.array(cells, pa.binary())})
 
 
-def _recall(model: Model, texts: Texts, answers: pa.Table, orders: int) -> Known:
-    """Pairs a block's questions, made again, with their answers."""
-    known = Known()
+def _recall(model: Model, texts: Texts, answers: pa.Table, orders: int) -> list[np.ndarray]:
+    """Pairs a block's questions, made again, with their answers: the count of the n-gram that ends at each token, 0 where it was not asked for."""
+    counts = [np.zeros(0, np.int64)]
     cells = sorted(zip(answers.column("n").to_pylist(), answers.column("part").to_pylist(), answers.column("counts").to_pylist(), strict=True))
     for n in range(1, orders + 1):
-        grams, state, _ = model.grams(texts, known, n)
-        known.grams[n] = np.unique(grams[state])
-        known.counts[n] = np.concatenate([np.zeros(0, np.int64), *(_unpack_counts(c) for k, _, c in cells if k == n)])
-    return known
+        grams, state, _ = model.grams(texts, counts, n)
+        _, at = np.unique(grams[state], return_inverse=True)
+        own = np.zeros(len(grams), np.int64)
+        if len(at):
+            own[state] = np.concatenate([_unpack_counts(c) for k, _, c in cells if k == n])[at]
+        counts.append(own)
+    return counts
 
 
 def _ask(blocks: DataFrame, answered: list[DataFrame], model: Model, n: int, parts: int) -> DataFrame:
     """The questions of every block for n-grams, given the answers to the shorter ones."""
-    def questions(texts: Texts, known: Known, table: pa.Table) -> pa.Table:
+    def questions(texts: Texts, counts: list[np.ndarray], table: pa.Table) -> pa.Table:
         train = ~np.array(table.column("held_out").to_pylist(), bool)
-        grams, state, _ = model.grams(texts, known, n)
+        grams, state, _ = model.grams(texts, counts, n)
         found = [(p, _pack_grams(g), _pack_counts(c)) for p, g, c in _questions(texts, train, grams, state, parts)]
         block = table.column("block")[0].as_py()
         return pa.table({"block": pa.array([block] * len(found), pa.int64()), "part": pa.array([f[0] for f in found], pa.int32()), "n": pa.array([n] * len(found), pa.int32()),
                          "grams": pa.array([f[1] for f in found], pa.binary()), "counts": pa.array([f[2] for f in found], pa.binary())})
 
     def first(table: pa.Table) -> pa.Table:
-        return questions(Texts(table), Known(), table)
+        return questions(Texts(table), [], table)
 
     def further(table: pa.Table, answers: pa.Table) -> pa.Table:
         texts = Texts(table)
@@ -214,7 +192,7 @@ def _ask(blocks: DataFrame, answered: list[DataFrame], model: Model, n: int, par
     return blocks.groupBy("block").cogroup(_union(answered).groupBy("block")).applyInArrow(further, QUESTION)
 
 
-def score(docs: DataFrame, held_out: str = "held_out", order: int = 3, min_count: int = 10, strength: float = 40.0, block_rows: int = 4096) -> DataFrame:
+def score(docs: DataFrame, held_out: str = "held_out", order: int = 3, min_count: int = 10, strength: float = 40.0, block_rows: int = 3072) -> DataFrame:
     """Score every text of ``docs`` (doc_id, text and the boolean column ``held_out``; the model learns from rows where that is not true).
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (smoothed unigrams) and score (the automaton), a row for each input row.  A null text
@@ -246,10 +224,11 @@ def score(docs: DataFrame, held_out: str = "held_out", order: int = 3, min_count
 
     def traverse(texts_table: pa.Table, answers: pa.Table) -> pa.Table:
         texts = Texts(texts_table)
-        logs, own, unigram = model.log_probabilities(texts, _recall(model, texts, answers, order))
+        counts = _recall(model, texts, answers, order)
+        logs, unigram = model.log_probabilities(texts, counts)
         add = lambda x: np.add.reduceat(x, texts.first)
         return pa.table({"doc_id": texts_table.column("doc_id"), "held_out": texts_table.column("held_out"), "n_tokens": texts.sizes.astype(np.int64),
-                         "n_known": add((own > 0).astype(np.int64)), "base_score": add(unigram), "score": add(logs)})
+                         "n_known": add((counts[1] > 0).astype(np.int64)), "base_score": add(unigram), "score": add(logs)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = blocks.groupBy("block").cogroup(_union(answered).groupBy("block")).applyInArrow(

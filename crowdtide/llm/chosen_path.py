@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
@@ -293,13 +293,18 @@ def link(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
 
 
 def keep_one(docs: DataFrame, **options: float) -> DataFrame:
-    """One document of each class (the least doc_id, then the least text hash), with its own columns; texts without words all stay."""
+    """One document of each class (the least doc_id, then the least text hash), with its own columns; texts without words all stay.
+
+    Rows equal in doc_id and text are one document and give one row.
+    """
     linked = stored(link(docs.select("doc_id", "text"), **options), "linked")
-    gone = linked.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("one"))
-    kept = linked.where("root is null").select("doc_id", "h").unionByName(gone.select("one.doc_id", "one.h")).distinct().withColumnsRenamed({"doc_id": "_id", "h": "_h2"})
-    h, seen = free_name(docs, "h"), F.hash(whole("text"))
-    own = docs.withColumn(h, seen)
-    out = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(h) == F.col("_h2")), "left_semi")
-    worded = F.regexp_count(whole("text"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")) > 0
-    once = out.where(worded).dropDuplicates(["doc_id", h])
-    return once.unionByName(out.where(~worded)).drop(h)
+    least = linked.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("one"))
+    kept = linked.where("root is null").select("doc_id", "h").unionByName(least.select("one.doc_id", "one.h"))
+    keys = [free_name(docs, k) for k in ("id_text", "id_null", "text_hash")]
+
+    def keyed(df: DataFrame, h: Column) -> DataFrame:
+        return df.withColumns(dict(zip(keys, (F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), h), strict=True)))
+
+    # joined and made distinct by the same plain keys: the texts are shuffled once
+    own = keyed(docs, F.hash(whole("text")))
+    return own.join(keyed(kept, F.col("h")).select(*keys).distinct(), keys, "left_semi").dropDuplicates(keys).drop(*keys)

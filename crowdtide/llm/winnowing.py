@@ -107,7 +107,7 @@ def _fingerprints(keyed: DataFrame, window: int, lengths: list[int], short_only:
                         rows, at = rows[own], at[own]
                     found.append((np.full(len(rows), n, np.int32), rows, at, words.hash_of(at, n)))
                 n, rows, at, hashes = (np.concatenate(x) for x in zip(*found, strict=True))
-                taken = batch.take(pa.array(first + rows))
+                taken = batch.select(keys).take(pa.array(first + rows))
                 yield pa.RecordBatch.from_arrays(
                     [*(taken.column(c) for c in keys), pa.array(n), pa.array(hashes.view(np.int64)), pa.array((at - words.first[rows]).astype(np.int32))], names=fields.names)
 
@@ -141,7 +141,7 @@ def _windows(keyed: DataFrame, window: int, places: bool) -> DataFrame:
                         ns.append(n)
                         ats.append(at)
                         texts.append(words.text(int(words.first[k]) + at, n))
-                taken = batch.take(pa.array(rows, pa.int64()))
+                taken = batch.select(keys).take(pa.array(rows, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in keys), pa.array(ns, pa.int32()), pa.array(ats, pa.int32()), pa.array(texts, pa.binary())], names=fields.names)
 
     return keyed.mapInArrow(run, fields)

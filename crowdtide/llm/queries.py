@@ -129,5 +129,5 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_line_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = fuzzy_lines.deduplicate(table(spark, sf_dir, "documents"))
+    kept = fuzzy_lines.deduplicate(table(spark, sf_dir, "documents"), exact_words=1)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(whole("text"), 256).alias("kept_sha256"))

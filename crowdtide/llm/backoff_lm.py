@@ -192,12 +192,12 @@ def _ask(blocks: DataFrame, answered: list[DataFrame], model: Model, n: int, par
     return blocks.groupBy("block").cogroup(_union(answered).groupBy("block")).applyInArrow(further, QUESTION)
 
 
-def score(docs: DataFrame, held_out: str = "held_out", order: int = 3, min_count: int = 10, strength: float = 40.0, block_rows: int = 3072) -> DataFrame:
+def score(docs: DataFrame, held_out: str = "held_out", order: int = 3, min_count: int = 1, strength: float = 40.0, block_rows: int = 3072) -> DataFrame:
     """Score every text of ``docs`` (doc_id, text and the boolean column ``held_out``; the model learns from rows where that is not true).
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (smoothed unigrams) and score (the automaton), a row for each input row.  A null text
     is empty and has one token, the end.  A null held_out counts as false.  Without training rows every token is unknown.  Other columns are not read.
-    ``block_rows`` bounds the texts of one block; the model's tables of a block grow with it, and the number of cells exchanged falls with it.
+    Every n-gram that occurs in training is a state unless ``min_count`` asks for more.  ``block_rows`` bounds the texts of one block; the model's tables of a block grow with it, and the number of cells exchanged falls with it.
     """
     spark = docs.sparkSession
     place = F.monotonically_increasing_id()

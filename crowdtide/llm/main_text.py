@@ -29,7 +29,6 @@ SIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices popup modal overlay newsletter "
     "subscribe subscription signup login paywall nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside widget widgets related recommended recommendations share sharing social "
     "comment comments commentlist disqus reply replies respond discussion footer header masthead toolbar pagination pager tags tagcloud skip hidden".split())
-PART_WORDS = SIDE_WORDS - {"header", "hidden", "tags", "overlay", "skip"}  # these say so only as a whole class name
 
 TOKEN = re.compile(
     r"""<!--(?:.*?-->|.*\Z)                                                      # comments
@@ -45,30 +44,28 @@ SIBLING_SHARE = 0.2
 
 
 class Node:
-    __slots__ = ("chars", "commas", "kids", "links", "name", "parent", "points", "side")
+    __slots__ = ("chars", "commas", "kids", "links", "name", "parent", "points", "side", "worded")
 
-    def __init__(self, name: str, parent: Node | None, side: bool):
-        self.name, self.parent, self.side = name, parent, side
+    def __init__(self, name: str, parent: Node | None, side: bool, worded: bool = False):
+        self.name, self.parent, self.side, self.worded = name, parent, side, worded
         self.kids: list[Node | str] = []
         self.chars = self.commas = self.links = 0
         self.points = 0.0
 
 
-def _is_side(name: str, rest: str) -> bool:
-    """Whether an element is not part of the main text by its name or attributes."""
+def _is_side(name: str, rest: str) -> tuple[bool, bool]:
+    """Whether an element is not part of the main text by its name or attributes, and whether a whole word of its class or id says so."""
     if name in NEVER:
-        return True
-    if not rest or name in ("html", "body", "article", "main"):
-        # an article of comments says so in its class
-        if name != "article" or not rest:
-            return False
+        return True, False
+    if not rest or name in ("html", "body", "main"):
+        return False, False
+    worded = False
     for key, value in ATTRIBUTE.findall(rest):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and HIDDEN_STYLE.search(value):
-            return True
-        if key in ("class", "id") and any(w in SIDE_WORDS or not PART_WORDS.isdisjoint(re.split(r"[^a-z]+", w)) for w in value.split()):
-            return True
-    return False
+            return True, False
+        worded = worded or key in ("class", "id") and not SIDE_WORDS.isdisjoint(value.split())
+    return False, worded
 
 
 def parse(page: str) -> Node:
@@ -104,7 +101,8 @@ def parse(page: str) -> Node:
                 at = up.parent
         if name in CLOSED_BY and at.name in CLOSED_BY[name]:
             at = at.parent
-        node = Node(name, at, at.side or _is_side(name, m["rest"]))
+        side, worded = _is_side(name, m["rest"])
+        node = Node(name, at, at.side or side, worded)
         at.kids.append(node)
         if name not in VOID and not m["rest"].endswith("/"):
             at = node
@@ -154,6 +152,35 @@ def _measure(root: Node) -> None:
             up = up.parent
 
 
+def _leave_worded(root: Node) -> None:
+    """Marks what class words tell to leave out, but no element that holds the page's only article or main element, or, on a page without one outside, most of its text."""
+    _measure(root)
+    under: set[int] = set()  # elements below or at one with such a word
+    articles: list[Node] = []
+    for node, done in _walk(root):
+        if done or node.side:
+            continue
+        if node.worded or node.parent is not None and id(node.parent) in under:
+            under.add(id(node))
+        if node.name in ("article", "main") and not node.worded and node.chars:
+            articles.append(node)
+    outside = any(id(a) not in under for a in articles)
+    holds: set[int] = set()
+    for up in articles:
+        while up is not None and id(up) not in holds:
+            holds.add(id(up))
+            up = up.parent
+    total = root.chars - root.links
+    for node, done in _walk(root):
+        if not done:
+            needed = not outside and (id(node) in holds or 2 * (node.chars - node.links) > total)
+            node.side = node.side or node.parent is not None and node.parent.side or node.worded and not needed
+    for node, done in _walk(root):
+        if done:
+            node.chars = node.commas = node.links = 0
+            node.points = 0.0
+
+
 def _density(node: Node) -> float:
     return node.links / node.chars if node.chars else 0.0
 
@@ -181,7 +208,7 @@ def _chosen(root: Node) -> list[Node]:
             kept.append(k)
         elif isinstance(k, Node) and not k.side and k.chars:
             reads = k.name in CONTAINERS and k.points > 0 and _score(k) >= max(floor, 2)
-            says = k.name in PARAGRAPHS and _density(k) < 0.25 and (k.chars >= LONG_PARAGRAPH or k.name in ("h1", "h2"))
+            says = k.name in PARAGRAPHS and _density(k) < 0.25 and (best.name not in ("article", "main") or k.chars >= LONG_PARAGRAPH or k.name in ("h1", "h2"))
             if reads or says:
                 kept.append(k)
     return kept
@@ -191,25 +218,41 @@ def _is_link_list(node: Node) -> bool:
     return node.name in ("ul", "ol", "table", "div", "section") and _density(node) > 0.7 and sum(isinstance(k, Node) for k in node.kids) >= 2
 
 
-def main_text(page: str) -> str:
-    """The main text of one page: blocks in page order, white space squeezed, joined by one space."""
+def _read(page: str, words: bool) -> tuple[str, bool]:
+    """The text, and whether it is that of an article or main element."""
     root = parse(page)
+    if words:
+        _leave_worded(root)
     _measure(root)
     parts: list[str] = []
-    for top in _chosen(root):
+    chosen = _chosen(root)
+    for top in chosen:
+        of_page = top.parent is None or top.name == "body"  # the links of a whole page are menus, those of an article its sources
         stack: list[Node | str] = [top]
         while stack:
             k = stack.pop()
             if isinstance(k, str):
                 parts.append(k)
-            elif not k.side and not (k is not top and _is_link_list(k)):
+            elif not k.side and not (of_page and k is not top and _is_link_list(k)):
                 edge = k.name in BLOCKS
                 if edge:
                     stack.append(" ")
                 stack.extend(reversed(k.kids))
                 if edge:
                     stack.append(" ")
-    return " ".join("".join(parts).split())
+    return " ".join("".join(parts).split()), any(k.name in ("article", "main") for k in chosen)
+
+
+def main_text(page: str) -> str:
+    """The main text of one page: blocks in page order, white space squeezed, joined by one space.
+
+    If the words of classes leave no text, or less than a paragraph that is no article, they are not heeded.
+    """
+    text, article = _read(page, True)
+    if not text or len(text) < LONG_PARAGRAPH and not article:
+        more, _ = _read(page, False)
+        return more if len(more) > len(text) else text
+    return text
 
 
 def extract(pages: DataFrame, html_column: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

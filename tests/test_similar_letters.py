@@ -1,0 +1,15 @@
+"""A large tile finds the same pairs as small ones, in any script."""
+
+import numpy as np
+
+from crowdtide.functions.similarity import token_set_of
+from crowdtide.operators.similar import SMALL_TILE, _compare
+
+
+def test_other_letters():
+    texts = np.array([*(f"μεγάλη συναυλία {k} αθήνα" for k in range(12)), *(f"фестиваль éléganté {k}" for k in range(12))], dtype=object)
+    ids = np.arange(len(texts))
+    assert len(ids) ** 2 > SMALL_TILE
+    large = {(int(i), int(j)) for i, j in _compare(ids, texts, ids, texts, 0.9, token_set_of)}
+    small = {(int(i), int(j)) for k in ids for i, j in _compare(ids[k:k + 1], texts[k:k + 1], ids, texts, 0.9, token_set_of)}
+    assert large == small and len(large) >= len(ids)

@@ -90,7 +90,7 @@ def tree_rules(forest: object, names: list[str]) -> list[Rule]:
     return list(found)
 
 
-def fit(labelled: DataFrame, label: str = "quality", trees: int = 12, depth: int = 3, penalty: float = 0.002, max_rules: int = 120, max_rows: int = 200_000, seed: int = 7) -> Ensemble:
+def fit(labelled: DataFrame, label: str = "quality", trees: int = 12, depth: int = 3, penalty: float = 0.002, max_rows: int = 200_000, seed: int = 7) -> Ensemble:
     """Fit the ensemble to rows of statistics with a 0/1 label.
 
     The fit uses at most about ``max_rows`` labelled rows, drawn by hash of their values (documented bound; the label's share is kept).  Rows with a null label count
@@ -108,7 +108,7 @@ def fit(labelled: DataFrame, label: str = "quality", trees: int = 12, depth: int
     rows = stored(rows, "labelled")
     frame = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, maxBins=64, featureSubsetStrategy="onethird", minInstancesPerNode=5, seed=seed).fit(frame)
-    rules = tree_rules(forest, names)[:max_rules]
+    rules = tree_rules(forest, names)
     marked = rows.select("label", F.array(*[r.column() for r in rules]).alias("marks"))
     from pyspark.ml.functions import array_to_vector
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, chosen_path, divergence, fuzzy_lines, main_text, packing, pii, rule_ensemble, suffix_dedup, winnowing
+from . import backoff_lm, chosen_path, divergence, fuzzy_lines, main_text, packing, pair_index_bpe, pii, rule_ensemble, suffix_dedup, winnowing
 from .common import table, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = fuzzy_lines.deduplicate(table(spark, sf_dir, "documents"), exact_words=1)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(whole("text"), 256).alias("kept_sha256"))
+
+
+@query("op12_bpe_encoding_and_decoding")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    coded = pair_index_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), decoded=True)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -8,7 +8,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
@@ -49,6 +49,22 @@ def bucket_of(column: str, buckets: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(buckets))
 
 
+def numbered(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """Columns ``idx`` (place in the group by ``order``, from 0) and ``total`` (rows of the group); ``group`` holds no nulls, nulls of ``order`` come first.
+
+    Rows are dealt by ranges of group and order, so that a group of any size spreads over tasks; a place is that in the task plus the counts of the
+    tasks before it.  Rows equal in all of ``order`` follow each other in an order that is the same when a task is run again.
+    """
+    c, cuts = F.col, [*group, *order, "_salt"]
+    dealt = df.withColumn("_salt", F.monotonically_increasing_id()).repartitionByRange(*cuts).sortWithinPartitions(*cuts)
+    rows = stored(dealt.drop("_salt").withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)), name)
+    counts = rows.groupBy("_part", *group).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    w = Window.partitionBy(*group)
+    before = F.sum("_n").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_part", *group, (c("_first") - F.coalesce(before, F.lit(0))).alias("_zero"), F.sum("_n").over(w).alias("total"))
+    return rows.join(starts, ["_part", *group]).select(*df.columns, (c("_at") - c("_zero")).alias("idx"), "total")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

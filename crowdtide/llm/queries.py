@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, chosen_path, divergence, fuzzy_lines, main_text, packing, pair_index_bpe, pii, rule_ensemble, suffix_dedup, winnowing
+from . import backoff_lm, chosen_path, divergence, fuzzy_lines, main_text, merkle_manifest, packing, pair_index_bpe, pii, rule_ensemble, suffix_dedup, winnowing
 from .common import table, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,43 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     coded = pair_index_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), decoded=True)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+# crc32 of a decimal number: the bits of each digit go through the polynomial one after another
+CRC32_SQL = """xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split({x}::varchar, ''), lambda s: ascii(s)::bigint)),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295)"""
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}::varchar)::varchar || ':' || {v}::varchar, '-')" for v in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+OP11_SQL = f"""
+with recursive d as (select *, case when {CRC32_SQL.format(x="doc_id")} % 3 = 0 then translate(text, '{merkle_manifest.CAPITALS}', '{merkle_manifest.CAPITALS.lower()}') else text end as shown from documents),
+l as (select doc_id, coalesce('=' || lang, '') as tree, {_leaf_sql("text")} as leaf, {_leaf_sql("shown")} as other from d),
+o as (select row_number() over () as row, *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as idx, count(*) over (partition by tree) as total from l),
+up as (select tree, 0 as level, idx, total, leaf as h from o
+       union all select tree, level + 1, idx // 8, (total + 7) // 8, sha256(string_agg(h, '' order by idx)) from up where total > 1 group by tree, level, idx // 8, total),
+tops as (select tree as member, row_number() over (order by tree) - 1 as idx, count(*) over () as total, h from up where total = 1),
+top_up as (select 0 as level, idx, total, h from tops
+           union all select level + 1, idx // 8, (total + 7) // 8, sha256(string_agg(h, '' order by idx)) from top_up where total > 1 group by level, idx // 8, total),
+sides as (select o.row, u.level, coalesce(string_agg(u.h, '' order by u.idx) filter (where u.idx < o.idx >> (3 * u.level)), '') as before, coalesce(string_agg(u.h, '' order by u.idx) filter (where u.idx > o.idx >> (3 * u.level)), '') as after
+          from o join up u on u.tree = o.tree and u.total > 1 and u.idx >> 3 = o.idx >> (3 * u.level + 3) group by o.row, u.level
+          union all
+          select o.row, 1000 + u.level, coalesce(string_agg(u.h, '' order by u.idx) filter (where u.idx < t.idx >> (3 * u.level)), ''), coalesce(string_agg(u.h, '' order by u.idx) filter (where u.idx > t.idx >> (3 * u.level)), '')
+          from o join tops t on t.member = o.tree join top_up u on u.total > 1 and u.idx >> 3 = t.idx >> (3 * u.level + 3) group by o.row, u.level),
+steps as (select *, row_number() over (partition by row order by level) as k from sides),
+proof as (select row, sha256(string_agg(before || after, '' order by k)) as proof_sha256, max(k) as n from steps group by row),
+fold as (select row, 0 as k, other as h from o union all select f.row, s.k, sha256(s.before || f.h || s.after) from fold f join steps s on s.row = f.row and s.k = f.k + 1),
+ends as (select fold.row, fold.h from fold left join proof using (row) where fold.k = coalesce(n, 0))
+select doc_id, leaf, tops.h as subroot, (select h from top_up where total = 1) as root, coalesce(proof_sha256, sha256('')) as proof_sha256, ends.h as folded_root, ends.h = (select h from top_up where total = 1) as verified
+from o join tops on member = tree join ends using (row) left join proof using (row)
+"""
+
+
+@query("op11_merkle_dataset_manifest", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sealed = merkle_manifest.manifest(table(spark, sf_dir, "documents"), shown=merkle_manifest.tampered_leaf())
+    checked = sealed.withColumn("folded_root", merkle_manifest.folded(F.col("shown"), F.col("before"), F.col("after")))
+    return checked.select("doc_id", "leaf", "subroot", "root", merkle_manifest.proof_digest(F.col("before"), F.col("after")).alias("proof_sha256"), "folded_root",
+                          (F.col("folded_root") == F.col("root")).alias("verified"))

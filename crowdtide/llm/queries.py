@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, chosen_path, divergence, fuzzy_lines, main_text, merkle_manifest, packing, pair_index_bpe, pii, rule_ensemble, suffix_dedup, winnowing
+from . import backoff_lm, chosen_path, divergence, fuzzy_lines, main_text, merkle_manifest, packing, pair_index_bpe, pii, prefix_trie, rule_ensemble, suffix_dedup, winnowing
 from .common import table, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,27 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = sealed.withColumn("folded_root", merkle_manifest.folded(F.col("shown"), F.col("before"), F.col("after")))
     return checked.select("doc_id", "leaf", "subroot", "root", merkle_manifest.proof_digest(F.col("before"), F.col("after")).alias("proof_sha256"), "folded_root",
                           (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+OP13_SQL = f"""
+with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, sha256(strlen(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 as idx
+           from conversations where conv_id is not null),
+c as (select conv_id, conv_id - conv_id % 100 as base, {CRC32_SQL.format(x="conv_id")} % 6 as head from (select distinct conv_id from t)),
+r as (select c.conv_id, t.idx, role, text from c join t on t.conv_id = c.base where t.idx < head union all select c.conv_id, 1000000 + t.idx, role, text from c join t using (conv_id) where t.idx >= head),
+p as (select conv_id, row_number() over w as depth, length(text) as size, string_agg(sha256(strlen(role)::varchar || ':' || role || text), '') over w as path from r window w as (partition by conv_id order by idx)),
+m as (select conv_id, depth, size, path from p union all select conv_id, 0, 0, '' from c),
+ends as (select conv_id, max(depth) as depth from m group by conv_id),
+n as (select path, any_value(m.depth) as depth, any_value(size) as size, min(m.conv_id) as conv_id, count(*) as n_convs, string_agg(ends.conv_id::varchar, ',' order by ends.conv_id) as ids
+      from m left join ends on ends.conv_id = m.conv_id and ends.depth = m.depth group by path),
+kids as (select left(path, length(path) - 64) as path, count(*) as n_children from n where depth > 0 group by 1),
+full_n as (select n.*, coalesce(n_children, 0) as n_children from n left join kids using (path)),
+up as (select left(path, 64 * unnest(range(0, depth + 1))::int) as path, (n_children = 0)::int as leaf, (n_convs - 1) * size as own from full_n),
+sums as (select path, sum(leaf) as n_leaves, sum(own) as saved_tokens from up group by path)
+select n.conv_id, n.depth::bigint as depth, a.conv_id as parent_conv_id, n.n_convs, n.n_children, n_leaves::bigint as n_leaves, saved_tokens::bigint as saved_tokens, sha256(coalesce(n.ids, '')) as ends_sha256
+from full_n n join sums using (path) left join n a on n.depth > 0 and a.path = left(n.path, length(n.path) - 64)
+"""
+
+
+@query("op13_conversation_prefix_trie", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(table(spark, sf_dir, "conversations"))

@@ -9,6 +9,7 @@ from ..functions.text import fingerprint, normalize_title
 from ..operators import entities as en
 from ..operators import geography as geo
 from ..operators import upserts as up
+from . import oracle_similarity as osim
 from .oracle_tables import AS_OF as D
 from .oracle_tables import LOG_NOW, name_sql, title_sql
 from .registry import check
@@ -41,7 +42,16 @@ def join09(t):
     return geo.match_venues(t.event.select(F.expr(VENUE_NAME).alias("name")).where("name IS NOT NULL"), t.venue, fuzzy=False)
 
 
-@check("join09b_venue_fuzzy")
+SLIPS = "CASE WHEN event_id % 2 = 0 THEN substr(venue_name_raw, 10) || ' the Customer' ELSE 'Hal ' || venue_id END"
+
+
+@check("join09b_venue_fuzzy", f"""WITH {VENUE_INDEX}, vn AS (SELECT name, {name_sql('name')} AS key FROM (SELECT DISTINCT {SLIPS} AS name FROM d_event WHERE venue_name_raw IS NOT NULL) WHERE name IS NOT NULL),
+    vk AS (SELECT DISTINCT key FROM vn WHERE key NOT IN ('', 'tbc')), ex AS (SELECT key, venue_id FROM vk JOIN vindex USING (key)),
+    inside AS (SELECT k.key, min_by(i.venue_id, (-length(i.key), i.key)) AS venue_id FROM vk k JOIN vindex i ON length(i.key) > 5 AND (contains(k.key, i.key) OR contains(i.key, k.key)) WHERE k.key NOT IN (SELECT key FROM ex) GROUP BY 1),
+    open_names AS (SELECT key FROM vk WHERE key NOT IN (SELECT key FROM ex) AND key NOT IN (SELECT key FROM inside)), {osim.fuzzy_lookup('open_names', 'vindex', 'f', 0.9)}
+    SELECT name, coalesce(ex.venue_id, inside.venue_id, i.venue_id) AS venue_id, CASE WHEN vn.key IN ('', 'tbc') THEN 'no_venue' WHEN ex.venue_id IS NOT NULL THEN 'venue_exact' WHEN inside.venue_id IS NOT NULL THEN 'venue_contains'
+      WHEN f.key IS NOT NULL THEN 'venue_fuzzy_' || floor(f.score)::INT ELSE 'venue_unmatched' END AS venue_method
+    FROM vn LEFT JOIN ex ON ex.key = vn.key LEFT JOIN inside ON inside.key = vn.key LEFT JOIN f ON f.key = vn.key LEFT JOIN vindex i ON i.key = f.index_key""")
 def join09b(t):
     """All three steps; names carry a typing slip or their words in another order."""
     names = t.event.where("venue_name_raw IS NOT NULL").select(F.expr("case when pmod(event_id, 2) = 0 then concat(substr(venue_name_raw, 10), ' the Customer') else concat('Hal ', cast(venue_id as string)) end").alias("name")).where("name IS NOT NULL")
@@ -53,7 +63,12 @@ def join10(t):
     return geo.match_cities(t.event.select(F.expr(CITY_NAME).alias("name")).where("name IS NOT NULL"), t.city, fuzzy=False)
 
 
-@check("join10b_city_fuzzy")
+@check("join10b_city_fuzzy", f"""WITH cindex AS (SELECT key, min(city_id) AS city_id FROM (SELECT {name_sql('name')} AS key, city_id FROM d_city UNION ALL SELECT {name_sql('alias1')}, city_id FROM d_city) GROUP BY 1),
+    cn AS (SELECT name, {name_sql('name')} AS key FROM (SELECT DISTINCT replace(city_name_raw, 'NATION', 'NATIONN') AS name FROM d_event WHERE city_name_raw IS NOT NULL)),
+    inside AS (SELECT k.key, min_by(i.city_id, (-length(i.key), i.key)) AS city_id FROM cn k JOIN cindex i ON contains(' ' || k.key || ' ', ' ' || i.key || ' ') GROUP BY 1),
+    near AS (SELECT a AS key, max_by(city_id, (score, b)) AS city_id, max(score) AS score FROM (SELECT k.key AS a, i.key AS b, i.city_id, {osim.ratio_sql('k.key', 'i.key')} AS score FROM cn k JOIN cindex i ON true) WHERE score >= 88 GROUP BY 1)
+    SELECT name, coalesce(e.city_id, inside.city_id, near.city_id) AS city_id, CASE WHEN e.city_id IS NOT NULL THEN 'city_exact' WHEN inside.city_id IS NOT NULL THEN 'city_contains' WHEN near.city_id IS NOT NULL THEN 'city_fuzzy_' || floor(near.score)::INT
+      ELSE 'city_unmatched' END AS city_method FROM cn LEFT JOIN cindex e ON e.key = cn.key LEFT JOIN inside ON inside.key = cn.key LEFT JOIN near ON near.key = cn.key""")
 def join10b(t):
     return geo.match_cities(t.event.where("city_name_raw IS NOT NULL").select(F.concat(F.replace("city_name_raw", F.lit("NATION"), F.lit("NATIONN"))).alias("name")), t.city)
 
@@ -113,13 +128,7 @@ def stored_events(t):
     return t.event.withColumn("fingerprint", fingerprint(c("title"), c("date_start"), c("venue_name_raw"), c("city_name_raw")))
 
 
-def _mins(x: str) -> str:
-    return f"(left({x}, 2)::INT * 60 + right({x}, 2)::INT)"
-
-
-def _apart(a: str, b: str, gap: str) -> str:
-    return f"coalesce({a} <> {b} AND abs({_mins(a)} - {_mins(b)}) >= {gap}, false)"
-
+_apart = osim.apart_sql
 
 STORED_FP = f"{title_sql('title')} || '|' || date_start || '|' || {name_sql('venue_name_raw')} || '|' || {name_sql('city_name_raw')}"
 
@@ -148,7 +157,7 @@ def join20(t):
     return m.select(c("rec").cast("bigint").alias("rec"), "by_link")
 
 
-@check("join08_fuzzy_join")
+@check("join08_fuzzy_join", osim.JOIN08_SQL)
 def join08(t):
     """Every event with a reworded title against all events of its day."""
     ev = t.event.where("venue_name_raw IS NOT NULL")
@@ -158,7 +167,7 @@ def join08(t):
     return en.fuzzy_matches(left, right.withColumn("r_key", -c("r_key")))
 
 
-@check("win07_best_candidate")
+@check("win07_best_candidate", osim.WIN07_SQL)
 def win07(t):
     """Best counterpart per event among the other events of its day."""
     ev = t.event.where("venue_name_raw IS NOT NULL").select(c("event_id").alias("l_key"), "date_start", "title", normalize_title("title").alias("norm_title"), c("venue_name_raw").alias("venue"), c("city_name_raw").alias("city"),

@@ -14,6 +14,7 @@ from ..operators.bookings import booking_legs
 from ..operators.entities import status_change
 from ..operators.views import flatten
 from ..session import pin
+from . import oracle_similarity as osim
 from .oracle_tables import AS_OF as D
 from .oracle_tables import NOW, band_sql, level_sql, name_sql, title_sql
 from .registry import check
@@ -98,7 +99,7 @@ def str12(t):
     return t.event.select("event_id", text.payload_hash(F.struct("title", "time_start", "status")).alias("h"))
 
 
-@check("str13_token_set_ratio")
+@check("str13_token_set_ratio", osim.STR13_SQL)
 def str13(t):
     """Similarity of every event title with its organiser-style label, words in another order."""
     other = F.concat_ws(" ", F.reverse(F.split("title", " ")))
@@ -106,12 +107,12 @@ def str13(t):
                           similarity.token_set_ratio(text.normalize_title("title"), text.normalize_name("venue_name_raw")).alias("other"))
 
 
-@check("str14_plain_ratio")
+@check("str14_plain_ratio", osim.STR14_SQL)
 def str14(t):
     return t.event.where("city_name_raw IS NOT NULL").select("event_id", similarity.ratio(text.normalize_name("city_name_raw"), text.normalize_name(F.concat(c("city_name_raw"), F.lit("s")))).alias("r"))
 
 
-@check("str15_duplicate_confidence")
+@check("str15_duplicate_confidence", osim.STR15_SQL)
 def str15(t):
     return t.event.select("event_id", similarity.duplicate_confidence(c("title"), F.concat(c("title"), F.lit(" live")), c("venue_name_raw"), c("venue_name_raw"),
                                                                       c("city_name_raw"), c("city_name_raw"), F.lit(True)).alias("confidence"))

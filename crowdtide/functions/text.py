@@ -84,7 +84,8 @@ def strip_accents(c: Column | str) -> Column:
     x = _col(c)
     known = F.from_json(F.lit(json.dumps(_WIDE)), "map<string,string>")
     apart = F.array_join(F.transform(F.split(x, ""), lambda ch: F.coalesce(F.try_element_at(known, ch), ch)), "")
-    return F.translate(F.when(x.rlike(_WIDE_LETTER), apart).otherwise(x), _FROM, _TO)
+    plain = F.translate(F.when(x.rlike(_WIDE_LETTER), apart).otherwise(x), _FROM, _TO)
+    return F.when(F.octet_length(x) == F.char_length(x), x).otherwise(plain)  # one byte a letter: nothing to strip
 
 
 @F.pandas_udf(T.StringType())

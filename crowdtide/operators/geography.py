@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions.geo import squared_degrees
-from ..functions.similarity import ratio, ratio_of, token_set_of, token_set_ratio
+from ..functions.similarity import ratio, token_set_ratio
 from ..functions.text import normalize_name, normalize_postcode
 from ..session import cut_lineage
-from .similar import tile_pairs, word_pairs, word_set_text
+from .similar import pair_prefixes, word_pairs, word_set_text
 
 
 def alias_index(registry: DataFrame, id_col: str, seeded: Column | None = None) -> DataFrame:
@@ -76,10 +76,15 @@ def _fuzzy_pairs(names: DataFrame, index: DataFrame, id_col: str, floor: float,
     left = names.select(F.col("key").alias("l_id"), text.alias("l_text"))
     right = index.select(F.col("key").alias("r_id"), text.alias("r_text"))
     left, right = cut_lineage(left), cut_lineage(right)
-    pairs = tile_pairs(left, right, t, [], score=token_set_of if by_words else ratio_of)
+    pairs = pair_prefixes(left, right, t)
     if by_words:
         pairs = pairs.union(word_pairs(left, right, t)).distinct()
-    scored = pairs.select(F.col("l_id").alias("key"), F.col("r_id").alias("index_key"), scorer("l_id", "r_id").alias("score")).where(F.col("score") >= floor)
+    if by_words:
+        score = token_set_ratio("l_id", "r_id", floor)
+    else:  # the built-in edit distance is never more than that of insertions and deletions alone
+        near = F.levenshtein("l_id", "r_id") <= (F.length("l_id") + F.length("r_id")) * F.lit(1 - t) + F.lit(1e-9)
+        score = F.when(near, scorer("l_id", "r_id"))
+    scored = pairs.select(F.col("l_id").alias("key"), F.col("r_id").alias("index_key"), score.alias("score")).where(F.col("score") >= floor)
     return scored.join(index.select(F.col("key").alias("index_key"), id_col), "index_key")
 
 

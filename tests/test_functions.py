@@ -121,7 +121,8 @@ def test_similarity_thresholds(spark):
     df = spark.createDataFrame(rows, "ta string, tb string, va string, vb string, ca string, cb string, same boolean").coalesce(1)
     got = [r.s for r in df.select(similarity.duplicate_confidence(*[F.col(c) for c in df.columns]).alias("s")).collect()]
     assert got[0] >= V.MERGE_THRESHOLD and got[1] < 0.7 and got[2] == 0.0 and got[3] >= 0.8 and got[4] < 0.6
-    assert similarity.ratio_of("abcd", "abxd") == 75.0 and similarity.token_set_of("a b c", "c b") == 100.0 and similarity.token_set_of("", "a") == 0.0
+    said = [similarity.ratio(F.lit("abcd"), F.lit("abxd")), similarity.token_set_ratio(F.lit("a b c"), F.lit("c b")), similarity.token_set_ratio(F.lit(""), F.lit("a"))]
+    assert tuple(df.limit(1).select(*said).first()) == (75.0, 100.0, 0.0)
 
 
 def test_sessions(one):

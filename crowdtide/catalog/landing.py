@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..bindings import AREA
 from ..operators import history
-from ..session import shared_folder
+from ..session import scratch, shared_folder
 from ..sources import feeds, html, payloads
 from ..streaming import feeds as streams
 from .registry import check
@@ -170,10 +170,28 @@ def run(t, df, name: str, columns: str):
     return t.spark.read.schema(columns).parquet(f"{base}/out")
 
 
-@check("stm01_incremental_landing", "SELECT DISTINCT user_id::VARCHAR AS source_key, event_type AS external_id FROM events")
+@check("stm01_incremental_landing", "SELECT user_id::VARCHAR AS source_key, event_type AS external_id, min(event_id) AS first_event FROM events GROUP BY ALL")
 def stm01(t):
-    landed = stream_of(t, "events").selectExpr("cast(user_id as string) source_key", "event_type external_id", "'h' hash", "cast(ts as timestamp) fetched_at")
-    return run(t, streams.dedupe_stream(landed, "fetched_at", "60 days"), "stm01", "source_key string, external_id string")
+    """The log lands twice, the second time in a stream that has no memory of the first: the stored keys alone keep it out."""
+    base = scratch(t.spark, "stm01")
+    landed = stream_of(t, "events").selectExpr("cast(user_id as string) source_key", "event_type external_id", "'h' hash", "event_id ordinal", "cast(ts as timestamp) fetched_at")
+    for k in (0, 1):
+        streams.land_into(landed, f"{base}/raw", f"{base}/state{k}", first_batch=1000 * k)
+    return t.spark.read.schema("source_key string, external_id string, ordinal bigint").parquet(f"{base}/raw").select("source_key", "external_id", c("ordinal").alias("first_event"))
+
+
+SILENT_DAYS = 2
+
+
+@check("stm03_silent_sources", f"""WITH w AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events), seen AS (SELECT user_id, date_trunc('hour', ts) AS h, epoch_us(min(ts)) // 1000 AS first, epoch_us(max(ts)) // 1000 AS last FROM events, w GROUP BY ALL HAVING date_trunc('hour', any_value(ts)) + INTERVAL 1 HOUR <= any_value(mark)),
+    gaps AS (SELECT user_id, last, lead(first) OVER (PARTITION BY user_id ORDER BY h) AS next FROM seen)
+    SELECT user_id::VARCHAR AS source_key, last AS last_seen_ms FROM gaps, w WHERE coalesce(next - last > {SILENT_DAYS} * 86400000, last + {SILENT_DAYS} * 86400000 <= epoch_us(mark) // 1000)""")
+def stm03(t):
+    """Every silence of more than two days in the log, up to the watermark."""
+    base = scratch(t.spark, "stm03")
+    seen = stream_of(t, "events").selectExpr("cast(user_id as string) source_key", "cast(ts as timestamp) seen_at")
+    streams.run_silence(seen, f"{base}/out", f"{base}/state", days=SILENT_DAYS)
+    return t.spark.read.schema("source_key string, last_seen_ms bigint").parquet(f"{base}/out")
 
 
 @check("stm04_booking_match", "SELECT event_id, booking_id, leg, time_delta_min FROM d_match")

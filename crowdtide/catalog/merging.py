@@ -9,6 +9,8 @@ from ..functions.text import fingerprint, normalize_title
 from ..operators import entities as en
 from ..operators import geography as geo
 from ..operators import upserts as up
+from ..plans import stored_merge as sm
+from ..session import scratch
 from . import oracle_similarity as osim
 from .oracle_tables import AS_OF as D
 from .oracle_tables import LOG_NOW, name_sql, title_sql
@@ -183,39 +185,38 @@ def listings(t):
         "official_url source_url", "status", "source_confidence", "cast(null as string) event_subtype", "status = 'SOLD_OUT' sold_out", "cast(null as string) recurrence")
 
 
-@check("ups02_canonical_upsert")
-def ups02(t):
-    """All listings into an empty event table: resolve, fold, merge; counters of the run."""
-    from ..plans.run import empty_state, stored_shape
-    from ..session import cut_lineage
+CANONICAL = ["event_id", "fingerprint", "title", "date_start", "time_start", "venue_id", "venue_name_raw", "city_id", "primary_source", "source_count", "status"]
+
 
-    state = empty_state(t.spark, source=t.source)
-    incoming = en.prepare(listings(t), t.source)
-    records = cut_lineage(en.resolve_batch(incoming, state["event"], state["event_source"]))
-    links = en.upsert_links(state["event_source"], records, now())
-    merged = cut_lineage(en.merge_events(state["event"], en.fold_records(records), en.count_sources(links, records), t.source, AS_OF, now()))
-    return stored_shape(merged).select("event_id", "title", "status", "source_count", "primary_source")
+@check("ups02_canonical_upsert", osim.CANONICAL_SQL)
+def ups02(t):
+    """All listings into empty stored tables, as one batch."""
+    base = scratch(t.spark, "ups02")
+    sm.merge_once(base, 0, listings(t), t.source, AS_OF, now(), sm.MONTH)
+    return iso(sm.read_table(t.spark, base, "event").select(*CANONICAL))
 
 
-@check("agg22_run_counters")
+@check("agg22_run_counters", osim.THREE_RUNS_SQL)
 def agg22(t):
-    """Second run of the same listings: everything is matched, nothing changes."""
-    from ..plans.run import empty_state, stored_shape
-    from ..session import cut_lineage
-
-    state = empty_state(t.spark, source=t.source)
-    incoming = en.prepare(listings(t), t.source)
-
-    def turn(events, links, run_id):
-        records = cut_lineage(en.resolve_batch(incoming, events, links))
-        links = cut_lineage(en.upsert_links(links, records, now()))
-        merged = cut_lineage(en.merge_events(events, en.fold_records(records), en.count_sources(links, records), t.source, AS_OF, now()))
-        snaps = en.new_snapshots(merged, state["event_snapshot"], run_id, now())
-        return stored_shape(merged), links, en.batch_counters(records, merged, snaps).select(F.lit(run_id).alias("run"), "records", "duplicates", "created", "updated", "changes")
-
-    events, links, first = turn(state["event"], state["event_source"], 1)
-    _, _, second = turn(events, links, 2)
-    return first.union(second)
+    """Three runs over stored tables: everything is new, nothing changes, the ticket links of one listing in seven lead deeper."""
+    base = scratch(t.spark, "agg22")
+    first = listings(t)
+    deeper = F.when(c("ordinal") % 7 == 0, F.concat(F.lit("https://tickets.example/buy/seats/row/"), c("ordinal").cast("string"))).otherwise(c("ticket_url"))
+    for k, rows in enumerate((first, first, first.withColumn("ticket_url", deeper))):
+        sm.merge_once(base, k, rows, t.source, AS_OF, now(), sm.MONTH)
+    return sm.read_table(t.spark, base, "counter").select(c("batch").alias("run"), "records", "duplicates", "created", "updated", "changes", "snapshots")
+
+
+@check("stm02_micro_batch_upsert", osim.CANONICAL_SQL)
+def stm02(t):
+    """The listings as a stream of files with whole months, some of them sent twice: the stored events are those of one batch."""
+    base = scratch(t.spark, "stm02")
+    rows = listings(t).withColumn("month", F.date_format("date_start", sm.MONTH))
+    rows.repartition(4, "month").write.parquet(f"{base}/landing")
+    rows.where(F.substring("month", -1, 1) == "3").repartition(2, "month").write.mode("append").parquet(f"{base}/landing")
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/landing").drop("month")
+    sm.upsert_stream(stream, f"{base}/state", t.source, AS_OF, now(), f"{base}/offsets", sm.MONTH)
+    return iso(sm.read_table(t.spark, f"{base}/state", "event").select(*CANONICAL))
 
 
 CHANGED = f"""SELECT event_id, date_start AS od, date_start + CASE WHEN event_id % 6 = 0 THEN 1 ELSE 0 END AS nd, time_start AS ot, CASE event_id % 5 WHEN 0 THEN '20:00' WHEN 1 THEN NULL ELSE time_start END AS nt, official_url AS ou,

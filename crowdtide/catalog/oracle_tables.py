@@ -191,6 +191,8 @@ def with_tables(sql: str) -> str:
         return sql
     ctes = ", ".join(f"{n} AS ({TABLES[n]})" for n in need)
     head = sql.lstrip()
+    if head[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes}, {head[15:]}"
     if head[:5].upper() == "WITH ":
         return f"WITH {ctes}, {head[5:]}"
     return f"WITH {ctes} {sql}"

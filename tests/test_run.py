@@ -1,7 +1,6 @@
 """Batch run end to end: idempotency, duplicates, changes, cancelled events."""
 
 import datetime as dt
-import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,28 +46,27 @@ def keep(tables):
 
 
 def test_first_run(spark, state):
-    _, metrics = run_batch(state, listings(spark), AS_OF, dt.datetime(2026, 9, 18, 12), 1, fuzzy=False)
+    _, metrics = run_batch(state, listings(spark), AS_OF, dt.datetime(2026, 9, 18, 12), 1)
     m = metrics.first()
     assert (m.status, m.events_raw, m.events_valid, m.events_created, m.duplicates_removed, m.snapshots) == ("SUCCESS", 4, 3, 2, 1, 2)
     assert m.opportunities_generated >= 5 and m.actions_generated >= 5
 
 
-@pytest.mark.skipif(not os.environ.get("CROWDTIDE_SLOW"), reason="three full runs take many minutes; set CROWDTIDE_SLOW=1")
 def test_three_runs(spark, state):
     now = dt.datetime(2026, 9, 18, 12)
-    s1, m1 = run_batch(state, listings(spark), AS_OF, now, 1, fuzzy=False)
+    s1, m1 = run_batch(state, listings(spark), AS_OF, now, 1)
     m1 = m1.first()
     assert (m1.status, m1.events_raw, m1.events_valid, m1.events_created, m1.duplicates_removed) == ("SUCCESS", 4, 3, 2, 1)
     s1 = keep(s1)
     n_raw = s1["raw_event"].count()
 
-    s2, m2 = run_batch(s1, listings(spark), AS_OF, now + dt.timedelta(hours=1), 2, fuzzy=False)
+    s2, m2 = run_batch(s1, listings(spark), AS_OF, now + dt.timedelta(hours=1), 2)
     m2 = m2.first()
     assert (m2.events_created, m2.events_updated, m2.changes_detected, m2.snapshots, m2.opportunities_generated, m2.actions_generated) == (0, 0, 0, 0, 0, 0)
     s2 = keep(s2)
     assert s2["event"].count() == 2 and s2["raw_event"].count() == n_raw and s2["event_source"].count() == 3
 
-    s3, _ = run_batch(s2, listings(spark, "20:00", "CANCELLED"), AS_OF, now + dt.timedelta(hours=2), 3, fuzzy=False)
+    s3, _ = run_batch(s2, listings(spark, "20:00", "CANCELLED"), AS_OF, now + dt.timedelta(hours=2), 3)
     s3 = keep(s3)
     kinds = {r.change_type for r in s3["event_change"].where("run_id = 3").collect()}
     assert {"TIME_CHANGED", "CANCELLED"} <= kinds

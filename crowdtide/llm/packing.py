@@ -21,16 +21,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, stored, whole
+from .pair_index_bpe import Generations, by_chunks, runs
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
-CACHED_WORDS = 150_000
+CACHED_WORDS = 100_000  # in each of two generations
+RUN_BYTES = 1 << 23  # text of about this size is encoded at a time; a longer text is a run of its own
 TAIL = ".,;:!?*#%$&|"
 
 
 # ---- tokens and pieces ----------------------------------------------------------------------------------------------
 
 class WordEncoder:
-    """Packed ids of texts; words between blanks and line ends are encoded once each while the caches are below their bound.
+    """Ids of texts; the distinct words between blanks of a batch are encoded together and the texts gathered from them as whole arrays.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words in order.  It also parts a run of letters from what follows, so that
     a word is looked up as its letters (ASCII ones in lower case) and its rest.  Runs of letters go through the tokenizer many at a time: the last id of each marks a word's end.
@@ -40,57 +42,64 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
-        self.end = np.array([end_id], "<u4").tobytes()
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.end_id = end_id
+        self.words, self.parts = Generations(CACHED_WORDS), Generations(CACHED_WORDS)
 
     def _one(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _encode_letters(self, runs: list[str]) -> None:
-        groups = [runs[k: k + 512] for k in range(0, len(runs), 512)]
+    def _encode_letters(self, runs_: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        groups = [runs_[k: k + 512] for k in range(0, len(runs_), 512)]
         for group, coded in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(coded.ids, "<u4")
             cuts = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
             if len(cuts) != len(group):  # a letter that the tokenizer takes apart
-                self.parts.update((w, self._one(w)) for w in group)
+                out.update((w, self._one(w)) for w in group)
                 continue
             packed, last = ids.tobytes(), 0
             for w, cut in zip(group, cuts, strict=True):
-                self.parts[w] = packed[last:cut]
+                out[w] = packed[last:cut]
                 last = cut
-
-    def _add(self, words: set[str]) -> None:
-        split, letters = [], set()
-        for w in words:
-            head = w.rstrip(TAIL)
-            if head.isalpha():
-                tail = w[len(head):]
-                if head.isascii():
-                    head = head.lower()
-                letters.add(head)
-                if tail not in self.parts:
-                    self.parts[tail] = self._one(tail)
-                split.append((w, head, tail))
+        return out
+
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        out = self.words.get_all(words)
+        todo, need = [], set()
+        for k, ids in enumerate(out):
+            if ids is None:
+                w = words[k]
+                head = w.rstrip(TAIL)
+                if head.isalpha():
+                    tail = w[len(head):]
+                    head = head.lower() if head.isascii() else head
+                    need.add(head)
+                    todo.append((k, head, tail))
+                else:
+                    todo.append((k, None, w))
+        heads = list(need)
+        known = {h: ids for h, ids in zip(heads, self.parts.get_all(heads), strict=True) if ids is not None}
+        made = self._encode_letters([h for h in heads if h not in known])
+        self.parts.put_all(made)
+        known |= made
+        tails: dict[str, bytes] = {"": b""}
+        for k, head, tail in todo:
+            if head is None:
+                out[k] = self._one(tail) if tail else b""
             else:
-                self.words[w] = self._one(w) if w else b""
-        self._encode_letters(list(letters.difference(self.parts)))
-        for w, head, tail in split:
-            self.words[w] = self.parts[head] + self.parts[tail]
-
-    def packed(self, texts: list[str]) -> list[bytes]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.words) > CACHED_WORDS:
-            self.words = {}
-        if len(self.parts) > CACHED_WORDS:
-            self.parts = {"": b""}
-        self._add(set().union(*words).difference(self.words))
-        get = self.words.__getitem__
-        return [b"".join(map(get, ws)) + self.end for ws in words]
+                if tail not in tails:
+                    tails[tail] = self._one(tail)
+                out[k] = known[head] + tails[tail]
+        self.words.put_all({words[k]: out[k] for k, _, _ in todo})
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, the end id behind each, and the offsets of the texts."""
+        ids, offsets = by_chunks(texts, self.word_ids)
+        return np.insert(ids, offsets[1:], np.uint32(self.end_id)).astype("<u4"), offsets + np.arange(len(offsets))
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, end_id: int, size: int, keep: tuple[str, ...] = ("doc_id",), text_column: str = "text") -> DataFrame:
@@ -104,15 +113,16 @@ def pieces(docs: DataFrame, tokenizer_file: str, end_id: int, size: int, keep: t
         gc.disable()  # nothing here makes cycles, and the lists of words are long
         encoder = WordEncoder(tokenizer_file, end_id)
         for batch in batches:
-            for first in range(0, batch.num_rows, 128):
-                part = batch.slice(first, 128)
+            for first, n in runs(batch.column("text"), RUN_BYTES):
+                part = batch.slice(first, n)
+                ids, offsets = encoder.encode(part.column("text"))
+                packed = memoryview(ids.tobytes())
                 rows, out = [], []
-                for k, ids in enumerate(encoder.packed(part.column("text").to_pylist())):
-                    n = len(ids) // 4
-                    for start in range(0, n, size):
-                        piece = ids[4 * start: 4 * (start + size)]
+                for k, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist(), strict=False)):
+                    for at in range(a, b, size):
+                        to = min(at + size, b)
                         rows.append(k)
-                        out.append((start, len(piece) // 4, zlib.crc32(piece), n))
+                        out.append((at - a, to - at, zlib.crc32(packed[4 * at: 4 * to]), b - a))
                 taken = part.take(pa.array(rows, pa.int64()))
                 numbers = np.array(out, np.int64).reshape(-1, 4)
                 yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in keep), *(pa.array(numbers[:, j]) for j in range(4))], names=fields.names)

@@ -12,7 +12,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -198,21 +198,7 @@ class Bpe:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one behind the other, and the offsets of the texts among them."""
-        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
-        coded = split.flatten().dictionary_encode()
-        packed = self.chunk_ids(coded.dictionary.to_pylist())
-        size = np.array([len(p) // 4 for p in packed], np.int64)
-        flat = np.frombuffer(b"".join(packed), "<u4")
-        first = np.cumsum(size) - size
-        slot = coded.indices.to_numpy(zero_copy_only=False)
-        n = size[slot] if len(slot) else np.zeros(0, np.int64)
-        ends = np.zeros(len(n) + 1, np.int64)
-        np.cumsum(n, out=ends[1:])
-        ids = flat[np.repeat(first[slot] - ends[:-1], n) + np.arange(ends[-1])] if ends[-1] else np.zeros(0, "<u4")
-        lengths = pc.list_value_length(split).to_numpy(zero_copy_only=False)
-        words = np.zeros(len(lengths) + 1, np.int64)
-        np.cumsum(lengths, out=words[1:])
-        return ids, ends[words]
+        return by_chunks(texts, self.chunk_ids)
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
         """The tokens of every text joined by a blank; ids outside the vocabulary are left out."""
@@ -226,7 +212,25 @@ class Bpe:
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tokens), " ")
 
 
-def _runs(texts: pa.Array, limit: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
+def by_chunks(texts: pa.Array, chunk_ids: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the texts and their offsets, gathered from the packed ids of the distinct chunks between ASCII blanks."""
+    split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+    coded = split.flatten().dictionary_encode()
+    packed = chunk_ids(coded.dictionary.to_pylist())
+    size = np.array([len(p) // 4 for p in packed], np.int64)
+    flat = np.frombuffer(b"".join(packed), "<u4")
+    first = np.cumsum(size) - size
+    slot = coded.indices.to_numpy(zero_copy_only=False)
+    n = size[slot] if len(slot) else np.zeros(0, np.int64)
+    ends = np.zeros(len(n) + 1, np.int64)
+    np.cumsum(n, out=ends[1:])
+    ids = flat[np.repeat(first[slot] - ends[:-1], n) + np.arange(ends[-1])] if ends[-1] else np.zeros(0, "<u4")
+    words = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), out=words[1:])
+    return ids, ends[words]
+
+
+def runs(texts: pa.Array, limit: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
     """(first row, rows) with about ``limit`` bytes of text."""
     sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     first = 0
@@ -251,7 +255,7 @@ def _map(df: DataFrame, given: str, tokenizer_file: str, added: dict[str, str],
         bpe = Bpe(tokenizer_file)
         for batch in batches:
             column = batch.column(given)
-            for first, rows in _runs(column):
+            for first, rows in runs(column):
                 part = batch.slice(first, rows)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *work(bpe, column.slice(first, rows))], names=schema.names)
 

@@ -15,7 +15,6 @@ FILE = public_tokenizers.path("word_bpe_49k.json")
 
 def ids_of(text):
     t = Tokenizer.from_file(FILE)
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
 

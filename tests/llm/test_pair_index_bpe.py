@@ -66,8 +66,13 @@ def test_query(spark):
         assert r.decoded_sha256 == hashlib.sha256(LIBRARY.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
-def test_odd_rows(spark, monkeypatch):
-    monkeypatch.setattr(pair_index_bpe, "RUN_BYTES", 100)
+def test_runs():
+    """Every row once, runs of about the limit, a long text alone."""
+    texts = pa.array(["a" * n for n in (3, 0, 90, 500, 1, 1)])
+    assert list(pair_index_bpe.runs(texts, 100)) == [(0, 3), (3, 1), (4, 2)] and list(pair_index_bpe.runs(texts.slice(0, 0), 9)) == []
+
+
+def test_odd_rows(spark):
     data = [(1, None, "x"), (1, None, "x"), (2, "", None), (None, "Word " * 3000, "x"), (3, "Ünï <|endoftext|>", "x")]
     docs = spark.createDataFrame(data, "doc_id long, text string, decoded string")
     coded = encode(docs, FILE)

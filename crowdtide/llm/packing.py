@@ -24,7 +24,7 @@ from .common import free_name, stored, whole
 from .pair_index_bpe import Generations, by_chunks, runs
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
-CACHED_WORDS = 100_000  # in each of two generations
+CACHED_WORDS = 250_000  # in each of two generations
 RUN_BYTES = 1 << 23  # text of about this size is encoded at a time; a longer text is a run of its own
 TAIL = ".,;:!?*#%$&|"
 
@@ -35,7 +35,7 @@ class WordEncoder:
     """Ids of texts; the distinct words between blanks of a batch are encoded together and the texts gathered from them as whole arrays.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words in order.  It also parts a run of letters from what follows, so that
-    a word is looked up as its letters (ASCII ones in lower case) and its rest.  Runs of letters go through the tokenizer many at a time: the last id of each marks a word's end.
+    a word is looked up as its letters and its rest.  Runs of letters go through the tokenizer many at a time: the last id of each marks a word's end.
     """
 
     def __init__(self, tokenizer_file: str, end_id: int):
@@ -46,7 +46,7 @@ class WordEncoder:
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
         self.end_id = end_id
-        self.words, self.parts = Generations(CACHED_WORDS), Generations(CACHED_WORDS)
+        self.words = Generations(CACHED_WORDS)
 
     def _one(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
@@ -68,32 +68,31 @@ class WordEncoder:
 
     def word_ids(self, words: list[str]) -> list[bytes]:
         out = self.words.get_all(words)
-        todo, need = [], set()
+        letters, todo = [], []
         for k, ids in enumerate(out):
             if ids is None:
                 w = words[k]
-                head = w.rstrip(TAIL)
-                if head.isalpha():
-                    tail = w[len(head):]
-                    head = head.lower() if head.isascii() else head
-                    need.add(head)
-                    todo.append((k, head, tail))
+                if w.isalpha():
+                    letters.append(w)
+                    todo.append((k, w, ""))
                 else:
-                    todo.append((k, None, w))
-        heads = list(need)
-        known = {h: ids for h, ids in zip(heads, self.parts.get_all(heads), strict=True) if ids is not None}
-        made = self._encode_letters([h for h in heads if h not in known])
-        self.parts.put_all(made)
-        known |= made
+                    head = w.rstrip(TAIL)
+                    if head.isalpha():
+                        letters.append(head)
+                        todo.append((k, head, w[len(head):]))
+                    else:
+                        out[k] = self._one(w) if w else b""
+                        todo.append((k, None, ""))
+        known = self._encode_letters(list(dict.fromkeys(letters)))
         tails: dict[str, bytes] = {"": b""}
+        fresh = {}
         for k, head, tail in todo:
-            if head is None:
-                out[k] = self._one(tail) if tail else b""
-            else:
+            if head is not None:
                 if tail not in tails:
                     tails[tail] = self._one(tail)
                 out[k] = known[head] + tails[tail]
-        self.words.put_all({words[k]: out[k] for k, _, _ in todo})
+            fresh[words[k]] = out[k]
+        self.words.put_all(fresh)
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

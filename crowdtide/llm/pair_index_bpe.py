@@ -212,19 +212,60 @@ class Bpe:
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tokens), " ")
 
 
+MARKS = np.isin(np.arange(256), list(b".,;:!?*#%$&|"))
+ALNUM = np.isin(np.arange(256), list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+
+
+def _bare(chunks: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """Chunks in fewer forms, with the same ids: ASCII ones in lower case, and one closing mark behind a letter or digit taken off; its byte per chunk, 0 for none.
+
+    A mark after a letter or digit begins a piece of its own.  A chunk with other letters keeps its case, as the tokenizer composes before it folds; one with `<` too, as
+    special tokens are told apart by case.
+    """
+    _, offsets, buffer = chunks.buffers()
+    at = np.frombuffer(offsets, np.int64)[chunks.offset: chunks.offset + len(chunks) + 1]
+    data = np.frombuffer(buffer, np.uint8)[at[0]: at[-1]] if buffer is not None else np.zeros(0, np.uint8)
+    at = at - at[0]
+    if not len(data):
+        return chunks, np.zeros(len(chunks), np.uint8)
+    length = np.diff(at)
+    odd = np.concatenate([[0], np.cumsum((data >= 128) | (data == 60))])
+    fold = np.repeat(odd[at[1:]] == odd[at[:-1]], length) & (data >= 65) & (data <= 90)
+    data = data + np.where(fold, np.uint8(32), np.uint8(0))
+    last = np.maximum(at[1:] - 1, 1)
+    marked = (length >= 2) & MARKS[data[last]] & ALNUM[data[last - 1]]
+    marks = np.where(marked, data[last], 0).astype(np.uint8)
+    keep = np.ones(len(data), bool)
+    keep[last[marked]] = False
+    ends = at.copy()
+    ends[1:] -= np.cumsum(marked)
+    return pa.LargeStringArray.from_buffers(len(chunks), pa.py_buffer(ends), pa.py_buffer(data[keep])), marks
+
+
 def by_chunks(texts: pa.Array, chunk_ids: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the texts and their offsets, gathered from the packed ids of the distinct chunks between ASCII blanks."""
     split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
-    coded = split.flatten().dictionary_encode()
+    bare, marks = _bare(split.flatten())
+    coded = bare.dictionary_encode()
     packed = chunk_ids(coded.dictionary.to_pylist())
     size = np.array([len(p) // 4 for p in packed], np.int64)
     flat = np.frombuffer(b"".join(packed), "<u4")
+    mark_ids = np.zeros(256, "<u4")
+    used = np.unique(marks[marks > 0])
+    mark_ids[used] = np.frombuffer(b"".join(chunk_ids([chr(m) for m in used])), "<u4")  # one id each: every mark is in the vocabulary
     first = np.cumsum(size) - size
     slot = coded.indices.to_numpy(zero_copy_only=False)
     n = size[slot] if len(slot) else np.zeros(0, np.int64)
     ends = np.zeros(len(n) + 1, np.int64)
-    np.cumsum(n, out=ends[1:])
-    ids = flat[np.repeat(first[slot] - ends[:-1], n) + np.arange(ends[-1])] if ends[-1] else np.zeros(0, "<u4")
+    np.cumsum(n + (marks > 0), out=ends[1:])
+    ids = np.zeros(ends[-1], "<u4")
+    if ends[-1]:
+        closing = ends[1:][marks > 0] - 1
+        inner = np.ones(ends[-1], bool)
+        inner[closing] = False
+        before = np.cumsum(n) - n
+        ids[inner] = flat[np.repeat(first[slot] - before, n) + np.arange(n.sum())]
+        ids[closing] = mark_ids[marks[marks > 0]]
     words = np.zeros(len(texts) + 1, np.int64)
     np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), out=words[1:])
     return ids, ends[words]

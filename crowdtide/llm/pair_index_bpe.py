@@ -232,8 +232,8 @@ def _bare(chunks: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray]
     odd = np.concatenate([[0], np.cumsum((data >= 128) | (data == 60))])
     fold = np.repeat(odd[at[1:]] == odd[at[:-1]], length) & (data >= 65) & (data <= 90)
     data = data + np.where(fold, np.uint8(32), np.uint8(0))
-    last = np.maximum(at[1:] - 1, 1)
-    marked = (length >= 2) & MARKS[data[last]] & ALNUM[data[last - 1]]
+    last = np.clip(at[1:] - 1, 0, len(data) - 1)
+    marked = (length >= 2) & MARKS[data[last]] & ALNUM[data[np.maximum(last - 1, 0)]]
     marks = np.where(marked, data[last], 0).astype(np.uint8)
     keep = np.ones(len(data), bool)
     keep[last[marked]] = False

@@ -10,6 +10,7 @@ from ..operators import filters as fl
 from ..operators import history
 from ..operators.views import with_dimensions
 from ..plans import reports
+from ..session import cut_lineage
 from .oracle_tables import AS_OF as D
 from .oracle_tables import LOG_NOW, title_sql
 from .registry import check
@@ -41,10 +42,28 @@ SOURCES = """SELECT count(*) FILTER (enabled) AS sources_total, count(*) FILTER
 OPEN = f"SELECT count(*) AS open_actions FROM d_action WHERE action_status IN ('NEW', 'PLANNED', 'SCHEDULED', 'IN_PROGRESS') AND date_start BETWEEN {D} AND {D} + 14"
 
 
-@check("agg02_daily_summary", f"SELECT * FROM ({COUNTERS}), ({CHANGES.format(since=D + ' - 1')}), ({SOURCES}), ({OPEN})")
+FALLEN = """SELECT run_id, source_id, source_id || ' regression: ' || events_collected || ' events vs ' || prev || ' in previous successful run' AS message FROM (SELECT *, last_value(CASE WHEN status IN ('HEALTHY', 'DEGRADED') THEN events_collected END IGNORE NULLS)
+    OVER (PARTITION BY source_id ORDER BY run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM d_run) WHERE prev >= 10 AND events_collected < 0.5 * prev AND started_at::DATE = (SELECT max(started_at)::DATE FROM d_run)"""
+REGRESSIONS = f"SELECT coalesce(string_agg(message, chr(10) ORDER BY source_id, run_id), '') AS source_regressions FROM ({FALLEN})"
+SILENT = f"SELECT count(*) AS source_silent_events FROM d_event WHERE date_start BETWEEN {D} AND {D} + 30 AND status_reason LIKE 'SOURCE SILENT%'"
+PIPELINE = "SELECT coalesce(max_by(status, run_id), 'UNKNOWN') AS pipeline_status FROM d_prun WHERE status <> 'RUNNING'"
+
+
+def report_frames(t):
+    """Scored events of the report's horizon and their actions, each worked out once and stored."""
+    ev = cut_lineage(t.scored(t.event_touching(30)))
+    return ev, cut_lineage(t.action(ev))
+
+
+def daily(t):
+    ev, actions = report_frames(t)
+    return reports.daily_report(ev, t.event_change, t.source, actions, AS_OF, t.source_run, t.pipeline_run)
+
+
+@check("agg02_daily_summary", f"SELECT * FROM ({COUNTERS}), ({CHANGES.format(since=D + ' - 1')}), ({SOURCES}), ({OPEN}), ({REGRESSIONS})")
 def agg02(t):
-    ev = t.scored(t.event_touching(30))
-    return reports.summary(ev, t.event_change, t.source, t.action(ev), AS_OF)
+    ev, actions = report_frames(t)
+    return reports.summary(ev, t.event_change, t.source, actions, AS_OF, t.source_run)
 
 
 @check("agg03_change_counters", CHANGES.format(since="DATE '2024-01-29'"))
@@ -63,7 +82,7 @@ def agg04(t):
     UNION ALL SELECT * FROM (SELECT 'region' AS kind, r_name AS place, count(*) AS n, round_even(avg(opportunity_score), 1) AS avg_score, max(opportunity_score) AS max_score FROM d_scored WHERE {UP} AND r_name IS NOT NULL GROUP BY 2 ORDER BY n DESC, place LIMIT 15)
     UNION ALL SELECT * FROM (SELECT 'venue' AS kind, v_name AS place, count(*) AS n, round_even(avg(opportunity_score), 1) AS avg_score, max(opportunity_score) AS max_score FROM d_scored WHERE {UP} AND v_name IS NOT NULL GROUP BY 2 ORDER BY n DESC, place LIMIT 10)""")
 def agg05(t):
-    u = up(t)
+    u = cut_lineage(up(t).select("c_name", "r_name", "v_name", "opportunity_score"))
     parts = [reports.top_places(u, key, n).select(F.lit(kind).alias("kind"), c(key).alias("place"), "n", "avg_score", "max_score") for kind, key, n in (("city", "c_name", 15), ("region", "r_name", 15), ("venue", "v_name", 10))]
     return parts[0].union(parts[1]).union(parts[2])
 
@@ -248,27 +267,38 @@ def agg27(t):
 
 @check("agg28_daily_report", f"""SELECT * FROM (SELECT 'top' AS part, event_id, opportunity_score FROM d_scored WHERE date_start BETWEEN {D} AND {D} + 7 AND status IN {ACTIVE} ORDER BY opportunity_score DESC, date_start, event_id LIMIT 5)
     UNION ALL SELECT * FROM (SELECT 'area' AS part, event_id, opportunity_score FROM d_scored WHERE date_start BETWEEN {D} AND {D} + 7 AND status IN {ACTIVE} AND in_area AND c_name IS NOT NULL AND quality_level <> 'LOW' ORDER BY opportunity_score DESC, date_start, event_id LIMIT 5)
-    UNION ALL SELECT * FROM (SELECT 'today' AS part, event_id, opportunity_score FROM d_scored WHERE date_start = {D} AND status IN {ACTIVE} ORDER BY opportunity_score DESC, event_id LIMIT 20)""")
+    UNION ALL SELECT * FROM (SELECT 'today' AS part, event_id, opportunity_score FROM d_scored WHERE date_start = {D} AND status IN {ACTIVE} ORDER BY opportunity_score DESC, event_id LIMIT 20)
+    UNION ALL SELECT 'category ' || category, NULL, count(*)::INT FROM d_event WHERE date_start BETWEEN {D} AND {D} + 7 AND status IN {ACTIVE} GROUP BY category
+    UNION ALL SELECT 'silent', NULL, source_silent_events::INT FROM ({SILENT}) UNION ALL SELECT 'pipeline ' || pipeline_status, NULL, NULL FROM ({PIPELINE})
+    UNION ALL SELECT 'regressions', NULL, length(source_regressions)::INT FROM ({REGRESSIONS}) UNION ALL SELECT 'week', NULL, count(*)::INT FROM d_event WHERE date_start BETWEEN {D} AND {D} + 7 AND status IN {ACTIVE}""")
 def agg28(t):
-    ev = t.scored(t.event_touching(30))
-    r = reports.daily_report(ev, t.event_change, t.source, t.action(ev), AS_OF)
+    r = daily(t)
+    none = F.lit(None).cast("bigint").alias("event_id")
     parts = [r[k].select(F.lit(n).alias("part"), "event_id", "opportunity_score") for n, k in (("top", "top_opportunities"), ("area", "service_area_top"), ("today", "today"))]
-    return parts[0].union(parts[1]).union(parts[2])
+    counted = F.inline(F.array(*[F.struct(F.lit(k).alias("part"), v.cast("int").alias("n")) for k, v in (("silent", c("source_silent_events")), ("regressions", F.char_length("source_regressions")), ("week", c("events_next_7_days")))]))
+    parts += [r["by_category_7d"].select(F.concat(F.lit("category "), "category"), none, c("n").cast("int")), r["summary"].select(counted).select("part", none, "n"),
+              r["pipeline"].select(F.concat(F.lit("pipeline "), "pipeline_status"), none, F.lit(None).cast("int"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
 
 
 @check("agg29_digest", f"""WITH area AS (SELECT * FROM d_scored WHERE date_start BETWEEN {D} AND {D} + 7 AND status IN {ACTIVE} AND in_area AND c_name IS NOT NULL AND quality_level <> 'LOW' ORDER BY opportunity_score DESC, date_start, event_id LIMIT 5),
     tops AS (SELECT * FROM d_scored WHERE date_start BETWEEN {D} AND {D} + 7 AND status IN {ACTIVE} ORDER BY opportunity_score DESC, date_start, event_id LIMIT 5),
     chosen AS (SELECT * FROM area UNION ALL SELECT * FROM tops WHERE NOT EXISTS (SELECT 1 FROM area)),
     listed AS (SELECT title, opportunity_score, row_number() OVER (ORDER BY opportunity_score DESC, date_start, event_id) AS i FROM chosen WHERE demand_level IN ('VERY_HIGH', 'HIGH', 'MEDIUM') AND quality_level <> 'LOW'),
-    s AS (SELECT * FROM ({COUNTERS}), ({CHANGES.format(since=D + ' - 1')}), ({SOURCES}))
+    s AS (SELECT * FROM ({COUNTERS}), ({CHANGES.format(since=D + ' - 1')}), ({SOURCES}), ({SILENT}), ({PIPELINE}))
     SELECT 'levels' AS section, 1 AS ordinal, 'very_high' AS label, very_high::VARCHAR AS value FROM s UNION ALL SELECT 'levels', 2, 'high', high::VARCHAR FROM s UNION ALL SELECT 'levels', 3, 'medium', medium::VARCHAR FROM s
     UNION ALL SELECT 'top', i, title, opportunity_score::VARCHAR FROM listed UNION ALL SELECT 'changes', 1, 'new_events', new_events::VARCHAR FROM s UNION ALL SELECT 'changes', 2, 'changed_events', changed_events::VARCHAR FROM s
     UNION ALL SELECT 'changes', 3, 'cancelled_events', cancelled_events::VARCHAR FROM s
     UNION ALL SELECT 'categories', CASE category WHEN 'education' THEN 1 WHEN 'sports' THEN 2 ELSE 3 END, category, count(*)::VARCHAR FROM d_event WHERE date_start BETWEEN {D} AND {D} + 7 AND status IN {ACTIVE} AND category IN ('education', 'sports', 'music') GROUP BY category
-    UNION ALL SELECT 'system', 1, 'sources_healthy', sources_healthy::VARCHAR FROM s UNION ALL SELECT 'system', 2, 'sources_total', sources_total::VARCHAR FROM s UNION ALL SELECT 'system', 3, 'sources_blocked', sources_blocked::VARCHAR FROM s""")
+    UNION ALL SELECT 'system', 1, 'sources_healthy', sources_healthy::VARCHAR FROM s UNION ALL SELECT 'system', 2, 'sources_total', sources_total::VARCHAR FROM s UNION ALL SELECT 'system', 3, 'pipeline_status', pipeline_status FROM s
+    UNION ALL SELECT 'warnings', 1, 'source_silent_events', source_silent_events::VARCHAR FROM s WHERE source_silent_events > 0 UNION ALL SELECT 'warnings', 2, 'sources_blocked', sources_blocked::VARCHAR FROM s WHERE sources_blocked > 0
+    UNION ALL SELECT 'regressions', row_number() OVER (ORDER BY source_id, run_id), 'source', message FROM ({FALLEN})
+    UNION ALL SELECT 'top', 0, 'quiet day', 'No high-priority taxi opportunities detected today.' FROM s WHERE very_high + high = 0 AND NOT EXISTS (SELECT 1 FROM listed)""")
 def agg29(t):
-    ev = t.scored(t.event_touching(30))
-    return reports.digest(reports.daily_report(ev, t.event_change, t.source, t.action(ev), AS_OF))
+    return reports.digest(daily(t))
 
 
 @check("agg30_run_history", "SELECT run_id, status, events_valid, strftime(started_at, '%Y-%m-%d %H:%M:%S') AS started_at FROM d_prun ORDER BY run_id DESC LIMIT 20")

@@ -34,9 +34,16 @@ def ld_items(t):
     return html.jsonld_events(pages)
 
 
-@check("src07_jsonld_events", "SELECT page_id, k.kind FROM pages, (VALUES ('MusicEvent'), ('Event')) k(kind)")
+DEEP = """concat('<script type="application/ld+json">', repeat('{"@type":"Festival","name":"around","subEvent":[', 39), '{"@type":["Thing","Festival"],"name":"core"}', repeat(']}', 39), '</script>')"""
+
+
+@check("src07_jsonld_events", """SELECT page_id, k.name || CASE WHEN k.own THEN page_id::VARCHAR ELSE '' END AS name, k.start_date, k.n FROM pages,
+    (VALUES ('Gig &amp; ', true, '2027-03-01T19:30', 1), ('Inner' || chr(9), true, '2027-07-02T18:30:00Z', 1), ('around', false, NULL, 39), ('core', false, NULL, 1)) k(name, own, start_date, n)""")
 def src07(t):
-    return ld_items(t).select("page_id", F.get_json_object("item", "$.@type").alias("kind"))
+    """Two events in a graph and forty inside each other on every page."""
+    pages = t.table("pages").select("page_id", F.concat(F.expr(LD), F.expr(DEEP)).alias("html"))
+    found = html.jsonld_events(pages)
+    return found.groupBy("page_id", F.get_json_object("item", "$.name").alias("name"), F.get_json_object("item", "$.startDate").alias("start_date")).agg(F.count("*").alias("n"))
 
 
 @check("src08_detail_links", r"""SELECT page_id, coalesce(array_to_string(list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(html, 'href=["'']([^"''#?]+)', 1), lambda h: regexp_matches(h, '^/[a-z]+$') OR starts_with(h, 'http')),
@@ -138,9 +145,18 @@ def src20(t):
     return parts[0].union(parts[1]).union(parts[2])
 
 
-@check("src22_page_profile", """SELECT page_id, CASE WHEN regexp_matches(html, '(?i)href=["''][^"'']+\\.ics') THEN 'HAS_FEED_LINK' ELSE 'HTML_ONLY' END AS kind, 0 AS n_items, len(list_distinct(regexp_extract_all(html, 'href=["'']([^"''#?]+)', 1))) AS n_links FROM pages""".replace("\\\\", "\\"))
+PROFILED = """case pmod(page_id, 5) when 0 then concat('BEGIN:VCALENDAR', repeat('\\nBEGIN:VEVENT\\nEND:VEVENT', cast(pmod(page_id, 4) as int)), '\\nEND:VCALENDAR')
+    when 1 then concat("<?xml version='1.0'?><rss><channel>", repeat('<item></item><entry/>', cast(pmod(page_id, 3) as int)), '</channel></rss>')
+    when 2 then concat('<script type="application/ld+json">{"other":{"list":[', repeat('{"@type":"SportsEvent","startDate":"2027-01-01","x":{"@type":"Event","name":"no date"}},', cast(pmod(page_id, 3) as int)), '{"@type":["Thing","BusinessEvent"],"startDate":"d"}]}}</script>')
+    when 3 then '<link rel="alternate" type="application/rss+xml" href="/feed">' else html end"""
+
+
+@check("src22_page_profile", """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'ICS' WHEN 1 THEN 'RSS' WHEN 2 THEN 'JSONLD' WHEN 3 THEN 'HAS_FEED_LINK' ELSE CASE WHEN regexp_matches(html, '(?i)href=["''][^"'']+\\.ics') THEN 'HAS_FEED_LINK' ELSE 'HTML_ONLY' END END AS kind,
+    (CASE page_id % 5 WHEN 0 THEN page_id % 4 WHEN 1 THEN 2 * (page_id % 3) WHEN 2 THEN page_id % 3 + 1 ELSE 0 END)::INT AS n_items,
+    CASE page_id % 5 WHEN 3 THEN 1 WHEN 4 THEN len(list_distinct(regexp_extract_all(html, 'href=["'']([^"''#?]+)', 1))) ELSE 0 END AS n_links FROM pages""".replace("\\\\", "\\"))
 def src22(t):
-    return html.page_profile(t.table("pages")).select("page_id", "kind", "n_items", "n_links")
+    """Four pages in five are a calendar, a feed, nested markup under unknown keys or a link to a feed; the fifth is as it was landed."""
+    return html.page_profile(t.table("pages").select("page_id", F.expr(PROFILED).alias("html"))).select("page_id", "kind", "n_items", "n_links")
 
 
 @check("src24_source_selection", "SELECT event_id FROM events WHERE event_type IN ('click', 'view') AND lower('NATION_' || (user_id % 25)) = 'nation_3'")

@@ -12,12 +12,15 @@ from ..operators import filters as fl
 from ..operators import views
 from ..operators.bookings import correlate, list_matches
 from ..plans import reports
+from ..session import cut_lineage
 from ..sources import sinks
+from . import figures as fg
 from .oracle_tables import AS_OF as D
 from .oracle_tables import LOG_NOW, name_sql
 from .registry import check
 from .shape import iso
 
+c = F.col
 ACTIVE = "('SCHEDULED', 'RESCHEDULED', 'CONFIRMED', 'SOLD_OUT')"
 LIST = ["event_id", "title", "category", "date_start", "time_start", "status", "opportunity_score", "demand_level", "quality_level"]
 LIST_SQL = "event_id, title, category, date_start::VARCHAR AS date_start, time_start, status, opportunity_score, demand_level, quality_level"
@@ -173,7 +176,7 @@ def _sorted_sql(order: str, size: int = 25, offset: int = 0) -> str:
     "score": "opportunity_score DESC, date_start", "date": "date_start, time_start NULLS FIRST", "updated": "last_verified_at DESC",
     "quality": "event_quality_score DESC, opportunity_score DESC"}.items()) + ")")
 def srt01(t):
-    ev = t.scored_between(0)
+    ev = cut_lineage(t.scored_between(0))
     parts = [fl.list_events(ev, AS_OF, sort=s, size=25).select(F.lit(s).alias("sort"), "event_id") for s in ("score", "date", "updated", "quality")]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
@@ -379,30 +382,54 @@ def snk06(t):
     return iso(sinks.runs_export(t.pipeline_run).drop("completed_at"))
 
 
-@check("snk07_snapshot_bundle")
+SUMMARY_KEYS = ["events_today", "events_next_7_days", "very_high", "new_events", "sources_total", "open_actions"]
+
+
+@check("snk07_snapshot_bundle", f"""SELECT * FROM (SELECT 'summary' AS name, 1 AS n, events_today || ';' || events_next_7_days || ';' || very_high || ';' || new_events || ';' || sources_total || ';' || open_actions AS content
+      FROM ({fg.COUNTERS}), ({fg.CHANGES.format(since=D + ' - 1')}), ({fg.SOURCES}), ({fg.OPEN}))
+    UNION ALL SELECT 'trends', count(*), sum(n)::BIGINT::VARCHAR FROM (SELECT date_start, count(*) AS n FROM d_scored WHERE date_start BETWEEN {D} AND {D} + 30 AND status IN {ACTIVE} GROUP BY 1)
+    UNION ALL SELECT 'map', count(*), sum(opportunity_score)::BIGINT::VARCHAR FROM d_scored WHERE date_start BETWEEN {D} AND {D} + 7 AND latitude IS NOT NULL AND status IN {ACTIVE}
+    UNION ALL SELECT 'events_7d', count(*), sum(event_id)::BIGINT::VARCHAR FROM d_scored WHERE date_start BETWEEN {D} AND {D} + 7
+    UNION ALL SELECT 'events_30d', count(*), sum(event_id)::BIGINT::VARCHAR FROM d_scored WHERE date_start BETWEEN {D} AND {D} + 30
+    UNION ALL SELECT 'opportunities', count(*), sum(score)::BIGINT::VARCHAR FROM d_opp JOIN d_event e USING (event_id) WHERE e.date_start BETWEEN {D} AND {D} + 7 AND e.status IN {ACTIVE}
+    UNION ALL SELECT 'actions', count(*), sum(action_id)::BIGINT::VARCHAR FROM d_action WHERE date_start BETWEEN {D} AND {D} + 14 AND action_status IN ('NEW', 'PLANNED', 'SCHEDULED', 'IN_PROGRESS')
+    UNION ALL SELECT 'sources', count(*), sum(source_id)::BIGINT::VARCHAR FROM d_source
+    UNION ALL SELECT 'daily_report', count(*), sum(opportunity_score)::BIGINT::VARCHAR FROM (SELECT * FROM d_scored WHERE date_start = {D} AND status IN {ACTIVE} ORDER BY opportunity_score DESC, event_id LIMIT 20)
+    UNION ALL SELECT 'health', 1, count(*) || ';' || count(*) FILTER (status = 'HEALTHY') FROM d_source
+    UNION ALL SELECT 'changes', count(*), sum(change_id)::BIGINT::VARCHAR FROM d_change WHERE detected_at >= {LOG_NOW} - INTERVAL 7 DAY""")
 def snk07(t):
-    """Writes the named result sets, returns the row count read back per name."""
+    """Writes the eleven named result sets and reads them back: rows and a sum of the content per name."""
     from ..session import scratch
 
     folder = scratch(t.spark, "bundle")
-    ev = t.scored_between(0, 30)
-    names = sinks.snapshot_bundle({
-        "summary": reports.event_counters(ev, AS_OF), "events_7d": views.event_summary(fl.list_events(ev, AS_OF, range_="7d", size=None)),
-        "events_30d": views.event_summary(fl.list_events(ev, AS_OF, range_="30d", size=None)), "changes": fl.recent_changes(t.event_change, log_now()),
-        "sources": t.source}, folder)
-    parts = [t.spark.read.text(f"{folder}/{n}").agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in names]
+    ev, actions = fg.report_frames(t)
+    near = ev.where(c("date_start") >= fl.as_date(AS_OF))
+    report = reports.daily_report(ev, t.event_change, t.source, actions, AS_OF, t.source_run, t.pipeline_run)
+    sinks.snapshot_bundle({
+        "summary": report["summary"], "trends": reports.by_day(reports.upcoming(near, AS_OF)), "map": fl.map_points(near, AS_OF, 7),
+        "events_7d": views.event_summary(fl.list_events(near, AS_OF, range_="7d", size=None)), "events_30d": views.event_summary(fl.list_events(near, AS_OF, range_="30d", size=None)),
+        "opportunities": fl.opportunity_feed(t.opportunity(near), near, AS_OF, days=7), "actions": fl.action_feed(actions, near, AS_OF, days=14), "sources": t.source,
+        "daily_report": report["today"], "health": reports.system_counts(t.source), "changes": fl.recent_changes(t.event_change, log_now(), 7)}, folder)
+    content = {"summary": F.array_join(F.array(*[F.max(c(k)).cast("string") for k in SUMMARY_KEYS]), ";"), "trends": F.sum("n"), "map": F.sum("opportunity_score"), "events_7d": F.sum("event_id"), "events_30d": F.sum("event_id"),
+               "opportunities": F.sum("score"), "actions": F.sum("action_id"), "sources": F.sum("source_id"), "daily_report": F.sum("opportunity_score"),
+               "health": F.concat_ws(";", F.max("total"), F.max("healthy")), "changes": F.sum("change_id")}
+    parts = [t.spark.read.json(f"{folder}/{n}").agg(F.count("*").alias("n"), v.cast("string").alias("content")).select(F.lit(n).alias("name"), "n", "content") for n, v in content.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
     return out
 
 
-@check("snk08_report_sheets")
+@check("snk08_report_sheets", f"""SELECT 'daily_reports' AS sheet, 1 AS n, events_next_7_days::VARCHAR AS content FROM ({fg.COUNTERS})
+    UNION ALL SELECT 'opportunities', count(*), string_agg(title, ';' ORDER BY title) FROM (SELECT title FROM d_scored WHERE date_start BETWEEN {D} AND {D} + 7 AND status IN {ACTIVE} ORDER BY opportunity_score DESC, date_start, event_id LIMIT 5)
+    UNION ALL SELECT 'events', count(*), string_agg(title, ';' ORDER BY title) FROM (SELECT title FROM d_scored WHERE date_start = {D} AND status IN {ACTIVE} ORDER BY opportunity_score DESC, event_id LIMIT 20)""")
 def snk08(t):
+    """Writes the three sheets and reads them back: rows and titles per sheet."""
     from ..session import scratch
 
     folder = scratch(t.spark, "sheets")
-    ev = t.scored(t.event_touching(30))
-    names = sinks.sheets_bundle(reports.daily_report(ev, t.event_change, t.source, t.action(ev), AS_OF), folder)
-    parts = [t.spark.read.option("header", True).csv(f"{folder}/{n}").agg(F.count("*").alias("n")).select(F.lit(n).alias("sheet"), "n") for n in names]
+    sinks.sheets_bundle(fg.daily(t), folder)
+    titles = F.array_join(F.sort_array(F.collect_list("title")), ";")  # of at most 20 rows
+    content = {"daily_reports": F.max("events_next_7_days"), "opportunities": titles, "events": titles}
+    parts = [t.spark.read.option("header", True).option("multiLine", True).csv(f"{folder}/{n}").agg(F.count("*").alias("n"), v.alias("content")).select(F.lit(n).alias("sheet"), "n", "content") for n, v in content.items()]
     return parts[0].union(parts[1]).union(parts[2])

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions.dates import overlaps_day, within_days
 from ..operators.filters import active, as_date, canned
-from ..operators.history import health_figures, latest_runs
+from ..operators.history import health_figures, latest_runs, regressions
 from ..operators.views import event_brief
+from ..session import cut_lineage
 
 
 def one_row(*frames: DataFrame) -> DataFrame:
@@ -61,8 +62,32 @@ def open_action_counter(actions: DataFrame, events: DataFrame, as_of, days: int
     return actions.where(F.col("status").isin(V.OPEN_ACTION_STATUSES)).join(near, "event_id", "left_semi").agg(F.count("*").alias("open_actions"))
 
 
-def summary(events: DataFrame, changes: DataFrame, sources: DataFrame, actions: DataFrame, as_of) -> DataFrame:
-    return one_row(event_counters(events, as_of), change_counters(changes, as_of), source_counters(sources), open_action_counter(actions, events, as_of))
+def latest_regressions(source_runs: DataFrame) -> DataFrame:
+    """(ordinal, message) of the productive sources that fell off on the day of the last run, by source."""
+    last = source_runs.agg(F.to_date(F.max("started_at")).alias("_day"))
+    found = regressions(source_runs).join(last, F.to_date("started_at") == F.col("_day"))
+    return found.select(F.concat_ws(" ", F.col("source_id").cast("string"), "message").alias("message"), F.struct("source_id", "run_id").alias("o"))
+
+
+def regression_text(source_runs: DataFrame) -> DataFrame:
+    """source_regressions: the messages of the last day in one text, one a line; at most one per source and run of that day."""
+    lines = latest_regressions(source_runs).agg(F.sort_array(F.collect_list(F.struct("o", "message"))).alias("a"))
+    return lines.select(F.array_join(F.transform("a", lambda x: x["message"]), "\n").alias("source_regressions"))
+
+
+def pipeline_status(runs: DataFrame) -> DataFrame:
+    """Status of the last run that is not running, one row."""
+    return runs.where(F.col("status") != "RUNNING").agg(F.coalesce(F.max_by("status", "run_id"), F.lit("UNKNOWN")).alias("pipeline_status"))
+
+
+def silent_counter(events: DataFrame, as_of) -> DataFrame:
+    silent = F.startswith(F.coalesce("status_reason", F.lit("")), F.lit("SOURCE SILENT"))
+    return events.agg(F.count_if((F.col("date_start") >= as_date(as_of)) & silent).alias("source_silent_events"))
+
+
+def summary(events: DataFrame, changes: DataFrame, sources: DataFrame, actions: DataFrame, as_of, source_runs: DataFrame | None = None) -> DataFrame:
+    parts = [event_counters(events, as_of), change_counters(changes, as_of), source_counters(sources), open_action_counter(actions, events, as_of)]
+    return one_row(*parts, *([regression_text(source_runs)] if source_runs is not None else []))
 
 
 def data_freshness(runs: DataFrame, events: DataFrame, as_of, now: Column) -> DataFrame:
@@ -299,10 +324,12 @@ def dry_run(staged: DataFrame, as_of) -> DataFrame:
 
 
 # ---- daily bundle and digest ---------------------------------------------------------------------------------------------------------------
-def daily_report(events: DataFrame, changes: DataFrame, sources: DataFrame, actions: DataFrame, as_of) -> dict[str, DataFrame]:
+def daily_report(events: DataFrame, changes: DataFrame, sources: DataFrame, actions: DataFrame, as_of, source_runs: DataFrame, runs: DataFrame) -> dict[str, DataFrame]:
+    """The frames of the daily report.  ``events`` and ``actions`` are read by each of them: pass stored frames, not long plans."""
     week = events.where(within_days(F.col("date_start"), as_date(as_of), 7) & active())
     return {
-        "summary": one_row(summary(events, changes, sources, actions, as_of), horizon_counts(events, as_of)),
+        "summary": one_row(summary(events, changes, sources, actions, as_of, source_runs), horizon_counts(events, as_of), silent_counter(events, as_of)),
+        "pipeline": pipeline_status(runs),
         "by_category_7d": week.groupBy("category").agg(F.count("*").alias("n")),
         "service_area_top": event_brief(service_area_top(events, as_of), actions),
         "top_opportunities": event_brief(top_events(events, as_of), actions),
@@ -315,14 +342,15 @@ def _section(df: DataFrame, name: str, label: Column, value: Column, ordinal: Co
 
 
 def digest(report: dict[str, DataFrame], limit: int = 5) -> DataFrame:
-    """(section, ordinal, label, value): counters, the top events that clear the bar (service area first, else overall), changes, categories,
-    sources."""
+    """(section, ordinal, label, value): counters, the top events that clear the bar (service area first, else overall) or word of a quiet day, changes,
+    categories, sources and pipeline, warnings."""
     c = F.col
+    counted = cut_lineage(one_row(report["summary"], report["pipeline"]))  # one row that every section reads
 
-    def counters(name: str, cols: list[str]) -> DataFrame:
+    def counters(name: str, cols: list[str], keep: Column | None = None) -> DataFrame:
         arr = F.array(*[F.struct(F.lit(x).alias("label"), c(x).cast("string").alias("value")) for x in cols])
-        d = report["summary"].select(F.posexplode(arr).alias("i", "x"))
-        return _section(d, name, c("x.label"), c("x.value"), c("i") + 1)
+        d = counted.select(F.posexplode(arr).alias("i", "x"))
+        return _section(d if keep is None else d.where(keep), name, c("x.label"), c("x.value"), c("i") + 1)
 
     bar = c("demand_level").isin("VERY_HIGH", "HIGH", "MEDIUM") & (c("quality_level").isNull() | c("quality_level").isin("HIGH", "MEDIUM"))
     area, top = report["service_area_top"].withColumn("_rank", F.lit(0)), report["top_opportunities"].withColumn("_rank", F.lit(1))
@@ -332,13 +360,20 @@ def digest(report: dict[str, DataFrame], limit: int = 5) -> DataFrame:
     # at most 2 x 5 rows here: the numbering collects them into one bounded array
     listed = chosen.agg(F.sort_array(F.collect_list(F.struct((-c("opportunity_score")).alias("s"), "date_start", "event_id", "title"))).alias("a")).select(
         F.posexplode(F.slice("a", 1, limit)).alias("i", "x"))
+    listed = cut_lineage(listed)
+    quiet = counted.where("very_high + high = 0").join(listed.agg(F.count("*").alias("_n")).where("_n = 0"), F.lit(True))  # one row each
+    quiet = _section(quiet, "top", F.lit("quiet day"), F.lit("No high-priority taxi opportunities detected today."), F.lit(0))
     cats = report["by_category_7d"].where(c("category").isin("education", "sports", "music"))
+    fallen = counted.select(F.posexplode(F.filter(F.split("source_regressions", "\n"), lambda x: x != "")).alias("i", "message"))
     parts = [
+        quiet,
+        counters("warnings", ["source_silent_events", "sources_blocked"], c("x.value") != "0"),
+        _section(fallen, "regressions", F.lit("source"), c("message"), c("i") + 1),
         counters("levels", ["very_high", "high", "medium"]),
         _section(listed, "top", c("x.title"), -c("x.s"), c("i") + 1),
         counters("changes", ["new_events", "changed_events", "cancelled_events"]),
         _section(cats, "categories", c("category"), c("n"), F.when(c("category") == "education", 1).when(c("category") == "sports", 2).otherwise(3)),
-        counters("system", ["sources_healthy", "sources_total", "sources_blocked"]),
+        counters("system", ["sources_healthy", "sources_total", "pipeline_status"]),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
 

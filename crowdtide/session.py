@@ -45,11 +45,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of any executor."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Written to the shared folder and read back: survives the loss of any executor.
+
+    A checkpoint would keep the size that the planner guessed for the frame, which multiplies with every join and soon stops plans from ending; files have their own.
+    """
+    path = scratch(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def split_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner",

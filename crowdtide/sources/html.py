@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as html_entities
+import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,7 +21,7 @@ def ld_json_blocks(page: Column) -> Column:
     return F.regexp_extract_all(page, F.lit(V.LD_JSON_SCRIPT), F.lit(1))
 
 
-NESTING = 8  # levels of nested nodes that are searched; markup in use has two or three
+NESTING = 6  # levels of nested nodes that are widened as columns; a block that goes on below them is walked by a small function
 
 
 def _as_list(v: Column) -> Column:
@@ -53,10 +54,53 @@ def _nested(nodes: Column) -> Column:
     return F.flatten(F.transform(F.flatten(F.transform(nodes, _as_list)), below))
 
 
+def _below(nodes: list) -> list[dict]:
+    """All objects under the nesting keys of the nodes, at any depth, level by level."""
+    found, level = [], nodes
+    while level:
+        objects: list[dict] = []
+        while level:  # lists in lists, and list items that wrap their object
+            flat = [y for x in level for y in (x if isinstance(x, list) else [x])]
+            objects += [x for x in flat if isinstance(x, dict)]
+            level = [x for x in flat if isinstance(x, list)]
+        found += objects
+        inner = [o[k] for o in objects for k in V.NESTED_EVENT_KEYS if o.get(k) is not None]
+        level = [x["item"] if isinstance(x, dict) and x.get("item") is not None else x for v in inner for x in (v if isinstance(v, list) else [v])]
+    return found
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _deep_nodes(texts: pd.Series) -> pd.Series:
+    """Objects of JSON arrays and below as JSON texts; null for null."""
+    return texts.map(lambda x: None if x is None else [json.dumps(o, ensure_ascii=False) for o in _below(json.loads(x))])
+
+
+@F.pandas_udf(T.IntegerType())
+def _dated_events(blocks: pd.Series) -> pd.Series:
+    """Objects anywhere in a page's blocks whose type speaks of an event and that have a start date."""
+    def count(texts) -> int:
+        n = 0
+        for text in texts if texts is not None else ():
+            try:
+                level = [json.loads(text, strict=False)]
+            except ValueError:
+                continue
+            while level:
+                for x in level:
+                    if isinstance(x, dict):
+                        kind = x.get("@type") or ""
+                        n += bool("Event" in (" ".join(map(str, kind)) if isinstance(kind, list) else str(kind)) and x.get("startDate"))
+                level = [v for x in level for v in (x.values() if isinstance(x, dict) else x) if isinstance(v, dict | list)]
+        return n
+
+    return blocks.map(count)
+
+
 def jsonld_events(pages: DataFrame, html: str = "html") -> DataFrame:
-    """One row per event object, column ``item`` (JSON text), next to the page columns; a malformed block has none.
+    """One row per event object at any depth, column ``item`` (JSON text), next to the page columns; a malformed block has none.
 
-    A block is parsed once; its nodes are an array that is widened level by level in the same row.
+    A block is parsed once; its nodes are an array that is widened level by level in the same row, and the rare block that is nested deeper hands its last level to a
+    function that walks on.
     """
     keep = [c for c in pages.columns if c != html]
     blocks = pages.select(*keep, F.posexplode(ld_json_blocks(F.col(html))).alias("block_no", "block"))
@@ -65,7 +109,10 @@ def jsonld_events(pages: DataFrame, html: str = "html") -> DataFrame:
     nodes = pin(blocks, level0=F.when(parsed.isNotNull(), F.flatten(F.transform(_as_list(parsed), _as_list)))).drop("block")
     for k in range(NESTING):
         nodes = pin(nodes, **{f"level{k + 1}": _nested(F.col(f"level{k}"))})
-    every = F.filter(F.concat(*[F.flatten(F.transform(f"level{k}", _as_list)) for k in range(NESTING + 1)]), _event_type)
+    last = F.col(f"level{NESTING}")
+    deeper = F.transform(_deep_nodes(F.when(F.size(last) > 0, F.to_json(last))), F.try_parse_json)
+    nodes = nodes.withColumn("deeper", F.coalesce(deeper, F.array().cast("array<variant>")))
+    every = F.filter(F.concat(*[F.flatten(F.transform(f"level{k}", _as_list)) for k in range(NESTING)], "deeper"), _event_type)
     return nodes.select(*keep, "block_no", F.posexplode(every).alias("item_no", "v")).select(*keep, "block_no", "item_no", F.to_json("v").alias("item"))
 
 
@@ -86,12 +133,11 @@ def html_unescape(s: pd.Series) -> pd.Series:
 def page_profile(pages: DataFrame, html: str = "html") -> DataFrame:
     """kind (ICS, RSS, JSONLD, HAS_FEED_LINK, HTML_ONLY) and item count per landed page, next to its other columns.
 
-    JSON-LD counts the nested nodes that have both an event type and a start date.
+    JSON-LD counts the objects with both an event type and a start date, under any key and at any depth; only blocks that hold both words are walked.
     """
     keep = [c for c in pages.columns if c != html]
-    items = jsonld_events(pages.select(F.xxhash64(html).alias("_h"), F.col(html).alias("_page")).dropDuplicates(["_h"]), "_page")
-    dated = items.where(F.try_variant_get(F.try_parse_json("item"), "$.startDate", "string").isNotNull()).groupBy("_h").agg(F.count("*").alias("_ld"))
-    df = pages.withColumn("_h", F.xxhash64(html)).join(dated, "_h", "left")
+    blocks = F.filter(ld_json_blocks(F.col(html)), lambda b: F.contains(b, F.lit("Event")) & F.contains(b, F.lit("startDate")))
+    df = pin(pages, _blocks=blocks).withColumn("_ld", _dated_events(F.when(F.size("_blocks") > 0, F.col("_blocks"))))
     h, ld = F.col(html), F.coalesce("_ld", F.lit(0))
     ics = F.startswith(F.ltrim(h), F.lit("BEGIN:VCALENDAR"))
     rss = h.rlike(V.FEED_START)

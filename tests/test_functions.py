@@ -241,8 +241,13 @@ def test_jsonld_depth(spark):
         (4, "BEGIN:VCALENDAR\nBEGIN:VEVENT\nEND:VEVENT\nBEGIN:VEVENT\nEND:VEVENT\nEND:VCALENDAR"),
         (5, "<?xml version='1.0'?>\n<!-- " + "x" * 900 + " -->\n<rss><channel><item></item><item></item></channel></rss>"),
         (6, "<link rel='alternate' type='application/rss+xml' href='/feed'>"), (7, "<p>nothing</p>"), (8, None)]
+    chain = "".join('{"@type":"Event","name":"%d","startDate":"2026-10-01","subEvent":[' % k for k in range(40)) + "]}" * 40
+    pages.append((9, f'<script type="application/ld+json">{{"mainEntity":{chain}}}</script>'))
     df = spark.createDataFrame(pages, "page_id int, html string")
-    got = {r.page_id: r["n"] for r in jsonld_events(df).groupBy("page_id").agg(F.collect_list(F.get_json_object("item", "$.name")).alias("n")).collect()}
+    deep = jsonld_events(df.where("page_id = 9")).select(F.get_json_object("item", "$.name").alias("n")).collect()
+    assert sorted(int(r["n"]) for r in deep) == list(range(40))
+    assert page_profile(df.where("page_id = 9")).first().n_items == 40
+    got = {r.page_id: r["n"] for r in jsonld_events(df.where("page_id < 9")).groupBy("page_id").agg(F.collect_list(F.get_json_object("item", "$.name")).alias("n")).collect()}
     assert got == {1: ["deep"], 2: ["a\tb"]}
     kinds = {r.page_id: (r.kind, r.n_items) for r in page_profile(df).collect()}
     assert kinds[1] == ("JSONLD", 1) and kinds[2] == ("HTML_ONLY", 0) and kinds[4] == ("ICS", 2) and kinds[5] == ("RSS", 2) and kinds[6] == ("HAS_FEED_LINK", 0) and kinds[7] == ("HTML_ONLY", 0)

@@ -24,8 +24,8 @@ from .common import free_name, stored, whole
 from .pair_index_bpe import Generations, by_chunks, runs
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
-CACHED_WORDS = 250_000  # in each of two generations
-RUN_BYTES = 1 << 23  # text of about this size is encoded at a time; a longer text is a run of its own
+CACHED_WORDS = 150_000  # in each of two generations
+RUN_BYTES = 1 << 21  # text of about this size is encoded at a time; a longer text is a run of its own
 TAIL = ".,;:!?*#%$&|"
 
 
@@ -109,22 +109,25 @@ def pieces(docs: DataFrame, tokenizer_file: str, end_id: int, size: int, keep: t
         fields = fields.add(name, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # nothing here makes cycles, and the lists of words are long
-        encoder = WordEncoder(tokenizer_file, end_id)
-        for batch in batches:
-            for first, n in runs(batch.column("text"), RUN_BYTES):
-                part = batch.slice(first, n)
-                ids, offsets = encoder.encode(part.column("text"))
-                packed = memoryview(ids.tobytes())
-                rows, out = [], []
-                for k, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist(), strict=False)):
-                    for at in range(a, b, size):
-                        to = min(at + size, b)
-                        rows.append(k)
-                        out.append((at - a, to - at, zlib.crc32(packed[4 * at: 4 * to]), b - a))
-                taken = part.take(pa.array(rows, pa.int64()))
-                numbers = np.array(out, np.int64).reshape(-1, 4)
-                yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in keep), *(pa.array(numbers[:, j]) for j in range(4))], names=fields.names)
+        gc.disable()  # the lists of words are long and hold no cycles
+        try:
+            encoder = WordEncoder(tokenizer_file, end_id)
+            for batch in batches:
+                for first, n in runs(batch.column("text"), RUN_BYTES):
+                    part = batch.slice(first, n)
+                    ids, offsets = encoder.encode(part.column("text"))
+                    packed = memoryview(ids.tobytes())
+                    rows, out = [], []
+                    for k, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist(), strict=False)):
+                        for at in range(a, b, size):
+                            to = min(at + size, b)
+                            rows.append(k)
+                            out.append((at - a, to - at, zlib.crc32(packed[4 * at: 4 * to]), b - a))
+                    taken = part.take(pa.array(rows, pa.int64()))
+                    numbers = np.array(out, np.int64).reshape(-1, 4)
+                    yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in keep), *(pa.array(numbers[:, j]) for j in range(4))], names=fields.names)
+        finally:
+            gc.enable()  # the worker goes on to other tasks
 
     return kept.mapInArrow(run, fields)
 

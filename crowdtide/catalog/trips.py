@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import fixed_values as V
 from ..operators import bookings as bk
 from ..session import scratch
 from ..sources import files
@@ -104,12 +105,12 @@ def join18(t):
 @check("agg17_booking_status", """SELECT * FROM (SELECT count(*) AS bookings, strftime(min(pickup_datetime), '%Y-%m-%d %H:%M:%S') AS first_pickup, strftime(max(pickup_datetime), '%Y-%m-%d %H:%M:%S') AS last_pickup FROM d_booking),
     (SELECT count(*) AS correlations, count(DISTINCT event_id) AS labelled_events, CASE WHEN count(DISTINCT event_id) >= 200 THEN 'FORECAST' ELSE 'DETERMINISTIC' END AS model_mode FROM d_match)""")
 def agg17(t):
-    return iso(bk.booking_status(t.booking, matches(t)).drop("required"))
+    return iso(bk.booking_status(t.booking, bk.labels(matches(t)), V.MIN_LABELLED_EVENTS).drop("required"))
 
 
 @check("agg18_mode_switch", "SELECT CASE WHEN count(DISTINCT event_id) >= 200 THEN 'FORECAST' ELSE 'DETERMINISTIC' END AS model_mode, count(DISTINCT event_id) AS labelled_events, 200 AS required FROM d_match")
 def agg18(t):
-    return bk.forecast_mode(matches(t))
+    return bk.forecast_mode(bk.labels(matches(t)), V.MIN_LABELLED_EVENTS)
 
 
 @check("agg19_label_counts", "SELECT event_id, count(*) AS label_bookings FROM d_match GROUP BY 1")
@@ -124,7 +125,7 @@ MODEL = """model AS (SELECT e.category, median(m.n) AS median_label, count(*) AS
 def table(t):
     ev = t.booking_event.withColumns({"subcategory": F.lit("x"), "opportunity_score": F.lit(0), "event_quality_score": F.lit(0), "venue_id": F.lit(0), "city_id": F.lit(0),
                                       "status": F.lit("SCHEDULED"), "source_confidence": F.lit("TRUSTED")})
-    return bk.feature_table(ev, matches(t))
+    return bk.feature_table(ev, matches(t), V.MIN_LABELLED_EVENTS)
 
 
 @check("agg20_category_medians", f"WITH {MODEL} SELECT category AS event_type, median_label, sample, median_capacity FROM model")
@@ -137,7 +138,7 @@ def agg20(t):
       CASE WHEN n.labelled >= 200 AND coalesce(m.sample, 0) >= 10 THEN round_even(m.median_label * least(greatest(CASE WHEN e.venue_capacity > 0 AND m.median_capacity IS NOT NULL THEN e.venue_capacity / m.median_capacity ELSE 1e0 END, 0.2::DOUBLE), 5e0), 0)::BIGINT END AS estimate
     FROM d_bevent e LEFT JOIN model m USING (category), n""")
 def mth16(t):
-    return bk.forecast(t.booking_event, table(t))
+    return bk.forecast(t.booking_event, table(t), V.MIN_LABELLED_EVENTS, V.MIN_CATEGORY_SAMPLE)
 
 
 @check("ups13_feature_table", """SELECT e.event_id, e.category AS event_type, isodow(e.start::DATE) - 1 AS day_of_week, hour(e.start) AS start_hour, m.n AS label_bookings,

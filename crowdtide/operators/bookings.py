@@ -9,7 +9,7 @@ from .. import fixed_values as V
 from ..functions.dates import hour_of, local_datetime, minutes_interval, parse_booking_timestamp, weekend
 from ..functions.geo import box_half_widths, haversine_km, match_confidence
 from ..functions.text import normalize_postcode
-from ..session import pin, split_join
+from ..session import cut_lineage, pin, split_join
 from .filters import as_date
 
 STAMPS = ["booking_created_at", "pickup_datetime", "dropoff_datetime"]
@@ -162,15 +162,15 @@ def labels(matches: DataFrame) -> DataFrame:
     return matches.groupBy("event_id").agg(F.count("*").alias("label_bookings"))
 
 
-def forecast_mode(matches: DataFrame, required: int = V.MIN_LABELLED_EVENTS) -> DataFrame:
-    have = F.countDistinct("event_id")
-    return matches.agg(have.alias("labelled_events")).select(
+def forecast_mode(labelled: DataFrame, required: int) -> DataFrame:
+    """FORECAST once ``required`` events have labels; ``labelled`` comes from labels()."""
+    return labelled.agg(F.count("*").alias("labelled_events")).select(
         F.when(F.col("labelled_events") >= required, "FORECAST").otherwise("DETERMINISTIC").alias("model_mode"), "labelled_events", F.lit(required).alias("required"))
 
 
-def booking_status(bookings: DataFrame, matches: DataFrame, required: int = V.MIN_LABELLED_EVENTS) -> DataFrame:
+def booking_status(bookings: DataFrame, labelled: DataFrame, required: int) -> DataFrame:
     b = bookings.agg(F.count("*").alias("bookings"), F.min("pickup_datetime").alias("first_pickup"), F.max("pickup_datetime").alias("last_pickup"))
-    m = matches.agg(F.count("*").alias("correlations"), F.countDistinct("event_id").alias("labelled_events"))
+    m = labelled.agg(F.coalesce(F.sum("label_bookings"), F.lit(0)).alias("correlations"), F.count("*").alias("labelled_events"))
     mode = F.when(F.col("labelled_events") >= required, "FORECAST").otherwise("DETERMINISTIC")
     return b.withColumn("_k", F.lit(1)).join(m.withColumn("_k", F.lit(1)), "_k").drop("_k").withColumn("model_mode", mode).withColumn("required", F.lit(required))
 
@@ -187,12 +187,13 @@ def features(events: DataFrame, weather: DataFrame | None = None, traffic: DataF
     return out
 
 
-def feature_table(events: DataFrame, matches: DataFrame, since=None, **hooks) -> DataFrame:
-    """Full recompute of features with labels (null when an event has none) and the model mode."""
+def feature_table(events: DataFrame, matches: DataFrame, required: int, since=None, **hooks) -> DataFrame:
+    """Full recompute of features with labels (null when an event has none) and the model mode.  The match runs once: labels are stored before both uses."""
+    labelled = cut_lineage(labels(matches))
     if since is not None:
         events = events.where(F.col("date_start") >= as_date(since))
-    mode = forecast_mode(matches).select("model_mode", F.lit(1).alias("_k"))
-    return (features(events, **hooks).join(labels(matches), "event_id", "left").withColumn("_k", F.lit(1)).join(mode, "_k", "left").drop("_k"))
+    mode = forecast_mode(labelled, required).select("model_mode", F.lit(1).alias("_k"))
+    return (features(events, **hooks).join(labelled, "event_id", "left").withColumn("_k", F.lit(1)).join(mode, "_k", "left").drop("_k"))
 
 
 def _weighted_median(df: DataFrame, by: str, value: str, alias: str) -> DataFrame:
@@ -209,15 +210,16 @@ def category_models(table: DataFrame) -> DataFrame:
     return y.join(cap, "event_type", "left").withColumnRenamed("median_label_n", "sample")
 
 
-def forecast(events: DataFrame, table: DataFrame, required: int = V.MIN_LABELLED_EVENTS) -> DataFrame:
-    """Explainable estimate per event: category median scaled by the clamped capacity ratio; null below the sample limits."""
+def forecast(events: DataFrame, table: DataFrame, required: int, category_sample: int) -> DataFrame:
+    """Explainable estimate per event: category median scaled by the clamped capacity ratio; null while fewer than ``required`` events or ``category_sample`` events of
+    the category have labels."""
     c = F.col
     labelled = table.where("label_bookings IS NOT NULL").agg(F.countDistinct("event_id").alias("labelled_events")).withColumn("_k", F.lit(1))
     ratio = F.when((F.coalesce("venue_capacity", F.lit(0)) != 0) & c("median_capacity").isNotNull(), c("venue_capacity") / c("median_capacity")).otherwise(F.lit(1.0))
     out = events.select("event_id", "category", "venue_capacity").join(category_models(table).withColumnRenamed("event_type", "category"), "category", "left")
     out = out.withColumn("_k", F.lit(1)).join(labelled, "_k").drop("_k")
     ready = c("labelled_events") >= required
-    enough = F.coalesce(c("sample"), F.lit(0)) >= V.MIN_CATEGORY_SAMPLE
+    enough = F.coalesce(c("sample"), F.lit(0)) >= category_sample
     return out.select(
         "event_id", "category", F.when(ready, "FORECAST").otherwise("DETERMINISTIC").alias("model_mode"),
         F.when(ready & enough, F.bround(c("median_label") * F.least(F.greatest(ratio, F.lit(0.2)), F.lit(5.0)), 0).cast("long")).alias("estimate"),

@@ -95,12 +95,12 @@ def _best(scored: DataFrame, id_col: str, label: str) -> DataFrame:
 
 def match_venues(names: DataFrame, venues: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Distinct raw names (column name) -> (name, venue_id, venue_method)."""
-    index = alias_index(venues, "venue_id", F.col("is_seeded"))
-    raw = names.select("name").distinct().withColumn("key", normalize_name("name"))
+    index = cut_lineage(alias_index(venues, "venue_id", F.col("is_seeded")))  # every step looks names up in it
+    raw = cut_lineage(names.select("name").distinct().withColumn("key", normalize_name("name")))
     keys = raw.where(~F.col("key").isin(["", *V.PLACEHOLDER_VENUES])).select("key").distinct()
     exact = keys.join(index, "key")
-    rest = keys.join(exact, "key", "left_anti")
-    inside = _longest(_contains_pairs(rest, index, "venue_id"), "venue_id")
+    rest = cut_lineage(keys.join(exact, "key", "left_anti"))
+    inside = cut_lineage(_longest(_contains_pairs(rest, index, "venue_id"), "venue_id"))
     found = exact.withColumn("venue_method", F.lit("venue_exact")).unionByName(inside.withColumn("venue_method", F.lit("venue_contains")))
     if fuzzy:
         left = rest.join(inside, "key", "left_anti")
@@ -113,12 +113,12 @@ def match_venues(names: DataFrame, venues: DataFrame, fuzzy: bool = True) -> Dat
 
 def match_cities(names: DataFrame, cities: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Distinct raw names (column name) -> (name, city_id, city_method)."""
-    index = alias_index(cities, "city_id")
-    raw = names.select("name").distinct().withColumn("key", normalize_name("name"))
+    index = cut_lineage(alias_index(cities, "city_id"))
+    raw = cut_lineage(names.select("name").distinct().withColumn("key", normalize_name("name")))
     keys = raw.where("key <> ''").select("key").distinct()
     exact = keys.join(index, "key")
-    rest = keys.join(exact, "key", "left_anti")
-    inside = _longest(_word_pairs(rest, index, "city_id"), "city_id")
+    rest = cut_lineage(keys.join(exact, "key", "left_anti"))
+    inside = cut_lineage(_longest(_word_pairs(rest, index, "city_id"), "city_id"))
     found = exact.withColumn("city_method", F.lit("city_exact")).unionByName(inside.withColumn("city_method", F.lit("city_contains")))
     if fuzzy:
         left = rest.join(inside, "key", "left_anti")
@@ -152,8 +152,8 @@ def resolve_places(staged: DataFrame, venues: DataFrame, cities: DataFrame, post
     v = venues.select("venue_id", c("name").alias("v_name"), c("city_id").alias("_v_city"), c("postcode").alias("_v_pc"),
                       c("latitude").alias("_v_lat"), c("longitude").alias("_v_lon"), c("capacity").alias("v_capacity"))
     ct = cities.select("city_id", c("name").alias("c_name"), "region_id", c("latitude").alias("_c_lat"), c("longitude").alias("_c_lon"))
-    vm = match_venues(staged.select(c("venue_name").alias("name")).where("name IS NOT NULL"), venues, fuzzy).withColumnRenamed("name", "venue_name")
-    cm = match_cities(staged.select(c("city_name").alias("name")).where("name IS NOT NULL"), cities, fuzzy).withColumnsRenamed({"name": "city_name", "city_id": "_m_city"})
+    vm = cut_lineage(match_venues(staged.select(c("venue_name").alias("name")).where("name IS NOT NULL"), venues, fuzzy)).withColumnRenamed("name", "venue_name")
+    cm = cut_lineage(match_cities(staged.select(c("city_name").alias("name")).where("name IS NOT NULL"), cities, fuzzy)).withColumnsRenamed({"name": "city_name", "city_id": "_m_city"})
     out = (staged.join(vm, "venue_name", "left").join(v, "venue_id", "left").join(cm, "city_name", "left")
            .withColumn("_by_name", c("_v_city").isNull())
            .withColumn("city_id", F.coalesce("_v_city", "_m_city"))

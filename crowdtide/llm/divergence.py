@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import pin
-from .common import stored, whole
+from .common import free_name, stored, whole
 
 # Classes of characters, as patterns.
 SPACE = r"\x20\x09-\x0D"
@@ -155,6 +155,7 @@ def measure(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns; equal (doc_id, text) rows share one verdict."""
-    good = measure(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(whole("text")) == F.col("_h")), "left_semi")
+    key, h = free_name(docs, "_id"), free_name(docs, "_h")
+    good = measure(docs).where("kept").select(F.col("doc_id").alias(key), F.col("h").alias(h)).distinct()
+    return docs.join(good, F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64(whole("text")) == F.col(h)), "left_semi")
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, ascii_lower, mix, prefix_hash, slices, span_hash, stored, whole, word_hashes, word_spans
+from .common import Powers, ascii_lower, free_name, mix, prefix_hash, slices, span_hash, stored, whole, word_hashes, word_spans
 
 GRAM = 5
 
@@ -180,8 +180,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     listed = (found.select("_id", "_h", "item_id").distinct().groupBy("_id", "_h")
               .agg(F.count("*").alias("n_items"), F.sort_array(F.collect_list(F.col("item_id").cast("string"))).alias("items")))
     marks = runs.withColumn("n_hit", covered).drop("spans").join(listed.withColumnsRenamed({"_id": "_id2", "_h": "_h2"}), F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2"))).drop("_id2", "_h2")
-    m, own = marks.alias("m"), docs.select(*rest, F.xxhash64(text).alias("_h"), _count_words(text).alias("n_words")).alias("o")
-    joined = own.join(m, F.col(f"o.{id_column}").eqNullSafe(F.col("m._id")) & (F.col("o._h") == F.col("m._h")), "left")
+    h = free_name(docs, "_h")
+    m, own = marks.alias("m"), docs.select(*rest, F.xxhash64(text).alias(h), _count_words(text).alias("n_words")).alias("o")
+    joined = own.join(m, F.col(f"o.{id_column}").eqNullSafe(F.col("m._id")) & (F.col(f"o.{h}") == F.col("m._h")), "left")
     zero = F.lit(0).cast("long")
     return joined.select(*[F.col(f"o.`{c}`") for c in rest], "o.n_words", F.coalesce("m.n_hit", zero).alias("n_hit"), F.coalesce("m.n_items", zero).alias("n_items"),
                          F.coalesce("m.items", F.array().cast("array<string>")).alias("items"), F.col("m.n_hit").isNotNull().alias("contaminated"))
@@ -194,5 +195,6 @@ def _count_words(text):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents without a hit, with their own columns."""
     marked = contamination(docs.select("doc_id", "text"), benchmark, window)
-    bad = marked.where("contaminated").select(F.col("doc_id").alias("_id"), F.xxhash64(whole("text")).alias("_h")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(whole("text")) == F.col("_h")), "left_anti")
+    key, h = free_name(docs, "_id"), free_name(docs, "_h")
+    bad = marked.where("contaminated").select(F.col("doc_id").alias(key), F.xxhash64(whole("text")).alias(h)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64(whole("text")) == F.col(h)), "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
@@ -45,9 +46,12 @@ def src03(t):
 def src05(t):
     base = scratch(t.spark, "dispatch")
     raw(t).write.mode("overwrite").option("header", True).csv(f"{base}.csv")
-    # one document per file is the contract of the JSON reader; a bounded number of files per folder
-    docs = raw(t).withColumn("b", F.pmod(F.hash("pickup_datetime", "booking_id"), F.lit(64))).groupBy("b").agg(F.to_json(F.collect_list(F.struct("booking_id", "pickup_datetime", "fare"))).alias("value"))
-    docs.repartitionByRange(64, "b").write.mode("overwrite").option("lineSep", " ").partitionBy("b").text(f"{base}.json")
+    # each partition of the table becomes one file with one array
+    docs = raw(t).select(F.to_json(F.struct("booking_id", "pickup_datetime", "fare")).alias("j"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("at"))
+    edge = Window.partitionBy("p").orderBy("at")
+    lines = docs.withColumns({"first": F.lag("at").over(edge).isNull(), "last": F.lead("at").over(edge).isNull()}).sortWithinPartitions("p", "at")
+    text = F.concat(F.when(c("first"), "[").otherwise(","), c("j"), F.when(c("last"), "]").otherwise(""))
+    lines.select("p", text.alias("value")).write.mode("overwrite").partitionBy("p").text(f"{base}.json")
     out = [files.read_bookings(t.spark, f"{base}{k}").agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k in (".csv", ".json")]
     return out[0].union(out[1])
 

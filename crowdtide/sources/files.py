@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from ..session import cut_lineage
 
 BOOKING_STRINGS = ", ".join(f"{f} string" for f in V.BOOKING_FIELDS)
 
@@ -29,8 +30,48 @@ def bookings_from_json(payloads: DataFrame, schema: str = BOOKING_STRINGS) -> Da
     return payloads.select(F.explode(items).alias("r")).where("r IS NOT NULL").select("r.*")
 
 
+def array_elements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(file, value: JSON text of each object of a file that holds one JSON array), and the fragments behind it (file, start, at, text).
+
+    The files are read as records that end at a closing brace, so that one large array is split among tasks.  Whether a brace stands inside a text, and how deep it lies, follows
+    from the quotes and braces before it: sums inside a split plus those of the splits before it.  Fragments between two closing braces of the outermost level are one object.
+    """
+    c = F.col
+    text = spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), c("value").alias("text"))
+    rows = cut_lineage(text.withColumn("at", F.monotonically_increasing_id()))
+    bare = F.regexp_replace("text", r"\\.", "")  # without escaped letters every quote opens or closes a text
+
+    def before(df: DataFrame, value: str, out: str) -> DataFrame:
+        """Sum of ``value`` over all earlier fragments of the file."""
+        whole = df.groupBy("file", "start").agg(F.sum(value).alias("_sum"))
+        ahead = whole.select("file", "start", F.coalesce(F.sum("_sum").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+        inside = F.coalesce(F.sum(value).over(Window.partitionBy("file", "start").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return df.withColumn("_inside", inside).join(ahead, ["file", "start"]).withColumn(out, c("_inside") + c("_ahead")).drop("_inside", "_ahead")
+
+    quoted = before(rows.withColumns({"bare": bare, "quotes": F.char_length(bare) - F.char_length(F.replace(bare, F.lit('"')))}), "quotes", "quotes_before")
+    opened = c("quotes_before") % 2 == 1
+    plain = F.regexp_replace(F.when(opened, F.concat(F.lit('"'), c("bare"))).otherwise(c("bare")), r'"[^"]*("|$)', "")
+    closes = ((c("quotes_before") + c("quotes")) % 2 == 0).cast("int")  # the brace that ends the fragment is one of the structure
+    opens = F.char_length(plain) - F.char_length(F.replace(plain, F.lit("{")))
+    deep = before(quoted.withColumns({"closes": closes, "step": opens - closes}), "step", "depth")
+    ends = deep.withColumn("ends", ((c("closes") == 1) & (c("depth") + c("step") == 0)).cast("int"))
+    placed = before(ends.select("file", "start", "at", "text", "ends"), "ends", "element")
+    whole = placed.groupBy("file", "element").agg(F.sort_array(F.collect_list(F.struct("start", "at", "text", "ends"))).alias("parts"))  # of one object
+    whole = whole.where(F.exists("parts", lambda p: p["ends"] == 1))
+    joined = F.concat(F.array_join(F.transform("parts", lambda p: p["text"]), "}"), F.lit("}"))
+    return whole.select("file", F.regexp_replace(joined, r"^[^{]*", "").alias("value")), rows
+
+
 def read_booking_json(spark: SparkSession, path: str, schema: str = BOOKING_STRINGS) -> DataFrame:
-    return bookings_from_json(spark.read.text(path, wholetext=True), schema)
+    """Files that hold a list are read in splits; those that hold an object around their list (``bookings`` or ``data``) as one text each."""
+    elements, fragments = array_elements(spark, path)
+    first = fragments.groupBy("file").agg(F.min_by("text", F.struct("start", "at")).alias("text")).select("file", F.ltrim(F.translate("text", "\ufeff\r\n\t", "   ")).startswith("[").alias("listed"))
+    others = [r.file for r in first.where("not listed").collect()]  # names of files, which the driver lists anyway
+    record = f"struct<{schema.replace(' string', ':string')}>"
+    rows = elements.join(first.where("listed"), "file", "left_semi").select(F.from_json("value", record).alias("r")).where("r IS NOT NULL").select("r.*")
+    if not others:
+        return rows
+    return rows.unionByName(bookings_from_json(spark.read.text(others, wholetext=True), schema))
 
 
 def read_booking_database(spark: SparkSession, url: str, query: str, partition_column: str | None = None, bounds: tuple[int, int] | None = None,

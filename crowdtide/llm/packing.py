@@ -14,6 +14,7 @@ import gc
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +102,12 @@ class WordEncoder:
         return np.insert(ids, offsets[1:], np.uint32(self.end_id)).astype("<u4"), offsets + np.arange(len(offsets))
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(tokenizer_file: str, end_id: int) -> WordEncoder:
+    """One encoder for all tasks of a Python worker: its caches stay warm and no task leaves a tokenizer of its own behind."""
+    return WordEncoder(tokenizer_file, end_id)
+
+
 def pieces(docs: DataFrame, tokenizer_file: str, end_id: int, size: int, keep: tuple[str, ...] = ("doc_id",), text_column: str = "text") -> DataFrame:
     """One row per piece: ``keep`` columns, start, length, ids_crc32, doc_tokens."""
     kept = docs.select(*keep, whole(text_column).alias("text"))
@@ -111,7 +118,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, end_id: int, size: int, keep: t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the lists of words are long and hold no cycles
         try:
-            encoder = WordEncoder(tokenizer_file, end_id)
+            encoder = worker_encoder(tokenizer_file, end_id)
             for batch in batches:
                 for first, n in runs(batch.column("text"), RUN_BYTES):
                     part = batch.slice(first, n)

@@ -11,10 +11,10 @@ Only the histogram reaches the driver: at most ``size / width`` counts, whatever
 from __future__ import annotations
 
 import gc
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,7 @@ class WordEncoder:
     """
 
     def __init__(self, tokenizer_file: str, end_id: int):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; each thread would keep memory of its own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
@@ -102,10 +103,18 @@ class WordEncoder:
         return np.insert(ids, offsets[1:], np.uint32(self.end_id)).astype("<u4"), offsets + np.arange(len(offsets))
 
 
-@lru_cache(maxsize=1)
 def worker_encoder(tokenizer_file: str, end_id: int) -> WordEncoder:
-    """One encoder for all tasks of a Python worker: its caches stay warm and no task leaves a tokenizer of its own behind."""
-    return WordEncoder(tokenizer_file, end_id)
+    """One encoder for all tasks of a Python worker: its caches stay warm and no task leaves a tokenizer of its own behind.
+
+    Functions travel by value, so that this module's own variables would be new in every task; the tokenizer library's module stays.
+    """
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_kept_encoders", {})
+    if (tokenizer_file, end_id) not in kept:
+        kept.clear()
+        kept[tokenizer_file, end_id] = WordEncoder(tokenizer_file, end_id)
+    return kept[tokenizer_file, end_id]
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, end_id: int, size: int, keep: tuple[str, ...] = ("doc_id",), text_column: str = "text") -> DataFrame:

@@ -40,17 +40,19 @@ def _contains_pairs(names: DataFrame, index: DataFrame, id_col: str) -> DataFram
     idx = index.where(F.length("key") >= ANCHOR).select(F.col("key").alias("index_key"), id_col)
     grams = idx.select("index_key", id_col, F.explode(_grams(F.col("index_key"), ANCHOR)).alias("_gram"))
     usage = grams.groupBy("_gram").agg(F.count("*").alias("_uses"))
-    anchors = grams.join(usage, "_gram").groupBy("index_key", id_col).agg(F.min_by("_gram", F.struct("_uses", "_gram")).alias("_gram"))
+    # the planner takes exploded rows for no more than the texts they come from: without the hints it would send them to the driver
+    anchors = grams.join(usage.hint("merge"), "_gram").groupBy("index_key", id_col).agg(F.min_by("_gram", F.struct("_uses", "_gram")).alias("_gram"))
     cols = ["key", "index_key", id_col]
     long_names = names.where(F.length("key") >= ANCHOR)
     name_grams = long_names.select("key", F.explode(_grams(F.col("key"), ANCHOR)).alias("_gram"))
-    pairs = name_grams.join(anchors, "_gram").where(F.contains("key", F.col("index_key"))).select(*cols)
-    name_anchor = name_grams.join(usage, "_gram", "left").groupBy("key").agg(
+    pairs = name_grams.join(anchors.hint("merge"), "_gram").where(F.contains("key", F.col("index_key"))).select(*cols)
+    name_anchor = name_grams.join(usage.hint("merge"), "_gram", "left").groupBy("key").agg(
         F.min_by("_gram", F.struct(F.coalesce("_uses", F.lit(0)), "_gram")).alias("_gram"))
-    pairs = pairs.unionByName(name_anchor.join(grams, "_gram").where(F.contains("index_key", F.col("key"))).select(*cols))
-    for n in range(1, ANCHOR):  # shorter names are one gram themselves
-        part = names.where(F.length("key") == n).select("key", F.col("key").alias("_gram")).join(
-            idx.select("index_key", id_col, F.explode(_grams(F.col("index_key"), n)).alias("_gram")), "_gram")
+    pairs = pairs.unionByName(name_anchor.join(grams.hint("merge"), "_gram").where(F.contains("index_key", F.col("key"))).select(*cols))
+    short = names.where(F.length("key").between(1, ANCHOR - 1))
+    for n in sorted(r.n for r in short.select(F.length("key").alias("n")).distinct().collect()):  # shorter names are one gram themselves
+        part = short.where(F.length("key") == n).select("key", F.col("key").alias("_gram")).join(
+            idx.select("index_key", id_col, F.explode(_grams(F.col("index_key"), n)).alias("_gram")).hint("merge"), "_gram")
         pairs = pairs.unionByName(part.select(*cols))
     return pairs
 
@@ -98,16 +100,16 @@ def match_venues(names: DataFrame, venues: DataFrame, fuzzy: bool = True) -> Dat
     index = cut_lineage(alias_index(venues, "venue_id", F.col("is_seeded")))  # every step looks names up in it
     raw = cut_lineage(names.select("name").distinct().withColumn("key", normalize_name("name")))
     keys = raw.where(~F.col("key").isin(["", *V.PLACEHOLDER_VENUES])).select("key").distinct()
-    exact = keys.join(index, "key")
-    rest = cut_lineage(keys.join(exact, "key", "left_anti"))
+    exact = cut_lineage(keys.join(index.hint("merge"), "key"))
+    rest = cut_lineage(keys.join(exact.hint("merge"), "key", "left_anti"))
     inside = cut_lineage(_longest(_contains_pairs(rest, index, "venue_id"), "venue_id"))
     found = exact.withColumn("venue_method", F.lit("venue_exact")).unionByName(inside.withColumn("venue_method", F.lit("venue_contains")))
     if fuzzy:
-        left = rest.join(inside, "key", "left_anti")
+        left = rest.join(inside.hint("merge"), "key", "left_anti")
         best = _best(_fuzzy_pairs(left, index, "venue_id", float(V.VENUE_FUZZY_RATIO), token_set_ratio), "venue_id", "venue_fuzzy_")
         found = found.unionByName(best.withColumnRenamed("method", "venue_method"))
     placeholder = F.col("key").isin(["", *V.PLACEHOLDER_VENUES])
-    return raw.join(found, "key", "left").select(
+    return raw.join(found.hint("merge"), "key", "left").select(
         "name", "venue_id", F.when(placeholder, F.lit("no_venue")).otherwise(F.coalesce("venue_method", F.lit("venue_unmatched"))).alias("venue_method"))
 
 

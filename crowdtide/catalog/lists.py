@@ -10,7 +10,7 @@ from ..bindings import AREA, AS_OF, log_now
 from ..functions.dates import within_days
 from ..operators import filters as fl
 from ..operators import views
-from ..operators.bookings import correlate, list_matches
+from ..operators.bookings import list_best_matches
 from ..plans import reports
 from ..session import cut_lineage
 from ..sources import sinks
@@ -224,7 +224,7 @@ def srt06(t):
 
 @check("srt07_correlations_page", "SELECT event_id, booking_id, leg, match_confidence FROM d_match ORDER BY match_confidence DESC, event_id, booking_id, leg LIMIT 50 OFFSET 50")
 def srt07(t):
-    return list_matches(correlate(t.booking_event, t.booking), number=2).select("event_id", "booking_id", "leg", "match_confidence")
+    return list_best_matches(t.booking_event, t.booking, number=2).select("event_id", "booking_id", "leg", "match_confidence")
 
 
 @check("srt08_changes_feed", f"""SELECT change_id, event_id, change_type, strftime(detected_at, '%Y-%m-%d %H:%M:%S') AS detected_at FROM d_change

@@ -96,6 +96,10 @@ def matches(t):
     return bk.correlate(t.booking_event, t.booking)
 
 
+def labelled(t):
+    return bk.count_labels(t.booking_event, t.booking)
+
+
 @check("join05_space_time_match", "SELECT event_id, booking_id, leg, distance_km, time_delta_min, match_confidence FROM d_match")
 def join05(t):
     return matches(t)
@@ -103,23 +107,23 @@ def join05(t):
 
 @check("join18_labels", "SELECT e.event_id, m.n AS label_bookings FROM d_bevent e LEFT JOIN (SELECT event_id, count(*) AS n FROM d_match GROUP BY 1) m USING (event_id)")
 def join18(t):
-    return t.booking_event.select("event_id").join(bk.labels(matches(t)), "event_id", "left")
+    return t.booking_event.select("event_id").join(labelled(t), "event_id", "left")
 
 
 @check("agg17_booking_status", """SELECT * FROM (SELECT count(*) AS bookings, strftime(min(pickup_datetime), '%Y-%m-%d %H:%M:%S') AS first_pickup, strftime(max(pickup_datetime), '%Y-%m-%d %H:%M:%S') AS last_pickup FROM d_booking),
     (SELECT count(*) AS correlations, count(DISTINCT event_id) AS labelled_events, CASE WHEN count(DISTINCT event_id) >= 200 THEN 'FORECAST' ELSE 'DETERMINISTIC' END AS model_mode FROM d_match)""")
 def agg17(t):
-    return iso(bk.booking_status(t.booking, bk.labels(matches(t)), V.MIN_LABELLED_EVENTS).drop("required"))
+    return iso(bk.booking_status(t.booking, labelled(t), V.MIN_LABELLED_EVENTS).drop("required"))
 
 
 @check("agg18_mode_switch", "SELECT CASE WHEN count(DISTINCT event_id) >= 200 THEN 'FORECAST' ELSE 'DETERMINISTIC' END AS model_mode, count(DISTINCT event_id) AS labelled_events, 200 AS required FROM d_match")
 def agg18(t):
-    return bk.forecast_mode(bk.labels(matches(t)), V.MIN_LABELLED_EVENTS)
+    return bk.forecast_mode(labelled(t), V.MIN_LABELLED_EVENTS)
 
 
 @check("agg19_label_counts", "SELECT event_id, count(*) AS label_bookings FROM d_match GROUP BY 1")
 def agg19(t):
-    return bk.labels(matches(t))
+    return labelled(t)
 
 
 MODEL = """model AS (SELECT e.category, median(m.n) AS median_label, count(*) AS sample, median(e.venue_capacity) FILTER (e.venue_capacity > 0) AS median_capacity FROM d_bevent e
@@ -129,7 +133,7 @@ MODEL = """model AS (SELECT e.category, median(m.n) AS median_label, count(*) AS
 def table(t):
     ev = t.booking_event.withColumns({"subcategory": F.lit("x"), "opportunity_score": F.lit(0), "event_quality_score": F.lit(0), "venue_id": F.lit(0), "city_id": F.lit(0),
                                       "status": F.lit("SCHEDULED"), "source_confidence": F.lit("TRUSTED")})
-    return bk.feature_table(ev, matches(t), V.MIN_LABELLED_EVENTS)
+    return bk.feature_table(ev, None, V.MIN_LABELLED_EVENTS, labelled=labelled(t))
 
 
 @check("agg20_category_medians", f"WITH {MODEL} SELECT category AS event_type, median_label, sample, median_capacity FROM model")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
@@ -100,18 +100,27 @@ class Grid:
 CELL = ["slot", "y", "x"]
 
 
-def event_cells(events: DataFrame, grid: Grid) -> DataFrame:
-    """Events exploded over the grid keys their search window touches."""
+def event_windows(events: DataFrame, grid: Grid) -> DataFrame:
+    """Events with a place and a start: their search window in time and their search box."""
     c = F.col
     start = local_datetime(c("date_start"), c("time_start"))
     ev = events.where("latitude IS NOT NULL AND longitude IS NOT NULL AND time_start IS NOT NULL").select(
         "event_id", c("latitude").alias("e_lat"), c("longitude").alias("e_lon"), start.alias("e_start"))
     dlat, dlon = box_half_widths(c("e_lat"), grid.radius_km)
-    ev = ev.withColumns({
+    return ev.withColumns({
         "e_from": c("e_start") - minutes_interval(F.lit(grid.pre)),
         "e_to": c("e_start") + minutes_interval(F.lit(grid.duration + grid.post)),
         "dlat": dlat, "dlon": dlon,
     })
+
+
+def event_cells(events: DataFrame, grid: Grid) -> DataFrame:
+    """Events exploded over the grid keys their search window touches."""
+    return _cells(event_windows(events, grid), grid)
+
+
+def _cells(ev: DataFrame, grid: Grid) -> DataFrame:
+    c = F.col
     axes = (("slot", grid.slot, c("e_from"), c("e_to")), ("y", grid.y, c("e_lat") - c("dlat"), c("e_lat") + c("dlat")), ("x", grid.x, c("e_lon") - c("dlon"), c("e_lon") + c("dlon")))
     for name, key, lo, hi in axes:
         ev = ev.withColumn(name, F.explode(F.sequence(key(lo), key(hi))))
@@ -123,12 +132,17 @@ def leg_cells(bookings: DataFrame, grid: Grid) -> DataFrame:
     return booking_legs(bookings).withColumns({"slot": grid.slot(c("pickup_datetime")), "y": grid.y(c("lat")), "x": grid.x(c("lon"))})
 
 
+def in_reach(near: DataFrame, grid: Grid) -> DataFrame:
+    """The box and distance rules over legs and places that met in a cell; column ``dist``."""
+    c = F.col
+    near = near.where((F.abs(c("lat") - c("e_lat")) <= c("dlat")) & (F.abs(c("lon") - c("e_lon")) <= c("dlon")))
+    return near.withColumn("dist", haversine_km(c("lat"), c("lon"), c("e_lat"), c("e_lon"))).where(c("dist") <= grid.radius_km)
+
+
 def exact_matches(near: DataFrame, grid: Grid) -> DataFrame:
     """The exact window, box, distance and leg rules over pairs that met in a cell."""
     c = F.col
-    near = near.where((c("pickup_datetime") >= c("e_from")) & (c("pickup_datetime") <= c("e_to"))
-                      & (F.abs(c("lat") - c("e_lat")) <= c("dlat")) & (F.abs(c("lon") - c("e_lon")) <= c("dlon")))
-    near = near.withColumn("dist", haversine_km(c("lat"), c("lon"), c("e_lat"), c("e_lon"))).where(c("dist") <= grid.radius_km)
+    near = in_reach(near.where((c("pickup_datetime") >= c("e_from")) & (c("pickup_datetime") <= c("e_to"))), grid)
     micros = F.timestamp_diff("MICROSECOND", c("e_start"), c("pickup_datetime"))
     near = near.withColumn("time_delta_min", F.floor(micros / F.lit(60_000_000)).cast("int"))
     drop = c("leg") == "DROPOFF"
@@ -150,6 +164,45 @@ def correlate(events: DataFrame, bookings: DataFrame, grid: Grid | None = None,
     return exact_matches(split_join(leg_cells(bookings, grid), event_cells(events, grid), CELL, rows_per_split=rows_per_split), grid)
 
 
+def likely_matches(events: DataFrame, bookings: DataFrame, least: float, grid: Grid | None = None) -> DataFrame:
+    """The matches of ``correlate`` with a confidence of ``least`` or more, out of a grid as fine as that allows.
+
+    Such a pair is near and its leg close to the start (drop-offs) or the end (pick-ups) of the event: confidence is near * (0.5 + 0.5 * soon).
+    """
+    grid, c = grid or Grid(), F.col
+    floor = least - 0.0005  # confidences are rounded to three decimals
+    apart, soon = max(0.0, min(1.0, 1 - floor)), max(0.0, 2 * floor - 1)
+    drop, pick = (1 - soon) * grid.pre, (1 - soon) * (grid.post + grid.duration)  # minutes
+    fine = Grid(grid.radius_km, grid.pre, grid.post, grid.duration)
+    fine.lat_step, fine.lon_step = grid.lat_step * max(apart, 1e-3), grid.lon_step * max(apart, 1e-3)
+    fine.slot_minutes = int(2 * max(drop, pick)) + 2
+    ev = event_windows(events, grid).withColumnsRenamed({"dlat": "box_lat", "dlon": "box_lon", "e_from": "all_from", "e_to": "all_to"})
+    # one minute and one part in a hundred wider than needed: the exact rules follow
+    narrow = F.greatest(F.cos(F.radians(F.least(F.abs("e_lat") + 0.1, F.lit(90.0)))), F.lit(1e-6))
+    reach = grid.radius_km * apart * 1.01 / 110
+    ev = ev.withColumns({"dlat": F.least("box_lat", F.lit(reach)), "dlon": F.least("box_lon", F.lit(reach) / narrow)})
+    mid = c("e_start") + F.when(c("leg") == "PICKUP", minutes_interval(F.lit(grid.duration))).otherwise(minutes_interval(F.lit(0)))
+    half = F.when(c("leg") == "PICKUP", F.lit(int(pick) + 2)).otherwise(F.lit(int(drop) + 2))
+    ev = ev.withColumn("leg", F.explode(F.array(F.lit("DROPOFF"), F.lit("PICKUP"))))
+    ev = ev.withColumns({"e_from": F.greatest(c("all_from"), mid - minutes_interval(half)), "e_to": F.least(c("all_to"), mid + minutes_interval(half))}).where("e_from <= e_to").drop("all_from", "all_to")
+    near = split_join(leg_cells(bookings, fine), _cells(ev, fine).drop("dlat", "dlon").withColumnsRenamed({"box_lat": "dlat", "box_lon": "dlon"}), [*CELL, "leg"])
+    return exact_matches(near, grid).where(c("match_confidence") >= least)
+
+
+LIKELY = (0.998, 0.98, 0.9, 0.7)
+
+
+def list_best_matches(events: DataFrame, bookings: DataFrame, number: int = 1, size: int = 50, grid: Grid | None = None) -> DataFrame:
+    """The page of ``list_matches`` over all matches, which are only listed as far down as the page needs: confidence comes first in its order."""
+    if size < 1:
+        raise ValueError("a page holds one row at least")
+    for least in LIKELY:
+        found = cut_lineage(likely_matches(events, bookings, least, grid))
+        if found.limit(number * size).count() == number * size:
+            return list_matches(found, number=number, size=size)
+    return list_matches(correlate(events, bookings, grid), number=number, size=size)
+
+
 def list_matches(matches: DataFrame, event_id=None, number: int = 1, size: int = 50) -> DataFrame:
     if size < 1:
         raise ValueError("a page holds one row at least")
@@ -162,6 +215,33 @@ def labels(matches: DataFrame) -> DataFrame:
     return matches.groupBy("event_id").agg(F.count("*").alias("label_bookings"))
 
 
+def count_labels(events: DataFrame, bookings: DataFrame, grid: Grid | None = None) -> DataFrame:
+    """What ``labels(correlate(events, bookings))`` counts, without a row per match.
+
+    A leg meets each place (coordinates of events) of its time slot once.  Within place, slot and kind of leg one pass in time order counts the legs up to the beginning
+    and the end of every window; equal windows are counted once.  So rows grow with legs and windows, not with their product.
+    """
+    grid, c = grid or Grid(), F.col
+    own = event_windows(events, grid)
+    spot, at = ["e_lat", "e_lon", "slot"], ["e_lat", "e_lon", "e_start"]
+    windows = own.drop("event_id").distinct()
+    cells = _cells(windows, grid).select(*CELL, "e_lat", "e_lon", "dlat", "dlon").distinct()
+    met = in_reach(split_join(leg_cells(bookings, grid), cells, CELL), grid).groupBy(*spot, "leg", c("pickup_datetime").alias("t")).agg(F.count("*").alias("n"))
+
+    after = F.expr("INTERVAL '1' MICROSECOND")
+    latest = c("e_start") + minutes_interval(F.lit(V.DROPOFF_LATEST_MINUTES + 1)) - after  # whole minutes are rounded down
+    kinds = F.array(F.struct(F.lit("DROPOFF").alias("leg"), c("e_from").alias("lo"), F.least(c("e_to"), latest).alias("hi")),
+                    F.struct(F.lit("PICKUP").alias("leg"), F.greatest(c("e_from"), c("e_start")).alias("lo"), c("e_to").alias("hi")))
+    bounds = windows.withColumn("slot", F.explode(F.sequence(grid.slot(c("e_from")), grid.slot(c("e_to"))))).select(*at, "slot", F.inline(kinds)).where("lo <= hi")
+    # at equal times a beginning comes before the legs and an end behind them
+    marks = bounds.select(*at, "slot", "leg", F.inline(F.array(F.struct(c("lo").alias("t"), F.lit(0).alias("o"), F.lit(-1).alias("sign")),
+                                                               F.struct(c("hi").alias("t"), F.lit(2).alias("o"), F.lit(1).alias("sign")))))
+    line = marks.withColumn("n", F.lit(0).cast("long")).unionByName(met.withColumns({"o": F.lit(1), "sign": F.lit(0), "e_start": F.lit(None).cast("timestamp_ntz")}))
+    upto = F.sum("n").over(Window.partitionBy(*spot, "leg").orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0))
+    counted = line.withColumn("n", upto).where("sign <> 0").groupBy(*at).agg(F.sum(c("n") * c("sign")).alias("n")).where("n > 0")
+    return own.select("event_id", *at).join(counted.hint("merge"), at).groupBy("event_id").agg(F.sum("n").alias("label_bookings"))
+
+
 def forecast_mode(labelled: DataFrame, required: int) -> DataFrame:
     """FORECAST once ``required`` events have labels; ``labelled`` comes from labels()."""
     return labelled.agg(F.count("*").alias("labelled_events")).select(
@@ -187,9 +267,12 @@ def features(events: DataFrame, weather: DataFrame | None = None, traffic: DataF
     return out
 
 
-def feature_table(events: DataFrame, matches: DataFrame, required: int, since=None, **hooks) -> DataFrame:
-    """Full recompute of features with labels (null when an event has none) and the model mode.  The match runs once: labels are stored before both uses."""
-    labelled = cut_lineage(labels(matches))
+def feature_table(events: DataFrame, matches: DataFrame | None, required: int, since=None, labelled: DataFrame | None = None, **hooks) -> DataFrame:
+    """Full recompute of features with labels (null when an event has none) and the model mode.  The match runs once: labels are stored before both uses.
+
+    ``labelled`` (from count_labels) takes the place of listed matches.
+    """
+    labelled = cut_lineage(labels(matches) if labelled is None else labelled)
     if since is not None:
         events = events.where(F.col("date_start") >= as_date(since))
     mode = forecast_mode(labelled, required).select("model_mode", F.lit(1).alias("_k"))

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import random
+from decimal import ROUND_HALF_EVEN, Decimal
+
 from pyspark.sql import functions as F
 
+from crowdtide.operators import bookings as bk
+from crowdtide.operators import entities as en
 from crowdtide.operators import geography as geo
 from crowdtide.session import split_join
 
+from .similarity_reference import token_set_of
+
 
 def plan(df) -> str:
     return df._jdf.queryExecution().toString()
@@ -26,3 +34,76 @@ def test_split_join_sends_no_side_to_the_driver(spark):
     out = split_join(rows, few, ["k"], rows_per_split=20)
     assert "ResolvedHint (strategy=merge)" in plan(out)
     assert out.count() == 200
+
+
+def trips(spark, n=400, m=60, seed=5):
+    """Events at few places and full minutes, bookings around them to the second; some keys twice, some fields null."""
+    rnd, day = random.Random(seed), dt.datetime(2026, 9, 10)
+    places = [(53.8 + rnd.random() / 40, -1.55 + rnd.random() / 40) for _ in range(6)] + [(None, -1.5), (85.0, 10.0)]
+    events = []
+    for i in range(m):
+        lat, lon = rnd.choice(places)
+        events.append((i // 2, day.date() + dt.timedelta(days=rnd.randint(0, 1)), rnd.choice(["19:00", "19:30", "20:15", "00:10", None]), lat, lon))
+    stops = []
+    for i in range(n):
+        lat, lon = rnd.choice(places[:6] + places[7:])
+        when = day + dt.timedelta(minutes=rnd.choice([960, 1140, 1170, 1171, 1290, 1380, 1620, rnd.randint(0, 3000)]), seconds=rnd.choice([0, 0, 59, 1]))
+        stops.append((i // 2, None if rnd.random() < 0.03 else when, lat + rnd.uniform(-0.01, 0.01), lon + rnd.uniform(-0.01, 0.01), lat if rnd.random() < 0.6 else None, lon))
+    return (spark.createDataFrame(events, "event_id long, date_start date, time_start string, latitude double, longitude double"),
+            spark.createDataFrame(stops, "booking_id long, pickup_datetime timestamp_ntz, pickup_lat double, pickup_lon double, dropoff_lat double, dropoff_lon double"))
+
+
+def test_labels_are_counted_without_listing_matches(spark):
+    events, bookings = trips(spark)
+    for grid in (bk.Grid(), bk.Grid(0.4, 20, 15, 30)):
+        want = bk.labels(bk.correlate(events, bookings, grid))
+        got = bk.count_labels(events, bookings, grid)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert got.dtypes == want.dtypes and got.count() > 5
+
+
+def test_best_matches_are_the_top_of_all(spark):
+    events, bookings = trips(spark, 800, 120, seed=6)
+    every = bk.correlate(events, bookings)
+    for least in (0.998, 0.9, 0.7, 0.3):
+        want = every.where(F.col("match_confidence") >= least)
+        assert sorted(map(tuple, bk.likely_matches(events, bookings, least).collect())) == sorted(map(tuple, want.collect())) and (want.count() or least > 0.9)
+    for number, size in ((2, 5), (2, 60), (3, 10_000)):
+        assert bk.list_best_matches(events, bookings, number, size).collect() == bk.list_matches(every, number=number, size=size).collect()
+
+
+def test_titles_of_other_cities_meet_only_if_nearly_equal(spark, monkeypatch):
+    """Same rows as comparing all listings of the day, and far fewer titles compared."""
+    rnd, rows = random.Random(9), []
+    for i in range(120):
+        rows.append((f"k{i}", dt.date(2026, 1, 1 + i % 2), f"orchestra night {rnd.randint(1, 30)}", rnd.choice(["the o2", "the o2 arena", "royal hall", None]), f"city {rnd.randint(1, 8)}",
+                     rnd.choice(["19:00", "20:00", None]), rnd.choice(["a", "b"])))
+    ev = spark.createDataFrame(rows, "l_key string, date_start date, norm_title string, venue string, city string, time_start string, source_key string").withColumn("title", F.col("norm_title"))
+    met, split = [], en.split_join
+
+    def spy(many, few, keys, *rest, **named):
+        met.append(few.count() if keys == ["l_id"] else 0)
+        return split(many, few, keys, *rest, **named)
+
+    monkeypatch.setattr(en, "split_join", spy)
+    got = {(r.l_key, r.r_key, r.confidence) for r in en.fuzzy_matches(ev, ev.withColumnRenamed("l_key", "r_key")).collect()}
+
+    def minutes(x):
+        return int(x[:2]) * 60 + int(x[3:])
+
+    best = {}
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] or a[1] != b[1] or not a[3] or not b[3]:
+                continue
+            if a[5] and b[5] and a[5] != b[5] and abs(minutes(a[5]) - minutes(b[5])) >= (1 if a[6] == b[6] else 120):
+                continue
+            venue = 1.0 if a[3] == b[3] else token_set_of(a[3], b[3]) / 100
+            score = 0.6 * (token_set_of(a[2], b[2]) / 100) + 0.25 * venue + 0.15 * (1.0 if a[4] == b[4] else 0.3)
+            score = float(Decimal(repr(score)).quantize(Decimal("0.001"), ROUND_HALF_EVEN))
+            if score >= 0.88:
+                best[a[0]] = min(best.get(a[0], (0, "~")), (-score, b[0]))
+    assert got == {(k, r, -s) for k, (s, r) in best.items()} and len(got) > 20
+    titles_met = sum(met)
+    titles = {(r[1], r[2]) for r in rows if r[3]}
+    assert titles_met < 0.7 * sum(x[0] == y[0] for x in titles for y in titles)

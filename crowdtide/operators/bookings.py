@@ -24,8 +24,8 @@ def map_columns(raw: DataFrame, column_map: dict[str, str] | None = None) -> Dat
     return raw.select(*[(F.col(f"`{names[f]}`") if names[f] in have else F.lit(None).cast("string")).alias(f) for f in V.BOOKING_FIELDS], *extra)
 
 
-def to_canonical(raw: DataFrame, column_map: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(bookings, rejected): rows without an id or a readable pickup time are rejected."""
+def judge(raw: DataFrame, column_map: dict[str, str] | None = None) -> DataFrame:
+    """Canonical rows in one pass, with ``accepted``: rows without an id or a readable pickup time are not."""
     m = map_columns(raw, column_map)
     c = F.col
     types = dict(m.dtypes)
@@ -41,8 +41,13 @@ def to_canonical(raw: DataFrame, column_map: dict[str, str] | None = None) -> tu
         F.nullif(c("status").cast("string"), F.lit("")).alias("status"), F.nullif(c("vehicle_type").cast("string"), F.lit("")).alias("vehicle_type"),
         *[c(x) for x in ("read_order",) if x in rest],
     )
-    good = c("booking_id").isNotNull() & c("pickup_datetime").isNotNull()
-    return out.where(good), out.where(~good)
+    return out.withColumn("accepted", c("booking_id").isNotNull() & c("pickup_datetime").isNotNull())
+
+
+def to_canonical(raw: DataFrame, column_map: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(bookings, rejected); each of the two reads and parses the rows for itself, see ``judge`` for both at once."""
+    rows = judge(raw, column_map)
+    return rows.where("accepted").drop("accepted"), rows.where("NOT accepted").drop("accepted")
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, source_label: str | None = None) -> DataFrame:

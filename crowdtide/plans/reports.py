@@ -379,4 +379,5 @@ def digest(report: dict[str, DataFrame], limit: int = 5) -> DataFrame:
 
 
 def canned_listings(events: DataFrame, as_of, names: tuple[str, ...] = ("today", "tomorrow", "week", "high", "concerts", "sports", "education")) -> DataFrame:
+    events = cut_lineage(events)  # scored once, not once a listing
     return reduce(lambda a, b: a.unionByName(b), [canned(events, n, as_of).withColumn("listing", F.lit(n)) for n in names])

@@ -9,8 +9,8 @@ from .. import fixed_values as V
 from ..functions.geo import squared_degrees
 from ..functions.similarity import ratio, token_set_ratio
 from ..functions.text import normalize_name, normalize_postcode
-from ..session import cut_lineage
-from .similar import pair_prefixes, word_pairs, word_set_text
+from ..session import cut_lineage, left_lookup
+from .similar import close_pairs, word_pairs, word_set_text
 
 
 def alias_index(registry: DataFrame, id_col: str, seeded: Column | None = None) -> DataFrame:
@@ -78,7 +78,7 @@ def _fuzzy_pairs(names: DataFrame, index: DataFrame, id_col: str, floor: float,
     left = names.select(F.col("key").alias("l_id"), text.alias("l_text"))
     right = index.select(F.col("key").alias("r_id"), text.alias("r_text"))
     left, right = cut_lineage(left), cut_lineage(right)
-    pairs = pair_prefixes(left, right, t)
+    pairs = close_pairs(left, right, t)
     if by_words:
         pairs = pairs.union(word_pairs(left, right, t)).distinct()
     if by_words:
@@ -156,7 +156,9 @@ def resolve_places(staged: DataFrame, venues: DataFrame, cities: DataFrame, post
     ct = cities.select("city_id", c("name").alias("c_name"), "region_id", c("latitude").alias("_c_lat"), c("longitude").alias("_c_lon"))
     vm = cut_lineage(match_venues(staged.select(c("venue_name").alias("name")).where("name IS NOT NULL"), venues, fuzzy)).withColumnRenamed("name", "venue_name")
     cm = cut_lineage(match_cities(staged.select(c("city_name").alias("name")).where("name IS NOT NULL"), cities, fuzzy)).withColumnsRenamed({"name": "city_name", "city_id": "_m_city"})
-    out = (staged.join(vm, "venue_name", "left").join(v, "venue_id", "left").join(cm, "city_name", "left")
+    # names, venues, postcodes and cities are often missing: such rows must not land in one task
+    out = left_lookup(left_lookup(left_lookup(staged, vm, ["venue_name"]), v, ["venue_id"]), cm, ["city_name"])
+    out = (out
            .withColumn("_by_name", c("_v_city").isNull())
            .withColumn("city_id", F.coalesce("_v_city", "_m_city"))
            .withColumn("postcode", F.coalesce(normalize_postcode("postcode"), c("_v_pc")))
@@ -166,16 +168,16 @@ def resolve_places(staged: DataFrame, venues: DataFrame, cities: DataFrame, post
     used_postcode = F.lit(False)
     if postcodes is not None:
         pc = postcodes.select("postcode", c("latitude").alias("_p_lat"), c("longitude").alias("_p_lon"))
-        out = (out.join(pc, "postcode", "left").withColumn("_pc", c("latitude").isNull() & c("_p_lat").isNotNull())
+        out = (left_lookup(out, pc, ["postcode"]).withColumn("_pc", c("latitude").isNull() & c("_p_lat").isNotNull())
                .withColumn("longitude", F.when(c("_pc"), c("_p_lon")).otherwise(c("longitude")))
                .withColumn("latitude", F.when(c("_pc"), c("_p_lat")).otherwise(c("latitude"))))
         used_postcode = c("_pc")
     unplaced = out.where("city_id IS NULL AND latitude IS NOT NULL")
     near = nearest_city(unplaced, cities)
-    out = (out.join(near, ["latitude", "longitude"], "left")
+    out = (left_lookup(out, near, ["latitude", "longitude"])
            .withColumn("_near", c("city_id").isNull() & c("near_city_id").isNotNull())
-           .withColumn("city_id", F.coalesce("city_id", "near_city_id"))
-           .join(ct, "city_id", "left")
+           .withColumn("city_id", F.coalesce("city_id", "near_city_id")))
+    out = (left_lookup(out, ct, ["city_id"])
            .withColumn("_centroid", c("latitude").isNull() & c("_c_lat").isNotNull())
            .withColumn("longitude", F.when(c("_centroid"), c("_c_lon")).otherwise(c("longitude")))
            .withColumn("latitude", F.coalesce("latitude", "_c_lat")))

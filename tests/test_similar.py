@@ -89,3 +89,22 @@ def test_correlate_equals_brute_force(spark):
     brute = bk.exact_matches(bk.booking_legs(trips).crossJoin(cells), grid)
     want = sorted(map(tuple, brute.collect()))
     assert want and sorted(map(tuple, bk.correlate(events, trips, rows_per_split=5).collect())) == want
+
+
+def test_close_pairs_are_complete_and_few(spark):
+    rnd, names = random.Random(4), titles(30, 5)
+    numbers = [f"{rnd.randint(0, 99_999):09d} customer" for _ in range(100)] + [f"hall {rnd.randint(0, 99_999)}" for _ in range(100)]
+    for x in list(numbers) + names:
+        at = rnd.randrange(len(x))
+        names += [x, (x[:at] + rnd.choice("7ab") + x[at + rnd.randint(0, 1):]).strip()]
+    names = sorted({" ".join(x.split()) for x in names})
+    left, right = (df.drop("d") for df in sides(spark, names, names))
+    for t in (0.75, 0.9):
+        want = {(x, y) for x in names for y in names if ratio_of(x, y) >= 100 * t}
+        got = set(map(tuple, similar.close_pairs(left, right, t).collect()))
+        assert want <= got
+    many = similar.pair_prefixes(left, right, 0.9).count()
+    assert len(got) < many / 5
+    left, right = (df.drop("d") for df in sides(spark, names[::4], names[::3], similar.word_set_text))
+    want = {(x, y) for x in names[::4] for y in names[::3] if token_set_of(x, y) >= 90}
+    assert want <= set(map(tuple, similar.close_pairs(left, right, 0.9).union(similar.word_pairs(left, right, 0.9)).collect()))

@@ -89,3 +89,37 @@ def test_components(spark):
         root[b] = a
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def test_sets_without_a_possible_partner_get_no_tile(spark, monkeypatch):
+    frames, stored = {}, chosen_path.stored
+
+    def spy(df, name):
+        frames[name] = stored(df, name)
+        return frames[name]
+
+    monkeypatch.setattr(chosen_path, "stored", spy)
+    monkeypatch.setattr(chosen_path, "HOT", 50)
+    monkeypatch.setattr(chosen_path, "PROBE", 1, raising=False)
+    rng, base = random.Random(5), [f"w{k}" for k in range(100)]
+    docs = [(k, " ".join(base[:at] + [f"own{k}"] + base[at:])) for k, at in enumerate(rng.choices(range(100), k=120))]
+    # one passage in all of them, nothing else in common: no pair is similar
+    passage = " ".join(f"p{k}" for k in range(12))
+    docs += [(1000 + k, " ".join([passage, *(f"x{k}y{i}" for i in range(60))])) for k in range(150)]
+    assert rows_of(link(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+    assert frames["tiles"].count() <= 12 * 120 and frames["tiles"].select("rep").distinct().count() == 120
+
+
+def test_hot_buckets_part_each_other(spark, monkeypatch):
+    for name, value in (("HOT", 8), ("TILE", 8), ("PROBE", 1)):
+        monkeypatch.setattr(chosen_path, name, value)
+    parted, seen = chosen_path._parted, []
+    monkeypatch.setattr(chosen_path, "_parted", lambda first: seen.append(parted(first)) or seen[-1])
+    rng = random.Random(6)
+    lines = [" ".join(f"l{k}w{i}" for i in range(5)) for k in range(60)]
+    docs = []
+    for k in range(120):
+        text = " ".join(rng.sample(lines, 5))
+        docs += [(2 * k, text), (2 * k + 1, text + f" own{k}")]
+    assert rows_of(link(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+    assert seen[0].count() > 0

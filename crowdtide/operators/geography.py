@@ -9,7 +9,7 @@ from .. import fixed_values as V
 from ..functions.geo import squared_degrees
 from ..functions.similarity import ratio, token_set_ratio
 from ..functions.text import normalize_name, normalize_postcode
-from ..session import cut_lineage, left_lookup
+from ..session import cut_lineage, left_lookup, settled
 from .similar import close_pairs, word_pairs, word_set_text
 
 
@@ -71,22 +71,26 @@ def _longest(pairs: DataFrame, id_col: str) -> DataFrame:
 
 
 def _fuzzy_pairs(names: DataFrame, index: DataFrame, id_col: str, floor: float, scorer) -> DataFrame:
-    """(key, index_key, id, score) at or above the floor."""
+    """(key, index_key, id, score) at or above the floor; by words, a name with scores of 100 keeps only these."""
     t = floor / 100.0
     by_words = scorer is token_set_ratio
     text = word_set_text(F.col("key")) if by_words else F.col("key")
     left = names.select(F.col("key").alias("l_id"), text.alias("l_text"))
     right = index.select(F.col("key").alias("r_id"), text.alias("r_text"))
-    left, right = cut_lineage(left), cut_lineage(right)
-    pairs = close_pairs(left, right, t)
-    if by_words:
-        pairs = pairs.union(word_pairs(left, right, t)).distinct()
-    if by_words:
-        score = token_set_ratio("l_id", "r_id", floor)
-    else:  # the built-in edit distance is never more than that of insertions and deletions alone
-        near = F.levenshtein("l_id", "r_id") <= (F.length("l_id") + F.length("r_id")) * F.lit(1 - t) + F.lit(1e-9)
-        score = F.when(near, scorer("l_id", "r_id"))
-    scored = pairs.select(F.col("l_id").alias("key"), F.col("r_id").alias("index_key"), score.alias("score")).where(F.col("score") >= floor)
+    ids = [F.col("l_id").alias("key"), F.col("r_id").alias("index_key")]
+
+    def found() -> DataFrame:
+        own, known = cut_lineage(left), cut_lineage(right)
+        if not by_words:  # the built-in edit distance is never more than that of insertions and deletions alone
+            near = F.levenshtein("l_id", "r_id") <= (F.length("l_id") + F.length("r_id")) * F.lit(1 - t) + F.lit(1e-9)
+            return close_pairs(own, known, t).select(*ids, F.when(near, scorer("l_id", "r_id")).alias("score"))
+        # nothing is better than names that hold each other's words: where there is one, the less similar ones need not be found
+        full = cut_lineage(word_pairs(own, known, 1.0).select(*ids, token_set_ratio("l_id", "r_id", 100.0).alias("score")).where("score >= 100"))
+        rest = cut_lineage(own.join(full.select(F.col("key").alias("l_id")).distinct(), "l_id", "left_anti"))
+        pairs = close_pairs(rest, known, t).union(word_pairs(rest, known, t)).distinct()
+        return full.unionByName(pairs.select(*ids, token_set_ratio("l_id", "r_id", floor).alias("score")))
+
+    scored = settled(names.sparkSession, lambda: found().where(F.col("score") >= floor))
     return scored.join(index.select(F.col("key").alias("index_key"), id_col), "index_key")
 
 
